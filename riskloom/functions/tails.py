@@ -135,7 +135,7 @@ def by_row(function, *columns) -> Column:
     def batch(*series: pd.Series) -> pd.Series:
         return pd.Series([function(*row) for row in zip(*series)], dtype="float64")
 
-    return F.pandas_udf(batch, T.DoubleType(), F.PandasUDFType.SCALAR)(*columns)
+    return F.pandas_udf(batch, T.DoubleType())(*columns)
 
 
 def student_p(t, df) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import finite_or_null, normal_quantile, polynomial
@@ -137,18 +137,24 @@ def shapiro_wilk(df: DataFrame, columns: list[str], by: list[str] = ("yd",)) ->
     )
 
 
-def bartlett(df: DataFrame, columns: list[str], group: str = "yd") -> DataFrame:
-    """Chi-square test of equal variances for two classes."""
-    m = class_moments(df, columns, group)
+def bartlett_statistic() -> Column:
+    """Chi-square statistic from the columns of `class_moments`."""
     f0, f1 = F.col("n0") - 1, F.col("n1") - 1
     pooled = F.try_divide(f0 * F.col("variance0") + f1 * F.col("variance1"), f0 + f1)
     top = (f0 + f1) * F.log(pooled) - f0 * F.log("variance0") - f1 * F.log("variance1")
     correction = 1 + (F.try_divide(F.lit(1), f0) + F.try_divide(F.lit(1), f1)
                       - F.try_divide(F.lit(1), f0 + f1)) / 3
     usable = (F.col("variance0") > 0) & (F.col("variance1") > 0)
-    return m.select(
-        "variable", F.when(usable, top / correction).alias("statistic")
-    ).withColumn("p_value", chi2_p("statistic", F.lit(1.0)))
+    return F.when(usable, top / correction)
+
+
+def bartlett(df: DataFrame, columns: list[str], group: str = "yd") -> DataFrame:
+    """Chi-square test of equal variances for two classes."""
+    return (
+        class_moments(df, columns, group)
+        .select("variable", bartlett_statistic().alias("statistic"))
+        .withColumn("p_value", chi2_p("statistic", F.lit(1.0)))
+    )
 
 
 def class_centres(df: DataFrame, columns: list[str], group: str, center: str) -> dict:
@@ -192,12 +198,15 @@ def variance_homogeneity(
     normality = shapiro.groupBy("variable").agg(
         *[F.max(F.when(F.col(group) == g, F.col("p_value"))).alias(f"p_shapiro_{g}") for g in (0, 1)]
     )
-    renamed = lambda t, name: t.select("variable", F.col("p_value").alias(name))
     table = (
         class_moments(df, columns, group)
         .join(normality, "variable", "left")
-        .join(renamed(bartlett(df, columns, group), "p_bartlett"), "variable", "left")
-        .join(renamed(levene(df, columns, group), "p_levene"), "variable", "left")
+        .join(
+            levene(df, columns, group).select("variable", F.col("p_value").alias("p_levene")),
+            "variable", "left",
+        )
+        .withColumn("_chi2", bartlett_statistic())
+        .withColumn("p_bartlett", chi2_p("_chi2", F.lit(1.0)))
     )
     enough = (F.col("n0") >= 3) & (F.col("n1") >= 3)
     flat = (F.col("variance0") == 0) | (F.col("variance1") == 0)
