@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import finite_or_null, total
+from riskloom.functions.columns import finite_or_null, is_finite, total
 
 DIGITS = 9  # squared distances closer than this count as equal, then the lower key wins
 
@@ -52,7 +52,7 @@ def standardize(df: DataFrame, features: list[str], fit_on: DataFrame | None = N
 
 
 def present_mask(features: list[str]) -> Column:
-    bits = [F.when(finite_or_null(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(features)]
+    bits = [F.when(is_finite(c), 1 << i).otherwise(0) for i, c in enumerate(features)]
     mask = bits[0]
     for b in bits[1:]:
         mask = mask + b
@@ -104,15 +104,19 @@ def knn_impute(
     }
     marked = df.withColumn("_s", present_mask(features)).withColumns(z_columns)
     full = (1 << p) - 1
-    masks = [r[0] for r in marked.where(F.col("_s") != full).select("_s").distinct().collect()]
+    # At most 2 ** p patterns of missing cells.
+    pool_counts = pattern_counts(source, features)
+    masks = list(pool_counts if fit_on is None else pattern_counts(df, features))
+    masks = [m for m in masks if m != full]
     if not masks:
         return df
+    patterns = [m for m in pool_counts if m != 0]
     pool = source.select(
         F.col(key).alias("_donor"), present_mask(features).alias("_p"),
         *[e.alias(n) for n, e in z_columns.items()],
         *[finite_or_null(c).alias(f"_x{i}") for i, c in enumerate(features)],
-    ).where(F.col("_p") != 0)
-    levels, bounds = cell_levels(pool, z)
+    )
+    levels, bounds = cell_levels(pool, z, sum(pool_counts.values()))
     top = levels[-1]
 
     # Searched points: distinct patterns and observed values.
@@ -143,7 +147,6 @@ def knn_impute(
     place = ["_s", "_p", "_level", "_ca", "_cb"]
     donor_z = [F.col(c).alias(f"_d{i}") for i, c in enumerate(z)]
 
-    patterns = [r[0] for r in pool.select("_p").distinct().collect()]
     each_pattern = F.explode(F.filter(
         F.array(*[F.lit(m) for m in patterns]),
         lambda m: (F.col("_s").bitwiseAND(m) != 0) & (m.bitwiseAND(F.bitwise_not(F.col("_s"))) != 0),
@@ -245,9 +248,15 @@ def shifted(c: str) -> Column:
     return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("int")
 
 
-def cell_levels(pool: DataFrame, z: list[str], fill: int = 256) -> tuple[list[int], list[list[float]]]:
+def pattern_counts(df: DataFrame, features: list[str]) -> dict[int, int]:
+    counts = df.groupBy(present_mask(features).alias("_p")).count().collect()
+    return {r["_p"]: r["count"] for r in counts}
+
+
+def cell_levels(
+    pool: DataFrame, z: list[str], n: int, fill: int = 256
+) -> tuple[list[int], list[list[float]]]:
     """Cell sizes (as powers of two) and quantile bounds of the finest cells per feature."""
-    n = pool.count()
     depth = max(0, min(12, int(math.log2(max(n / fill, 1)))))
     parts = 2**depth
     infinity = float("inf")
