@@ -6,29 +6,16 @@ are taken inside a range and completed with the totals of the ranges before it.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.sources.tables import stored
+
 RANGE = "_range"
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the checkpoint folder the session names; only a local session gets one of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(named)
-
-
 def with_ranges(df: DataFrame, value: str, finer: int = 1) -> DataFrame:
     """Add the value range of each row; range bounds are approximate quantiles."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * finer
@@ -127,22 +114,20 @@ def sort_keys(df: DataFrame, keys: list[str], tie: str) -> list[Column]:
 def global_index(df: DataFrame, keys: list[str], tie: str, name: str = "id") -> DataFrame:
     """Dense 0-based position in the order of `keys`; `tie` must be unique per row.
 
-    Sorted ranges are written to the checkpoint folder once, so the position inside a range
-    and the offset of the range come from the same stored rows even if executors are lost.
+    Sorted ranges are written to the shared folder once, so the position inside a range and the
+    offset of the range come from the same stored rows even if executors are lost.
     """
-    checkpoint_ready(df.sparkSession)
     order = sort_keys(df, keys, tie)
-    placed = (
+    ranged = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumns(
-            {
-                "_part": F.shiftright("_slot", 33).cast("int"),
-                "_place": F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)),
-            }
-        )
+    )
+    placed = stored(ranged, "index").withColumns(
+        {
+            "_part": F.shiftright("_slot", 33).cast("int"),
+            "_place": F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)),
+        }
     )
     offsets = (
         placed.groupBy("_part")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.evaluate import auc, roc_curve
 from riskloom.operators.sampling import random_split, stratified_folds
-from riskloom.plans.classifiers import GRIDS, pipeline
+from riskloom.plans.classifiers import GRIDS, PenalizedLogit, Ridge, pipeline
+
+LINEAR = (PenalizedLogit, Ridge)
 
 LEADERBOARD = (
     "model string, cv_auc double, train_auc double, test_auc double, "
@@ -47,11 +49,12 @@ def tune(
         builder = builder.addGrid(estimator.getParam(param), values)
     settings = builder.build()
     whole = pipeline(train, features, estimator)
-    in_fold = [whole.copy(s) for s in settings]
+    chosen = [whole.copy(s) for s in settings]
+    small = kind in LINEAR  # models of a few numbers are kept per fold instead of fitted again
     if len(settings) > 1:
         search = CrossValidator(
             estimator=whole, estimatorParamMaps=settings, numFolds=k, foldCol="fold",
-            parallelism=parallelism,
+            parallelism=parallelism, collectSubModels=small,
             evaluator=MulticlassClassificationEvaluator(
                 labelCol=target, predictionCol="prediction", metricName="accuracy"
             ),
@@ -60,8 +63,11 @@ def tune(
         best = max(range(len(scores)), key=lambda i: scores[i])
         model = search.bestModel
     else:
-        best, model = 0, in_fold[0].fit(train)
-    per_fold = [in_fold[best].fit(train.where(F.col("fold") != i)) for i in range(k)]
+        search, best, model = None, 0, chosen[0].fit(train)
+    if search is not None and small:
+        per_fold = [search.subModels[i][best] for i in range(k)]
+    else:
+        per_fold = [chosen[best].fit(train.where(F.col("fold") != i)) for i in range(k)]
     params = {p.name: str(v) for p, v in settings[best].items()}
     return Tuned(name, model, params, per_fold)
 

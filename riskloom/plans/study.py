@@ -18,6 +18,7 @@ from riskloom.operators.regression import (
 from riskloom.operators.sampling import random_split, systematic_split
 from riskloom.plans.classifiers import GRIDS
 from riskloom.plans.selection import compare_splits
+from riskloom.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,7 @@ def holdout_scores(
     df: DataFrame, features: list[str], target: str = "yd", key: str = "id", test_share: float = 0.25
 ) -> tuple[list, DataFrame]:
     """Fit on a random train sample, score both samples: key, target, features, sample, scores."""
-    split = random_split(finite_rows(df, [*features, target]), test_share, None, key)
+    split = stored(random_split(finite_rows(df, [*features, target]), test_share, None, key))
     train = split.where(F.col("in_test") == 0)
     fits = three_fits(train, features, target)
     scores = score_table(split, fits, features, target, key)
@@ -78,7 +79,7 @@ def holdout_study(
     impute: list[str] | None = None, test_share: float = 0.25,
 ) -> dict[str, DataFrame]:
     """Impute, split at random, fit on train, compare train and test AUC."""
-    filled = knn_impute(df, impute, 3, key) if impute else df
+    filled = stored(knn_impute(df, impute, 3, key)) if impute else df
     features = resolve_features(filled, features)
     fits, scores = holdout_scores(filled, features, target, key, test_share)
     train_scores = keep_members(scores.drop("in_test"), scores.where(F.col("in_test") == 0), key)
@@ -102,5 +103,5 @@ def comparison_study(
     checked = check_binary_target(df, target)
     indexed = systematic_split(checked, sort, tie)
     chosen = resolve_features(indexed, features)
-    filled = knn_impute(indexed, chosen, 3, "id", fit_on=fit_on)
+    filled = stored(knn_impute(indexed, chosen, 3, "id", fit_on=fit_on))
     return compare_splits(filled, chosen, target, "id", k=k, grids=grids)

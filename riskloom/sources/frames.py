@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.sources.tables import SENTINEL, sentinel_to_null
 
-QUALITY_FEATURES = ["n_chars", "word_density", "digit_share", "toxic"]
+QUALITY_FEATURES = ["k_chars", "word_density", "digit_share", "toxic"]
 ORDER_FEATURES = ["price", "balance", "quantity", "discount", "tax", "lines"]
 EVENT_FEATURES = ["value", "k", "hour"]
 
@@ -22,7 +22,7 @@ def quality_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.greatest(F.length(text), F.lit(1))
     measures = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        F.length(text).cast("double").alias("n_chars"),
+        (F.length(text) / 1000).alias("k_chars"),
         ((F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))) / size).alias("word_density"),
         ((F.length(text) - F.length(F.translate(text, "0123456789", ""))) / size).alias("digit_share"),
     )
@@ -35,7 +35,7 @@ def quality_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with status F against price, balance and their lines; no lines leave NULLs."""
+    """Orders with status F against price and balance (thousands) and lines; no lines leave NULLs."""
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("id"))
@@ -47,13 +47,13 @@ def orders_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     customers = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("balance")
+        F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") / 1000).alias("balance")
     )
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         "o_custkey",
         (F.col("o_orderstatus") == "F").cast("int").alias("yd"),
-        F.col("o_totalprice").alias("price"),
+        (F.col("o_totalprice") / 1000).alias("price"),
     )
     return (
         orders.join(lines, "id", "left")

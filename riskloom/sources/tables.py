@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,3 +77,31 @@ def read_sample(spark: SparkSession, path: str, value: int, sample: str = "dumVE
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode)
     writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names; only a local session gets one of its own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            named = tempfile.mkdtemp(prefix="shared-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "frame") -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    Cuts the lineage for frames that several passes read: later passes scan only the columns they
+    need, and a lost executor repeats a scan instead of the joins behind it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
