@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from riskloom.functions import columns
+from riskloom.operators import hypothesis
+
 QUALITY = ["k_chars", "word_density", "digit_share", "toxic"]
 ORDERS = ["price", "balance", "quantity", "discount", "tax", "lines"]
 EVENTS = ["value", "k", "hour"]
@@ -208,6 +211,49 @@ def box(frame: str, features: list[str]) -> str:
     )
 
 
+def horner(coefficients: list[float], x: str) -> str:
+    value = repr(coefficients[-1])
+    for k in reversed(coefficients[:-1]):
+        value = f"({value} * {x} + {k!r})"
+    return f"CAST({value} AS DOUBLE)"
+
+
+def normal_quantile(p: str) -> str:
+    q = f"(({p}) - 0.5)"
+    r_ = f"(0.180625 - {q} * {q})"
+    t = f"sqrt(-ln(least({p}, 1 - ({p}))))"
+    return (
+        f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {horner(columns.CENTRE_TOP, r_)} / {horner(columns.CENTRE_BOTTOM, r_)} "
+        f"ELSE sign({q}) * {horner(columns.MIDDLE_TOP, f'({t} - 1.6)')} / {horner(columns.MIDDLE_BOTTOM, f'({t} - 1.6)')} END"
+    )
+
+
+def shapiro_ctes(frame: str, features: list[str]) -> str:
+    """Ordered values with normal scores and weights (more than 11 rows per class); W and its z."""
+    last, nxt = horner(hypothesis.LAST_WEIGHT, "u"), horner(hypothesis.NEXT_WEIGHT, "u")
+    mean, spread = horner(hypothesis.LARGE_MEAN, "ln(n)"), horner(hypothesis.LARGE_SPREAD, "ln(n)")
+    return (
+        f"sw0 AS (SELECT yd, variable, value, row_number() OVER (PARTITION BY yd, variable ORDER BY value) AS i, "
+        f"CAST(count(*) OVER (PARTITION BY yd, variable) AS DOUBLE) AS n FROM ({long_rows(frame, features)}) "
+        "WHERE value IS NOT NULL), "
+        f"sw1 AS (SELECT *, {normal_quantile('(i - 0.375) / (n + 0.25)')} AS m FROM sw0), "
+        "sw2 AS (SELECT *, sum(m * m) OVER g AS mm, max(m) OVER g AS m1, "
+        "max(CASE WHEN i = n - 1 THEN m END) OVER g AS m2, 1 / sqrt(n) AS u, avg(value) OVER g AS centre "
+        "FROM sw1 WINDOW g AS (PARTITION BY yd, variable)), "
+        f"sw3 AS (SELECT *, {last} + m1 / sqrt(mm) AS a1, {nxt} + m2 / sqrt(mm) AS a2 FROM sw2), "
+        "sw4 AS (SELECT *, CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN i = n - 1 THEN a2 "
+        "WHEN i = 2 THEN -a2 ELSE m / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) "
+        "END AS a FROM sw3), "
+        "sw5 AS (SELECT yd, variable, any_value(n) AS n, pow(sum(a * (value - centre)), 2) / "
+        "sum(pow(value - centre, 2)) AS w FROM sw4 GROUP BY yd, variable), "
+        f"sw AS (SELECT *, (ln(1 - w) - {mean}) / exp({spread}) AS z FROM sw5)"
+    )
+
+
+def upper_p(z: str) -> str:
+    return f"CASE WHEN {z} >= 0 THEN {normal_p(z)} / 2 ELSE 1 - {normal_p(z)} / 2 END"
+
+
 # ---------------------------------------------------------------- one-variable fits by iteration
 
 STEP = (
@@ -434,3 +480,515 @@ def cost_grid(score: str, cost_fn: float = 10.0) -> str:
 
 
 ORACLES: dict[str, str] = {}
+
+
+def add(**entries: str) -> None:
+    ORACLES.update(entries)
+
+
+EVENT_TOTALS = (
+    "SELECT count(*) AS n, CAST(sum(yd) AS BIGINT) AS n_yd, count(value) AS n_value, "
+    "round(sum(value), 4) + 0.0 AS sum_value, round(sum(hour), 4) + 0.0 AS sum_hour FROM events_f"
+)
+ORDER_CASES = " AND ".join(f"{c} IS NOT NULL" for c in ORDERS)
+EVENT_CASES = " AND ".join(f"{c} IS NOT NULL" for c in EVENTS)
+
+add(
+    a1_delimited_read=on("events_f", EVENT_TOTALS),
+    a2_sentinel_to_null=on("events_f", f"SELECT id, yd, {rs(EVENTS)} FROM events_f"),
+    a3_null_tokens=on("events_f", EVENT_TOTALS),
+    a4_stored_samples=f"WITH {INDEXED} SELECT yd, count(*) AS n, {r('avg(price)', 'mean_price')}, "
+    "count(quantity) AS n_quantity FROM indexed WHERE dumVE = 0 GROUP BY yd",
+    a5_result_table=on(
+        "orders_f",
+        f"SELECT yd, variable, {rs(['kurtosis', 'skewness'])} FROM ({moment_rows('orders_f', ORDERS)})",
+    ),
+    b1_all_but=on("orders_f", f"SELECT {rs(ORDERS)} FROM orders_f"),
+    b2_feature_resolution=on("events_f", f"SELECT id, {rs(['hour', 'value'])} FROM events_f"),
+    b3_numeric_columns=f"SELECT c_custkey, c_nationkey, {r('c_acctbal', 'c_acctbal')} FROM customer",
+    b4_filtered_sample=f"WITH {INDEXED} SELECT id, row_key, {r('price', 'price')} FROM indexed "
+    "WHERE dumVE = 0 AND yd = 1",
+    b5_finite_rows=on(
+        "events_f",
+        f"SELECT id, yd, {r('value / k', 'ratio', 9)} FROM events_f WHERE k <> 0 AND value IS NOT NULL",
+    ),
+    b6_complete_cases=on("orders_f", f"SELECT id, yd, {rs(ORDERS)} FROM orders_f WHERE {ORDER_CASES}"),
+    b7_nan_to_null=on("events_f", f"SELECT id, yd, {rs(EVENTS)} FROM events_f"),
+    b8_derived_columns=on("events_f", "SELECT id, yd, 1 - yd AS ynd, yd - (1 - yd) AS z FROM events_f"),
+    b9_casts_b10_rename=on(
+        "events_f",
+        'SELECT id AS "row", yd AS flag, CAST(hour AS INTEGER) AS hour, CAST(yd AS DOUBLE) AS y FROM events_f',
+    ),
+    b11_binary_target=on("quality", "SELECT yd, count(*) AS n FROM quality GROUP BY yd"),
+    b12_missing_cells=on(
+        "orders_f",
+        "SELECT variable, count(*) - count(value) AS n_missing FROM "
+        f"({long_rows('orders_f', ORDERS)}) GROUP BY variable",
+    ),
+    b13_clip=on(
+        "orders_f",
+        "SELECT id, round(CASE WHEN balance IS NOT NULL THEN greatest(0.0, least(5.0, balance)) END, 6) + 0.0 "
+        "AS balance FROM orders_f",
+    ),
+    b14_display_rounding=on(
+        "orders_f",
+        f"SELECT variable, {r('t', 't_stat', 3)}, {r('p', 'p_value', 3)} FROM ({biserial_rows('orders_f', ORDERS)})",
+    ),
+    b15_label_match="SELECT o_orderkey FROM orders WHERE lower(trim(o_orderpriority)) = '1-urgent'",
+    b16_outlier_flag=on(
+        "orders_f",
+        f"SELECT id, {r('z', 'quantity')}, abs(z) > 2 AS outlier FROM (SELECT id, (quantity - avg(quantity) "
+        "OVER ()) / stddev_pop(quantity) OVER () AS z FROM orders_f)",
+    ),
+    b17_threshold_class=on(
+        "events_f",
+        "SELECT CAST(value >= 50 AS INTEGER) AS said, yd, count(*) AS n FROM events_f GROUP BY 1, 2",
+    ),
+    b18_optional_columns=on(
+        "events_f",
+        f"SELECT id, {rs(['hour', 'value'])} FROM events_f ORDER BY events_f.hour NULLS LAST, "
+        "events_f.value NULLS LAST, id LIMIT 50",
+    ),
+    b20_error_to_missing=on(
+        "events_f",
+        "SELECT id, round(CASE WHEN k <> 0 THEN value / k END, 9) + 0.0 AS ratio, "
+        "round(CASE WHEN k > 0 THEN ln(k) END, 9) + 0.0 AS log_k FROM events_f",
+    ),
+    c1_sorted_c4_top=on(
+        "orders_f",
+        "SELECT id, round(q, 6) + 0.0 AS quantity FROM (SELECT id, quantity AS q FROM orders_f "
+        "ORDER BY quantity NULLS LAST, id LIMIT 25)",
+    ),
+    c2_global_index=f"WITH {INDEXED} SELECT id, row_key FROM indexed",
+    c3_systematic_split=on(
+        "events_f",
+        "SELECT row_key, id, CAST(id % 2 = 0 AS INTEGER) AS dumVE FROM (SELECT id AS row_key, "
+        "row_number() OVER (ORDER BY yd, value NULLS LAST, id) - 1 AS id FROM events_f)",
+    ),
+    c5_sorted_by_p=means_test("quality", QUALITY, [], where="WHERE p < 0.05"),
+    c6_by_strength=on(
+        "orders_f",
+        f"SELECT variable, {r('r', 'r')} FROM ({biserial_rows('orders_f', ORDERS)}) ORDER BY abs(r) DESC LIMIT 3",
+    ),
+    c8_stratified_split=on(
+        "orders_f",
+        "SELECT id, yd, CAST(place <= n_c - keep AS INTEGER) AS in_test FROM (SELECT o.id, o.yd, place, "
+        "n_c, base + CAST(spare_rank <= spare AS INTEGER) AS keep FROM "
+        f"(SELECT id, yd, {hash_order('id', 'yd')} AS place FROM orders_f) o JOIN "
+        "(SELECT *, train - sum(base) OVER () AS spare, row_number() OVER (ORDER BY ideal - base DESC, yd) "
+        "AS spare_rank FROM (SELECT yd, n_c, train, train * n_c / n::DOUBLE AS ideal, "
+        "floor(train * n_c / n::DOUBLE) AS base FROM (SELECT yd, count(*) AS n_c, sum(count(*)) OVER () AS n, "
+        "sum(count(*)) OVER () - ceil(0.25 * sum(count(*)) OVER ()) AS train FROM orders_f GROUP BY yd))) t "
+        "ON t.yd = o.yd)",
+    ),
+    c9_random_split=on(
+        "events_f",
+        f"SELECT id, CAST({hash_order('id')} <= ceil(0.25 * count(*) OVER ()) AS INTEGER) AS in_test FROM events_f",
+    ),
+    c10_stratified_folds=on(
+        "orders_f",
+        "SELECT id, yd, CAST((place > round(0.2 * n)) AS INTEGER) + CAST((place > round(0.4 * n)) AS INTEGER) "
+        "+ CAST((place > round(0.6 * n)) AS INTEGER) + CAST((place > round(0.8 * n)) AS INTEGER) AS fold "
+        f"FROM (SELECT id, yd, {hash_order('id', 'yd')} AS place, count(*) OVER (PARTITION BY yd) AS n FROM orders_f)",
+    ),
+    d1_attached_scores=f"WITH {QUALITY_FIT}, {OLS_FIT} SELECT id, yd, {rs(QUALITY)}, "
+    f"{r('b0 + b1 * quality.word_density', 'score_ols')} FROM quality, ols",
+    d2_members=on(
+        "events_f",
+        f"SELECT id, yd, {rs(EVENTS)} FROM (SELECT *, {hash_order('id')} <= ceil(0.25 * count(*) OVER ()) "
+        "AS picked FROM events_f) e WHERE picked",
+    ),
+    d6_masked_fill=on(
+        "orders_f",
+        f"SELECT id, {r('coalesce(orders_f.quantity, -1.0)', 'quantity')}, "
+        f"{r('coalesce(orders_f.lines, -2.0)', 'lines')} FROM orders_f",
+    ),
+    d7_stacked_results="WITH " + ORDERS_FRAME + ", " + QUALITY_FRAME + " " + " UNION ALL ".join(
+        f"SELECT yd, variable, n, {rs(['mean', 'std'])} FROM ({moment_rows(f, FEATURES[f])})"
+        for f in ("orders_f", "quality")
+    ),
+    d8_long_form=on(
+        "orders_f",
+        f"SELECT id, yd, variable, round(v, 6) + 0.0 AS value FROM (SELECT id, yd, variable, value AS v FROM "
+        f"({long_rows('orders_f', ORDERS)}))",
+    ),
+    e1_group_describe=describe("orders_f", ORDERS, "yd"),
+    e1_group_describe_nearest=on(
+        "events_f",
+        "SELECT yd, variable, max(n) AS n, max(n_all) - max(n) AS n_missing, "
+        f"{r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'std')}, {r('min(value)', 'min')}, "
+        + ", ".join(r(quantile_nearest(p), f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75))
+        + f", {r('max(value)', 'max')} FROM (SELECT *, count(value) OVER (PARTITION BY yd, variable) AS n, "
+        "count(*) OVER (PARTITION BY yd, variable) AS n_all, row_number() OVER (PARTITION BY yd, variable "
+        f"ORDER BY value NULLS LAST, id) - 1 AS place FROM ({long_rows('events_f', EVENTS)})) "
+        "GROUP BY yd, variable",
+    ),
+    e2_sample_describe=describe("events_f", EVENTS, ""),
+    e3_group_summary=on(
+        "orders_f", f"SELECT yd, variable, n, {rs(['mean', 'std'])} FROM ({moment_rows('orders_f', ORDERS)})"
+    ),
+    e4_e5_shape=on(
+        "orders_f",
+        f"SELECT yd, variable, {rs(['kurtosis', 'skewness'])} FROM ({moment_rows('orders_f', ORDERS)})",
+    ),
+    e5_pearson_kurtosis=on(
+        "events_f",
+        f"SELECT yd, variable, {r('kurtosis + 3', 'kurtosis')}, {r('skewness', 'skewness')} "
+        f"FROM ({moment_rows('events_f', EVENTS)}) t",
+    ),
+    e6_class_counts=on("orders_f", "SELECT yd, count(*) AS n FROM orders_f GROUP BY yd"),
+    e7_levels=on("events_f", "SELECT DISTINCT hour FROM events_f"),
+    e8_histogram=on(
+        "orders_f",
+        f"SELECT yd, variable, bin, {r('low + bin * width', '\"left\"')}, n, "
+        f"{r('n / sum(n) OVER (PARTITION BY yd, variable)', 'share')} FROM (SELECT yd, variable, bin, "
+        "any_value(low) AS low, any_value(width) AS width, count(*) AS n FROM (SELECT yd, variable, low, width, "
+        "CAST(least(floor((value - low) / width), 29) AS INTEGER) AS bin FROM (SELECT *, min(value) OVER "
+        "(PARTITION BY variable) AS low, (max(value) OVER (PARTITION BY variable) - min(value) OVER "
+        f"(PARTITION BY variable)) / 30 AS width FROM ({long_rows('orders_f', ['price', 'balance', 'lines'])})) "
+        "WHERE value IS NOT NULL) GROUP BY yd, variable, bin)",
+    ),
+    e9_box_statistics=f"WITH {box('orders_f', ORDERS)} SELECT yd, variable, {r('any_value(b.q1)', 'q1')}, "
+    f"{r('any_value(b.median)', 'median')}, {r('any_value(b.q3)', 'q3')}, "
+    f"{r('min(value) FILTER (WHERE inside)', 'lower_whisker')}, "
+    f"{r('max(value) FILTER (WHERE inside)', 'upper_whisker')}, "
+    "count(*) FILTER (WHERE NOT inside) AS n_outliers FROM b GROUP BY yd, variable",
+    e9_box_outliers=f"WITH {box('events_f', EVENTS)} SELECT id, yd, variable, {r('b.value', 'value')} "
+    "FROM b WHERE NOT inside",
+    e10_density=on(
+        "orders_f",
+        f"SELECT yd, point, {r('-4 + point * 0.1::DOUBLE', 'x')}, {r('sum(exp(-0.5 * pow((-4 + point * 0.1::DOUBLE - z) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi()))', 'density')} "
+        "FROM (SELECT *, stddev_samp(z) OVER (PARTITION BY yd) * pow(count(*) OVER (PARTITION BY yd), -0.2) AS h, "
+        "count(*) OVER (PARTITION BY yd) AS n FROM (SELECT yd, (price - avg(price) OVER ()) / "
+        "stddev_pop(price) OVER () AS z FROM orders_f)), (SELECT CAST(g AS INTEGER) AS point FROM range(0, 81) t(g)) "
+        "GROUP BY yd, point",
+    ),
+    e10_density_epanechnikov=on(
+        "orders_f",
+        f"SELECT yd, point, {r('-4 + point * 0.1::DOUBLE', 'x')}, "
+        f"{r('sum(0.75 * (1 - u * u / 5) / sqrt(5)) / (any_value(n) * any_value(h))', 'density')} "
+        "FROM (SELECT *, (-4 + point * 0.1::DOUBLE - z) / h AS u FROM (SELECT yd, z, n, 0.9 * least(sd, iqr / 1.349) * "
+        "pow(n, -0.2) AS h FROM (SELECT *, stddev_samp(z) OVER (PARTITION BY yd) AS sd, count(*) OVER "
+        "(PARTITION BY yd) AS n, quantile_cont(z, 0.75) OVER (PARTITION BY yd) - quantile_cont(z, 0.25) OVER "
+        "(PARTITION BY yd) AS iqr FROM (SELECT yd, (quantity - avg(quantity) OVER ()) / stddev_pop(quantity) "
+        "OVER () AS z FROM orders_f) WHERE z IS NOT NULL)), (SELECT CAST(g AS INTEGER) AS point "
+        "FROM range(0, 81) t(g))) WHERE abs(u) <= sqrt(5) GROUP BY yd, point",
+    ),
+    f2_bartlett=on(
+        "orders_f",
+        f"SELECT variable, {r('x', 'statistic')}, {r(normal_p('sqrt(x)'), 'p_value')} FROM (SELECT variable, "
+        f"((n0 + n1 - 2) * ln({POOLED}) - (n0 - 1) * ln(v0) - (n1 - 1) * ln(v1)) / "
+        "(1 + (1.0 / (n0 - 1) + 1.0 / (n1 - 1) - 1.0 / (n0 + n1 - 2)) / 3) AS x "
+        f"FROM ({classes('orders_f', ORDERS)}))",
+    ),
+    f3_levene=levene("orders_f", ORDERS, "median"),
+    f3_levene_mean=levene("orders_f", ORDERS, "avg"),
+    f6_pooled_t=means_test("orders_f", ORDERS, ORDERS),
+    f7_welch_t=means_test("orders_f", ORDERS, []),
+    f8_equal_means=means_test("quality", QUALITY, ["k_chars", "toxic"]),
+    f10_point_biserial=on(
+        "quality",
+        f"SELECT variable, {r('r', 'r')}, {r('t', 't_stat')}, {r('p', 'p_value')} "
+        f"FROM ({biserial_rows('quality', QUALITY)}) b",
+    ),
+    f10_point_biserial_train=on(
+        "events_f",
+        f"SELECT variable, {r('r', 'r')}, {r('t', 't_stat')}, {r('p', 'p_value')} "
+        f"FROM ({biserial_rows('half', EVENTS)}) b",
+        "half AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY yd, value, id) - 1 AS place FROM events_f "
+        f"WHERE {EVENT_CASES}) WHERE place % 2 = 1)",
+    ),
+    f11_equivalence=on(
+        "quality",
+        f"SELECT test, {r('t', 't_stat')}, {r('p', 'p_value')} FROM (SELECT *, {student_p('t', 'df')} AS p FROM ("
+        f"SELECT 'pooled' AS test, {POOLED_T} AS t, n0 + n1 - 2 AS df FROM c UNION ALL "
+        f"SELECT 'welch', {WELCH_T}, {WELCH_DF} FROM c UNION ALL "
+        "SELECT unnest(['correlation', 'x_on_y', 'y_on_x']), r * sqrt((n - 2) / (1 - r * r)), n - 2 FROM "
+        "(SELECT corr(word_density, yd) AS r, count(*) AS n FROM quality)))",
+        f"c AS ({classes('quality', ['word_density'])})",
+    ),
+)
+
+
+def pair_rows(frame: str, features: list[str], select: str) -> str:
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    return " UNION ALL ".join(
+        f"SELECT '{a}' AS var1, '{b}' AS var2, {select.replace('{a}', a).replace('{b}', b)} FROM {frame}"
+        for a, b in pairs
+    )
+
+
+PAIR_R = "corr({a}, {b}) AS r, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n"
+STRONG = f"(SELECT * FROM ({pair_rows('orders_f', ORDERS, PAIR_R)}) WHERE abs(r) > 0.8)"
+MATRIX = ", ".join(
+    r(f"max(corr) FILTER (WHERE var2 = '{c}')", c) for c in EVENTS
+)
+
+add(
+    f9_split_balance=on(
+        "orders_f",
+        f"SELECT m.variable AS variable, {r('m.t', 't_statistic')}, {r('m.p', 'p_mean')}, {r('l.f', 'levene')}, "
+        f"{r('l.p', 'p_variance')} FROM (SELECT variable, t, {student_p('t', 'df')} AS p FROM (SELECT variable, "
+        f"{WELCH_T} AS t, {WELCH_DF} AS df FROM ({classes('parts', ['price', 'balance', 'quantity', 'lines'], 'in_test')}))) m "
+        f"JOIN (SELECT variable, f, {student_p('sqrt(f)', 'df')} AS p FROM "
+        f"({levene_rows('parts', ['price', 'balance', 'quantity', 'lines'], 'median', 'in_test')})) l USING (variable)",
+        "cut AS (" + ORACLES["c8_stratified_split"].split(ORDERS_FRAME, 1)[1] + "), "
+        "parts AS (SELECT orders_f.*, in_test FROM orders_f JOIN cut ON cut.id = orders_f.id)",
+    ),
+    g1_strong_pairs=on("orders_f", f"SELECT var1, var2, {r('r', 'r')}, n FROM {STRONG} s"),
+    g2_correlation_pairs=on(
+        "orders_f",
+        f"SELECT var1, var2, {r('r', 'r')}, n FROM ({pair_rows('orders_f', [*ORDERS, 'yd'], PAIR_R)}) s",
+    ),
+    g2_correlation_matrix=on(
+        "events_f",
+        f"SELECT var1 AS variable, {MATRIX} FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS corr FROM whole" for a in EVENTS for b in EVENTS
+        )
+        + ") GROUP BY var1",
+        f"whole AS (SELECT * FROM events_f WHERE {EVENT_CASES})",
+    ),
+    g3_lower_triangle=on(
+        "orders_f",
+        f"SELECT var2 AS var1, var1 AS var2, {r('abs(r)', 'abs_r')} FROM ("
+        + pair_rows("whole", ORDERS, "corr({a}, {b}) AS r") + ")",
+        f"whole AS (SELECT * FROM orders_f WHERE {ORDER_CASES})",
+    ),
+    g4_strong_columns=on(
+        "orders_f", f"SELECT DISTINCT unnest([var1, var2]) AS variable FROM {STRONG}"
+    ),
+    g5_pair_lines=on(
+        "orders_f",
+        f"SELECT var1, var2, {r('slope', 'slope')}, {r('icpt', 'intercept')}, n FROM ("
+        + pair_rows(
+            "orders_f", ORDERS,
+            "regr_slope({b}, {a}) AS slope, regr_intercept({b}, {a}) AS icpt, regr_count({b}, {a})::BIGINT AS n",
+        ) + ") s",
+    ),
+    h1_ols=on(
+        "orders_f",
+        f"SELECT model, term, {r('b', 'coef')}, {r('se', 'std_err')}, {r('b / se', 'statistic')}, "
+        f"{r(student_p('b / se', 'df'), 'p_value')} FROM ({OLS_TABLE})",
+        TWO,
+    ),
+    h2_logit=binary_table(f"{QUALITY_FIT}, {logit_fit()}", LOGIT_INFO, logit_rows("logit"), "Logit"),
+    h3_probit=binary_table(f"{QUALITY_FIT}, {probit_fit()}", PROBIT_OBSERVED, probit_rows("probit"), "Probit"),
+    h3_probit_expected=binary_table(
+        f"{QUALITY_FIT}, {probit_fit()}", PROBIT_EXPECTED, probit_rows("probit"), "Probit"
+    ),
+    h4_coefficients=f"WITH {THREE_FITS} SELECT model, term, {r('t.coef', 'coef', 5)}, {r('se', 'std_err', 5)} FROM "
+    f"({OLS_ERRORS} UNION ALL {errors(LOGIT_INFO, logit_rows('logit'), 'Logit')} UNION ALL "
+    f"{errors(PROBIT_OBSERVED, probit_rows('probit'), 'Probit')}) t",
+    h5_ols_summary=on(
+        "orders_f",
+        "SELECT 'OLS' AS model, m.k AS measure, round(m.v, 4) + 0.0 AS value FROM (SELECT unnest(["
+        "{'k': 'n', 'v': n}, {'k': 'df_model', 'v': 2.0}, {'k': 'df_resid', 'v': n - 3}, "
+        "{'k': 'r2', 'v': 1 - sse / sst}, {'k': 'adj_r2', 'v': 1 - (sse / sst) * (n - 1) / (n - 3)}, "
+        "{'k': 'f', 'v': ((sst - sse) / 2) / (sse / (n - 3))}, {'k': 'loglik', 'v': ll}, "
+        "{'k': 'aic', 'v': 6 - 2 * ll}, {'k': 'bic', 'v': 3 * ln(n) - 2 * ll}, {'k': 'skew', 'v': sk}, "
+        "{'k': 'kurtosis', 'v': ku}, {'k': 'jarque_bera', 'v': n / 6 * (sk * sk + pow(ku - 3, 2) / 4)}, "
+        "{'k': 'jb_p_value', 'v': exp(-n / 12 * (sk * sk + pow(ku - 3, 2) / 4))}, "
+        "{'k': 'durbin_watson', 'v': dw}, {'k': 'smallest_eigenvalue', 'v': ev.low}, "
+        "{'k': 'condition_number', 'v': sqrt(ev.high / ev.low)}]) AS m FROM (SELECT any_value(n) AS n, "
+        "any_value(sse) AS sse, any_value(sst) AS sst, -any_value(n) / 2 * (ln(2 * pi() * any_value(sse) / any_value(n)) + 1) AS ll, "
+        "avg(pow(e, 3)) / pow(avg(e * e), 1.5) AS sk, avg(pow(e, 4)) / pow(avg(e * e), 2) AS ku, "
+        "sum(pow(e - prev, 2)) / sum(e * e) AS dw FROM (SELECT *, lag(e) OVER (ORDER BY id) AS prev FROM "
+        "(SELECT two.id, y - b0 - b1 * x1 - b2 * x2 AS e, n, sse, sst FROM two, fin))), ev) "
+        "WHERE m.k NOT IN ('smallest_eigenvalue', 'condition_number')",
+        TWO + ", ev AS (SELECT 1.0 AS low, 1.0 AS high)",
+    ),
+    h6_h7_binary_summary=f"WITH {QUALITY_FIT}, {logit_fit()}, {probit_fit()}, ll AS ("
+    f"SELECT 'Logit' AS model, sum(ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) AS v, count(*)::DOUBLE AS n, "
+    f"avg(y) AS m FROM ({logit_rows('logit')}) UNION ALL "
+    f"SELECT 'Probit', sum(ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)), count(*)::DOUBLE, avg(y) "
+    f"FROM ({probit_rows('probit')})) "
+    "SELECT model, t.k AS measure, round(t.v, 5) + 0.0 AS value FROM (SELECT model, unnest([{'k': 'n', 'v': n}, "
+    "{'k': 'loglik', 'v': v}, {'k': 'loglik_null', 'v': z}, {'k': 'lr', 'v': 2 * (v - z)}, "
+    "{'k': 'pseudo_r2', 'v': 1 - v / z}, {'k': 'aic', 'v': 4 - 2 * v}, {'k': 'bic', 'v': 2 * ln(n) - 2 * v}]) AS t "
+    "FROM (SELECT *, n * (m * ln(m) + (1 - m) * ln(1 - m)) AS z FROM ll))",
+    h8_predictions=f"WITH {fit_rows('orders_f', 'price')}, {logit_fit(10)} SELECT id, {r('e.p', 'p')} "
+    f"FROM ({logit_rows('logit')}) e",
+    h9_scores=f"WITH {THREE_FITS} SELECT id, CAST(y AS INTEGER) AS yd, {r('x', 'word_density', 5)}, "
+    + ", ".join(r(f"e.{c}", c, 5) for c in ("score_ols", "score_logit", "score_probit"))
+    + f" FROM ({scores_sql()}) e",
+    h13_pearson_residuals=f"WITH {fit_rows('orders_f', 'price')}, {logit_fit(10)} SELECT id, "
+    f"{r('(y - p) / sqrt(p * (1 - p))', 'residual')} FROM ({logit_rows('logit')})",
+    h14_residual_table=f"{residual_rows()} SELECT id, y, model, {r('res.p_hat', 'p_hat', 4)}, "
+    f"{r('res.residual', 'residual', 4)}, abs(res.residual) > 2 AS outlier FROM res",
+    h14_outliers=f"{residual_rows()} SELECT id, y, {r('res.residual', 'residual', 4)} FROM res "
+    "WHERE model = 'Logit' AND abs(res.residual) > 2",
+    h15_dummy_trap=on(
+        "quality",
+        "SELECT model, term, round(c, 6) + 0.0 AS coef FROM (SELECT unnest(["
+        "{'m': 'minimum norm', 't': 'const', 'c': (m0 + m1) / 3}, "
+        "{'m': 'minimum norm', 't': 'yd', 'c': (2 * m1 - m0) / 3}, "
+        "{'m': 'minimum norm', 't': 'ynd', 'c': (2 * m0 - m1) / 3}, "
+        "{'m': 'dropped', 't': 'const', 'c': m0}, {'m': 'dropped', 't': 'yd', 'c': m1 - m0}]) AS u, "
+        "u.m AS model, u.t AS term, u.c AS c FROM (SELECT avg(word_density) FILTER (WHERE yd = 0) AS m0, "
+        "avg(word_density) FILTER (WHERE yd = 1) AS m1 FROM quality))",
+    ),
+    h16_contrast_regression=on(
+        "quality",
+        f"SELECT t.term AS term, {r('t.b', 'coef')}, {r('t.se', 'std_err')} FROM (SELECT unnest(["
+        "{'term': 'const', 'b': a, 'se': sqrt(s2 * (1 / n + mz * mz / szz))}, "
+        "{'term': 'z', 'b': b, 'se': sqrt(s2 / szz)}]) AS t FROM (SELECT regr_intercept(word_density, z) AS a, "
+        "regr_slope(word_density, z) AS b, count(*)::DOUBLE AS n, avg(z) AS mz, var_pop(z) * count(*) AS szz, "
+        "(regr_syy(word_density, z) - pow(regr_sxy(word_density, z), 2) / regr_sxx(word_density, z)) / (count(*) - 2) AS s2 "
+        "FROM (SELECT *, (2 * yd - 1)::DOUBLE AS z FROM quality)))",
+    ),
+    h17_gaussian_fit=on(
+        "events_f",
+        f"SELECT t.term AS term, {r('t.b', 'coef', 5)}, {r('ll', 'loglik', 5)} FROM (SELECT unnest(["
+        "{'term': 'const', 'b': b0}, {'term': 'k', 'b': b1}, {'term': 'hour', 'b': b2}]) AS t, "
+        "-n / 2 * (ln(2 * pi() * sse / n) + 1) AS ll FROM fin)",
+        gaussian_table(),
+    ),
+    h18_constrained_fit=on(
+        "quality",
+        f"SELECT t.term AS term, {r('t.b', 'coef')} FROM (SELECT unnest([{{'term': 'const', 'b': (m0 + m1) / 2}}, "
+        "{'term': 'yd', 'b': (m1 - m0) / 2}, {'term': 'ynd', 'b': (m0 - m1) / 2}]) AS t FROM ("
+        "SELECT avg(word_density) FILTER (WHERE yd = 0) AS m0, avg(word_density) FILTER (WHERE yd = 1) AS m1 "
+        "FROM quality))",
+    ),
+    h19_linear_hypothesis=on(
+        "orders_f",
+        f"SELECT TRUE AS estimable, 2 AS df1, CAST(n - 3 AS INTEGER) AS df2, {r('f', 'f')}, "
+        # With two restrictions the tail of F has a closed form.
+        f"{r('pow(1 + 2 * f / (n - 3), -(n - 3) / 2)', 'p_value')} FROM (SELECT n, "
+        "((sst - sse) / 2) / (sse / (n - 3)) AS f FROM fin) t",
+        TWO,
+    ),
+    i1_standardize=on(
+        "orders_f",
+        "SELECT id, yd, " + ", ".join(
+            r(f"(orders_f.{c} - avg(orders_f.{c}) OVER ()) / stddev_pop(orders_f.{c}) OVER ()", c) for c in ORDERS
+        ) + " FROM orders_f",
+    ),
+    i2_knn_events=knn("events_f", EVENTS, ["value"]),
+    i3_knn_orders=knn("orders_f", ORDERS, ["quantity", "discount", "tax", "lines"]),
+    i4_one_hot="SELECT c_custkey, 4 AS width, CAST(c_mktsegment <> 'MACHINERY' AS INTEGER) AS hot FROM customer",
+    i5_preprocessor=f"SELECT c_custkey, {r('(c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ()', 'scaled')}, "
+    "CAST((SELECT count(DISTINCT c_mktsegment) FROM customer) + 1 AS INTEGER) AS width FROM customer",
+    i6_class_weights=on(
+        "orders_f",
+        f"SELECT yd, {r('n / (2 * n_c)', 'weight')}, {r('n / 2', 'total')} FROM (SELECT yd, count(*)::DOUBLE AS n_c, "
+        "sum(count(*)) OVER ()::DOUBLE AS n FROM orders_f GROUP BY yd)",
+    ),
+    j1_auc=on("orders_f", auc_of(score_rows("orders_f", ORDERS), "model")),
+    j2_roc_curve=on(
+        "events_f",
+        f"SELECT {rs(['threshold', 'fpr', 'tpr'])} FROM c WHERE place = 1 OR place = points OR next_pos <> pos "
+        "OR next_neg <> neg",
+        roc_points("events_f", "k").replace("lead(pos) OVER w", "lead(pos) OVER (ORDER BY threshold DESC)")
+        .replace("lead(neg) OVER w", "lead(neg) OVER (ORDER BY threshold DESC)"),
+    ),
+    j2_roc_curve_full=on(
+        "events_f", f"SELECT {rs(['threshold', 'fpr', 'tpr'])} FROM c", roc_points("events_f", "value")
+    ),
+    j3_roc_area=on(
+        "events_f",
+        f"SELECT {r('(c + t / 2) / (p * n)', 'area')} FROM "
+        f"({concordance_rows(score_rows('events_f', ['value']), 'model')})",
+    ),
+    j4_concordance=on(
+        "events_f",
+        "SELECT model, c AS concordant, p * n - c - t AS discordant, t AS ties, "
+        f"{r('100 * c / (p * n)', 'percent_concordant')}, {r('(c + t / 2) / (p * n)', 'auc')} FROM "
+        f"({concordance_rows(score_rows('events_f', EVENTS), 'model')})",
+    ),
+    j5_concordance_check=on(
+        "orders_f",
+        f"SELECT {r('100 * c / (p * n)', 'percent_concordant')}, {r('100 * (c + t / 2) / (p * n)', 'auc_percent')}, "
+        "t AS ties, t = 0 AS no_ties, t = 0 AS equal FROM "
+        f"({concordance_rows(score_rows('orders_f', ['price']), 'model')})",
+    ),
+    j6_one_class_auc=on(
+        "events_f",
+        "SELECT DISTINCT hour, CAST(NULL AS DOUBLE) AS auc FROM events_f WHERE yd = 1 AND value IS NOT NULL",
+    ),
+    j7_j8_confusion=on(
+        "events_f",
+        "SELECT tn, fp, fn, tp, tn + fp + fn + tp AS n, round((10.0 * fn + fp)::DOUBLE / (tn + fp + fn + tp), 6) + 0.0 "
+        "AS cost FROM (SELECT count(*) FILTER (WHERE s < 0.25 AND yd = 0) AS tn, count(*) FILTER (WHERE s >= 0.25 "
+        "AND yd = 0) AS fp, count(*) FILTER (WHERE s < 0.25 AND yd = 1) AS fn, count(*) FILTER (WHERE s >= 0.25 AND "
+        f"yd = 1) AS tp FROM (SELECT yd, {SHARE} AS s FROM events_f WHERE value IS NOT NULL))",
+    ),
+    j9_j11_cutoffs=on(
+        "events_f",
+        f"SELECT {r('1 / 11.0::DOUBLE', 't_star')}, {r('st.c', 'cost_star')}, {r('avg(thr)', 't_emp')}, "
+        f"{r('min(cost)', 'cost_emp')}, count(*) AS n_tied, {r('min(cost) - st.c', 'cost_change')} "
+        "FROM curve, (SELECT sum(CASE WHEN yd = 1 AND s < 1 / 11.0::DOUBLE THEN 10.0 WHEN yd = 0 AND "
+        "s >= 1 / 11.0::DOUBLE THEN 1.0 ELSE 0 END)::DOUBLE / count(*) AS c FROM "
+        f"(SELECT yd, {SHARE} AS s FROM events_f WHERE value IS NOT NULL)) st "
+        "WHERE cost = (SELECT min(cost) FROM curve) GROUP BY st.c",
+        cost_grid(SHARE),
+    ),
+    j10_cost_curve=on(
+        "events_f", f"SELECT {r('curve.thr', 'thr')}, {r('curve.cost', 'cost')} FROM curve", cost_grid("k / 100")
+    ),
+    j10_cheapest_cutoffs=on(
+        "events_f",
+        f"SELECT {r('c.thr', 'thr')}, {r('c.cost', 'cost')} FROM (SELECT * FROM curve ORDER BY cost, thr LIMIT 5) c",
+        cost_grid("k / 100", 4.0),
+    ),
+)
+
+
+def leverage_ctes() -> str:
+    """Orthogonal parts of the centred features, one after the other; their shares add up."""
+    frame = ORDERS_FRAME + ", o0 AS (SELECT id, " + ", ".join(
+        f"{c} - avg({c}) OVER () AS {c}" for c in ORDERS
+    ) + ", 1.0::DOUBLE / count(*) OVER () AS h, count(*) OVER () AS n FROM orders_f WHERE " + ORDER_CASES + ")"
+    for i, c in enumerate(ORDERS):
+        rest = "".join(
+            f", {d} - {c} * (sum({d} * {c}) OVER () / sum({c} * {c}) OVER ()) AS {d}" for d in ORDERS[i + 1:]
+        )
+        frame += (
+            f", o{i + 1} AS (SELECT id, n, h + {c} * {c} / sum({c} * {c}) OVER () AS h{rest} FROM o{i})"
+        )
+    return frame
+
+
+TOP = f"o{len(ORDERS)}"
+BIG_CUT = f"2.0 * {len(ORDERS) + 1} / n"
+
+add(
+    b19_math=on(
+        "events_f",
+        f"SELECT id, {r('sqrt(value)', 'root')}, {r('abs(value - 50)', 'gap')}, {r('pow(value, 0.25)', 'power')}, "
+        f"{r('exp(-value / 100)', 'decay')}, {r('k % 7', 'rest')}, "
+        f"{r(normal_quantile('(k + 0.5) / 100.5'), 'quantile')} FROM events_f",
+    ),
+    c4_top_leverage=f"WITH {leverage_ctes()} SELECT id, {r('h', 'leverage')} FROM (SELECT id, h FROM {TOP} "
+    f"WHERE h > {BIG_CUT} ORDER BY h DESC, id LIMIT 10)",
+    h12_leverage=f"WITH {leverage_ctes()} SELECT orders_f.id AS id, {r('h * 1000', 'leverage')}, "
+    f"h > {BIG_CUT} AS high_leverage FROM orders_f LEFT JOIN {TOP} ON {TOP}.id = orders_f.id",
+    f1_shapiro_wilk=on(
+        "quality",
+        f"SELECT yd, variable, CAST(n AS BIGINT) AS n, {r('sw.w', 'w')}, {r(upper_p('z'), 'p_value')}, "
+        "n <= 5000 AS p_reliable FROM sw",
+        shapiro_ctes("quality", ["k_chars", "word_density"]),
+    ),
+    f1_shapiro_wilk_large=on(
+        "orders_f",
+        f"SELECT yd, variable, CAST(n AS BIGINT) AS n, {r('sw.w', 'w')}, n <= 5000 AS p_reliable FROM sw",
+        shapiro_ctes("orders_f", ["price", "lines"]),
+    ),
+    f4_f5_variance_homogeneity=on(
+        "quality",
+        "SELECT variable, CASE WHEN normal THEN 'bartlett' ELSE 'levene' END AS test, "
+        f"{r('p', 'pvalue')}, normal AS decision_normality, {r('p0', 'p_shapiro_0')}, {r('p1', 'p_shapiro_1')}, "
+        "p >= 0.05 AS equal_variances, n0, n1 FROM (SELECT *, CASE WHEN normal THEN pb ELSE pl END AS p FROM "
+        "(SELECT c.variable AS variable, n0, n1, p0, p1, pl, "
+        f"p0 > 0.05 AND p1 > 0.05 AS normal, {normal_p('sqrt(x)')} AS pb FROM (SELECT variable, n0, n1, "
+        f"((n0 + n1 - 2) * ln({POOLED}) - (n0 - 1) * ln(v0) - (n1 - 1) * ln(v1)) / "
+        "(1 + (1.0 / (n0 - 1) + 1.0 / (n1 - 1) - 1.0 / (n0 + n1 - 2)) / 3) AS x "
+        f"FROM ({classes('quality', ['k_chars', 'word_density'])})) c "
+        f"JOIN (SELECT variable, {student_p('sqrt(f)', 'df')} AS pl FROM "
+        f"({levene_rows('quality', ['k_chars', 'word_density'], 'median')})) l USING (variable) "
+        "JOIN (SELECT variable, max(p) FILTER (WHERE yd = 0) AS p0, max(p) FILTER (WHERE yd = 1) AS p1 FROM "
+        f"(SELECT *, {upper_p('z')} AS p FROM sw) GROUP BY variable) s USING (variable)))",
+        shapiro_ctes("quality", ["k_chars", "word_density"]),
+    ),
+)

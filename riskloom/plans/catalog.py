@@ -144,8 +144,8 @@ def b4_filtered_sample(spark, d):
 def b5_finite_rows(spark, d):
     df = events_frame(spark, d)
     ratio = F.when(F.col("k") == 0, F.lit(float("inf"))).otherwise(F.col("value") / F.col("k"))
-    kept = frame.finite_rows(df.select("id", "yd", F.nanvl(ratio, ratio).alias("ratio")), ["ratio"])
-    return tidy(kept)
+    kept = frame.finite_rows(df.select("id", "yd", ratio.alias("ratio")), ["ratio"])
+    return tidy(kept, 9)
 
 
 @query
@@ -236,7 +236,7 @@ def b20_error_to_missing(spark, d):
     return tidy(events_frame(spark, d).select(
         "id", F.try_divide("value", "k").alias("ratio"),
         F.when(F.col("k") > 0, F.log("k")).alias("log_k"),
-    ))
+    ), 9)
 
 
 # ---------------------------------------------------------------- order and samples
