@@ -262,14 +262,14 @@ STEP = (
 )
 
 
-def iterate(name: str, rows: str, gradient: str, weight: str, steps: int) -> str:
-    """Scoring steps from 0; `rows` selects x, y, b0, b1 and helpers from `fit` and the step before."""
+def iterate(name: str, rows: str, gradient: str, weight: str, steps: int, penalty: float = 0.0) -> str:
+    """Scoring steps from 0, with a quadratic penalty on the slope; `rows` selects x, y, b0, b1 and helpers from `fit` and the step before."""
     ctes = [f"{name}_0 AS MATERIALIZED (SELECT 0::DOUBLE AS b0, 0::DOUBLE AS b1)"]
     for i in range(1, steps + 1):
         ctes.append(
             f"{name}_{i} AS MATERIALIZED (SELECT {STEP} FROM (SELECT any_value(b0) AS b0, "
-            f"any_value(b1) AS b1, sum({gradient}) AS g0, sum(({gradient}) * x) AS g1, "
-            f"sum({weight}) AS h00, sum(({weight}) * x) AS h01, sum(({weight}) * x * x) AS h11 "
+            f"any_value(b1) AS b1, sum({gradient}) AS g0, sum(({gradient}) * x) - {penalty} * any_value(b1) AS g1, "
+            f"sum({weight}) AS h00, sum(({weight}) * x) AS h01, sum(({weight}) * x * x) + {penalty} AS h11 "
             f"FROM ({rows.replace('{prior}', f'{name}_{i - 1}')})))"
         )
     ctes.append(f"{name} AS MATERIALIZED (SELECT b0, b1 FROM {name}_{steps})")
@@ -785,18 +785,38 @@ add(
         "SELECT 'OLS' AS model, m.k AS measure, round(m.v, 4) + 0.0 AS value FROM (SELECT unnest(["
         "{'k': 'n', 'v': n}, {'k': 'df_model', 'v': 2.0}, {'k': 'df_resid', 'v': n - 3}, "
         "{'k': 'r2', 'v': 1 - sse / sst}, {'k': 'adj_r2', 'v': 1 - (sse / sst) * (n - 1) / (n - 3)}, "
-        "{'k': 'f', 'v': ((sst - sse) / 2) / (sse / (n - 3))}, {'k': 'loglik', 'v': ll}, "
-        "{'k': 'aic', 'v': 6 - 2 * ll}, {'k': 'bic', 'v': 3 * ln(n) - 2 * ll}, {'k': 'skew', 'v': sk}, "
-        "{'k': 'kurtosis', 'v': ku}, {'k': 'jarque_bera', 'v': n / 6 * (sk * sk + pow(ku - 3, 2) / 4)}, "
+        "{'k': 'f', 'v': f}, {'k': 'f_p_value', 'v': pow(1 + 2 * f / (n - 3), -(n - 3) / 2)}, "
+        "{'k': 'loglik', 'v': ll}, {'k': 'aic', 'v': 6 - 2 * ll}, {'k': 'bic', 'v': 3 * ln(n) - 2 * ll}, "
+        "{'k': 'skew', 'v': sk}, {'k': 'kurtosis', 'v': ku}, "
+        "{'k': 'jarque_bera', 'v': n / 6 * (sk * sk + pow(ku - 3, 2) / 4)}, "
         "{'k': 'jb_p_value', 'v': exp(-n / 12 * (sk * sk + pow(ku - 3, 2) / 4))}, "
-        "{'k': 'durbin_watson', 'v': dw}, {'k': 'smallest_eigenvalue', 'v': ev.low}, "
-        "{'k': 'condition_number', 'v': sqrt(ev.high / ev.low)}]) AS m FROM (SELECT any_value(n) AS n, "
-        "any_value(sse) AS sse, any_value(sst) AS sst, -any_value(n) / 2 * (ln(2 * pi() * any_value(sse) / any_value(n)) + 1) AS ll, "
-        "avg(pow(e, 3)) / pow(avg(e * e), 1.5) AS sk, avg(pow(e, 4)) / pow(avg(e * e), 2) AS ku, "
-        "sum(pow(e - prev, 2)) / sum(e * e) AS dw FROM (SELECT *, lag(e) OVER (ORDER BY id) AS prev FROM "
-        "(SELECT two.id, y - b0 - b1 * x1 - b2 * x2 AS e, n, sse, sst FROM two, fin))), ev) "
-        "WHERE m.k NOT IN ('smallest_eigenvalue', 'condition_number')",
-        TWO + ", ev AS (SELECT 1.0 AS low, 1.0 AS high)",
+        "{'k': 'omnibus', 'v': z1 * z1 + z2 * z2}, {'k': 'omnibus_p_value', 'v': exp(-(z1 * z1 + z2 * z2) / 2)}, "
+        "{'k': 'durbin_watson', 'v': dw}, {'k': 'smallest_eigenvalue', 'v': low}, "
+        "{'k': 'condition_number', 'v': sqrt(high / low)}]) AS m FROM k2, ev)",
+        TWO + """, res AS (SELECT any_value(n) AS n, any_value(sse) AS sse, any_value(sst) AS sst,
+          ((any_value(sst) - any_value(sse)) / 2) / (any_value(sse) / (any_value(n) - 3)) AS f,
+          -any_value(n) / 2 * (ln(2 * pi() * any_value(sse) / any_value(n)) + 1) AS ll,
+          avg(pow(e, 3)) / pow(avg(e * e), 1.5) AS sk, avg(pow(e, 4)) / pow(avg(e * e), 2) AS ku,
+          sum(pow(e - prev, 2)) / sum(e * e) AS dw
+          FROM (SELECT *, lag(e) OVER (ORDER BY id) AS prev FROM
+                (SELECT two.id, y - b0 - b1 * x1 - b2 * x2 AS e, n, sse, sst FROM two, fin))),
+        k0 AS (SELECT *, sk * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS sy,
+          3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS be,
+          (ku - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / (pow(n + 1, 2) * (n + 3) * (n + 5))) AS kx,
+          6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
+            * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS be3 FROM res),
+        k1 AS (SELECT *, sqrt(2 * (be - 1)) - 1 AS w2,
+          6 + 8 / be3 * (2 / be3 + sqrt(1 + 4 / pow(be3, 2))) AS ka FROM k0),
+        k2 AS (SELECT *, asinh(sy / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1,
+          (1 - 2 / (9 * ka) - cbrt((1 - 2 / ka) / (1 + kx * sqrt(2 / (ka - 4))))) / sqrt(2 / (9 * ka)) AS z2
+          FROM k1),
+        cub AS (SELECT n * (1 + s11 + m1 * m1 + s22 + m2 * m2) AS c2,
+          n * n * (s11 + s22 + det + s11 * m2 * m2 + s22 * m1 * m1 - 2 * s12 * m1 * m2) AS c1,
+          pow(n, 3) * det AS c0 FROM fin),
+        ev AS (SELECT list_reduce(list_transform(range(0, 100), lambda i: 0::DOUBLE),
+            lambda x, i: x - (((x - c2) * x + c1) * x - c0) / ((3 * x - 2 * c2) * x + c1)) AS low,
+          list_reduce(list_transform(range(0, 100), lambda i: c2),
+            lambda x, i: x - (((x - c2) * x + c1) * x - c0) / ((3 * x - 2 * c2) * x + c1)) AS high FROM cub)""",
     ),
     h6_h7_binary_summary=f"WITH {QUALITY_FIT}, {logit_fit()}, {probit_fit()}, ll AS ("
     f"SELECT 'Logit' AS model, sum(ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) AS v, count(*)::DOUBLE AS n, "
@@ -820,12 +840,12 @@ add(
     "WHERE model = 'Logit' AND abs(res.residual) > 2",
     h15_dummy_trap=on(
         "quality",
-        "SELECT model, term, round(c, 6) + 0.0 AS coef FROM (SELECT unnest(["
+        f"SELECT u.m AS model, u.t AS term, {r('u.c', 'coef')} FROM (SELECT unnest(["
         "{'m': 'minimum norm', 't': 'const', 'c': (m0 + m1) / 3}, "
         "{'m': 'minimum norm', 't': 'yd', 'c': (2 * m1 - m0) / 3}, "
         "{'m': 'minimum norm', 't': 'ynd', 'c': (2 * m0 - m1) / 3}, "
-        "{'m': 'dropped', 't': 'const', 'c': m0}, {'m': 'dropped', 't': 'yd', 'c': m1 - m0}]) AS u, "
-        "u.m AS model, u.t AS term, u.c AS c FROM (SELECT avg(word_density) FILTER (WHERE yd = 0) AS m0, "
+        "{'m': 'dropped', 't': 'const', 'c': m0}, {'m': 'dropped', 't': 'yd', 'c': m1 - m0}]) AS u "
+        "FROM (SELECT avg(word_density) FILTER (WHERE yd = 0) AS m0, "
         "avg(word_density) FILTER (WHERE yd = 1) AS m1 FROM quality))",
     ),
     h16_contrast_regression=on(
@@ -992,3 +1012,102 @@ add(
         shapiro_ctes("quality", ["k_chars", "word_density"]),
     ),
 )
+
+
+# ---------------------------------------------------------------- fits on samples
+
+STARS = "CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END"
+
+
+def refit(sample: int, name: str) -> str:
+    rows = (
+        f"{QUALITY_FRAME}, fit AS MATERIALIZED (SELECT id, CAST(yd AS DOUBLE) AS y, word_density AS x, yd FROM "
+        "(SELECT *, row_number() OVER (ORDER BY yd, k_chars, id) - 1 AS place FROM quality) "
+        f"WHERE CAST(place % 2 = 0 AS INTEGER) = {sample})"
+    )
+    area = auc_of(f"SELECT yd, 1 AS model, round(p, 12) AS score FROM ({logit_rows('logit')})", "model", 5)
+    return (
+        f"SELECT '{name}' AS sample, c.b0, c.b1, auc FROM (WITH {rows}, {logit_fit(14)} SELECT "
+        f"{r('logit.b0', 'b0', 5)}, {r('logit.b1', 'b1', 5)}, a.auc AS auc FROM logit, ({area}) a) c"
+    )
+
+
+# Training rows of the stratified split of the quality frame, with balanced weights.
+QUALITY_PARTS = (
+    QUALITY_FRAME + ", cut AS ("
+    + ORACLES["c8_stratified_split"].split(ORDERS_FRAME, 1)[1].replace("orders_f", "quality")
+    + "), parts AS (SELECT quality.*, in_test FROM quality JOIN cut ON cut.id = quality.id), "
+    "scaled AS (SELECT *, (word_density - m) / s AS x FROM parts, (SELECT avg(word_density) AS m, "
+    "stddev_pop(word_density) AS s FROM parts WHERE in_test = 0)), "
+    "fit AS MATERIALIZED (SELECT id, CAST(yd AS DOUBLE) AS y, x, count(*) OVER () / (2.0::DOUBLE * count(*) "
+    "OVER (PARTITION BY yd)) AS w FROM scaled WHERE in_test = 0), "
+    "held AS (SELECT id, CAST(yd AS DOUBLE) AS y, x FROM scaled WHERE in_test = 1)"
+)
+LINEAR_PARTS = (
+    QUALITY_PARTS + ", lm AS (SELECT avg(k_chars) AS m1, avg(word_density) AS m2, avg(yd) AS my, "
+    "var_pop(k_chars) AS s11, var_pop(word_density) AS s22, covar_pop(k_chars, word_density) AS s12, "
+    "covar_pop(k_chars, yd) AS s1y, covar_pop(word_density, yd) AS s2y FROM parts WHERE in_test = 0), "
+    "lb AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, "
+    "(s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM lm)"
+)
+HOLDOUT = (
+    QUALITY_FRAME + f", parts AS (SELECT *, CAST({hash_order('id')} <= ceil(0.25 * count(*) OVER ()) AS INTEGER) "
+    "AS in_test FROM quality), fit AS MATERIALIZED (SELECT id, CAST(yd AS DOUBLE) AS y, word_density AS x "
+    "FROM parts WHERE in_test = 0)"
+)
+
+
+def scored(source: str, digits: int, cut: float = 0.5) -> str:
+    return f"SELECT id, {r('z.p', 'score', digits)}, CAST(z.p >= {cut} AS INTEGER) AS said FROM ({source}) z"
+
+
+add(
+    h10_comparison=f"WITH {THREE_FITS}, co AS ("
+    f"SELECT model, term, coef, se, {student_p('coef / se', 'df')} AS p FROM ({OLS_ERRORS}), "
+    "(SELECT count(*) - 2 AS df FROM fit) UNION ALL "
+    f"SELECT *, {normal_p('coef / se')} FROM ({errors(LOGIT_INFO, logit_rows('logit'), 'Logit')} UNION ALL "
+    f"{errors(PROBIT_OBSERVED, probit_rows('probit'), 'Probit')})), s AS MATERIALIZED ({scores_sql()}), "
+    "sl AS (SELECT CAST(y AS INTEGER) AS yd, 'OLS' AS model, score_ols AS score FROM s UNION ALL "
+    "SELECT CAST(y AS INTEGER), 'Logit', score_logit FROM s UNION ALL "
+    "SELECT CAST(y AS INTEGER), 'Probit', score_probit FROM s), "
+    "ll AS (SELECT sum(ln(CASE WHEN y = 1 THEN score_logit ELSE 1 - score_logit END)) AS l1, "
+    "sum(ln(CASE WHEN y = 1 THEN score_probit ELSE 1 - score_probit END)) AS l2, "
+    "count(*) * (avg(y) * ln(avg(y)) + (1 - avg(y)) * ln(1 - avg(y))) AS l0, "
+    "-count(*) / 2.0 * (ln(2 * pi() * avg(pow(y - score_ols, 2))) + 1) AS l3, "
+    "1 - avg(pow(y - score_ols, 2)) / var_pop(y) AS r2 FROM s), cells AS ("
+    f"SELECT model, term, 0 AS line, printf('%.3f', coef) || {STARS} AS text FROM co UNION ALL "
+    "SELECT model, term, 1, '(' || printf('%.3f', se) || ')' FROM co UNION ALL "
+    "SELECT unnest(['OLS', 'Logit', 'Probit']), 'N', 0, CAST((SELECT count(*) FROM fit) AS VARCHAR) UNION ALL "
+    "SELECT unnest(['OLS', 'Logit', 'Probit']), 'R2', 0, "
+    "unnest([printf('%.3f', r2), printf('%.3f', 1 - l1 / l0), printf('%.3f', 1 - l2 / l0)]) FROM ll UNION ALL "
+    "SELECT unnest(['OLS', 'Logit', 'Probit']), 'loglik', 0, "
+    "unnest([printf('%.3f', l3), printf('%.3f', l1), printf('%.3f', l2)]) FROM ll UNION ALL "
+    f"SELECT model, 'AUC', 0, printf('%.3f', (c + t / 2) / (p * n)) FROM ({concordance_rows('SELECT * FROM sl', 'model')})) "
+    "SELECT term, line, max(text) FILTER (WHERE model = 'OLS') AS \"OLS\", "
+    "max(text) FILTER (WHERE model = 'Logit') AS \"Logit\", "
+    "max(text) FILTER (WHERE model = 'Probit') AS \"Probit\" FROM cells GROUP BY term, line",
+    h11_validation_refit=f"{refit(0, 'train')} UNION ALL {refit(1, 'valid')}",
+    i7_penalized_logit=f"WITH {QUALITY_PARTS}, "
+    + iterate("pl", logit_rows(), "w * (y - p)", "w * p * (1 - p)", 15, 1.0)
+    + " " + scored(logit_rows("pl", "held"), 4),
+    i8_probit_estimator=f"WITH {QUALITY_PARTS}, {probit_fit()} " + scored(probit_rows("probit", "held"), 4),
+    i9_linear_probability=f"WITH {LINEAR_PARTS} " + scored(
+        "SELECT id, greatest(1e-9, least(1 - 1e-9, my + b1 * (k_chars - m1) + b2 * (word_density - m2))) AS p "
+        "FROM parts, lb WHERE in_test = 1", 6),
+    i10_ridge=f"WITH {QUALITY_PARTS}, rd AS (SELECT *, (sxy - sx * sy / sw) / (sxx - sx * sx / sw + 3.0) AS b1 FROM "
+    "(SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * (2 * y - 1)) AS sy, sum(w * x * x) AS sxx, "
+    "sum(w * x * (2 * y - 1)) AS sxy FROM fit)) "
+    + scored("SELECT id, (sy - b1 * sx) / sw + b1 * x AS p FROM held, rd", 6, 0.0),
+    i14_i15_out_of_fold_auc=f"WITH {QUALITY_PARTS}, folds AS (SELECT id, yd, word_density AS x, "
+    "CAST(place > round(1 / 3.0::DOUBLE * n) AS INTEGER) + CAST(place > round(2 / 3.0::DOUBLE * n) AS INTEGER) AS fold FROM "
+    f"(SELECT *, {hash_order('id', 'yd')} AS place, count(*) OVER (PARTITION BY yd) AS n FROM parts WHERE in_test = 0)), "
+    "fb AS (SELECT k AS fold, regr_intercept(yd, x) AS b0, regr_slope(yd, x) AS b1 FROM folds, "
+    "(SELECT CAST(i AS INTEGER) AS k FROM range(0, 3) t(i)) WHERE fold <> k GROUP BY k) "
+    + auc_of(
+        "SELECT fold, yd, round(greatest(1e-9, least(1 - 1e-9, b0 + b1 * x)), 12) AS score FROM folds JOIN fb USING (fold)",
+        "fold"),
+    i16_train_test_auc=f"WITH {HOLDOUT}, {logit_fit(14)} " + auc_of(
+        f"SELECT parts.in_test AS in_test, parts.yd AS yd, round(e.p, 12) AS score FROM "
+        f"({logit_rows('logit', '(SELECT id, word_density AS x FROM parts)')}) e JOIN parts ON parts.id = e.id",
+        "in_test"),
+)
