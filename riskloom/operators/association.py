@@ -2,56 +2,94 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import finite_or_null
 from riskloom.functions.tails import student_p
-from riskloom.operators.frame import finite_rows
+from riskloom.operators.frame import finite_rows, finite_values
 from riskloom.operators.hypothesis import equal_means, point_biserial
+from riskloom.operators.impute import present_mask
 
 
-def pair_measures(df: DataFrame, pairs: list[tuple[str, str]], measures) -> DataFrame:
-    """All pairs in one aggregation; each pair uses the rows where both values are present."""
-    cells = []
-    for a, b in pairs:
-        x, y = finite_or_null(a), finite_or_null(b)
-        both = x.isNotNull() & y.isNotNull()
-        named = measures(F.when(both, x), F.when(both, y))
-        cells.append(
-            F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                     *[v.alias(k) for k, v in named.items()])
-        )
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+@dataclass(frozen=True)
+class Pair:
+    """Moments of two columns over the rows where both are present."""
 
+    n: int
+    mean: tuple[float, float]
+    spread: tuple[float, float]  # centred sums of squares
+    cross: float
 
-def correlation(x: Column, y: Column) -> Column:
-    """Pearson r; NULL when either side is constant (plain corr would raise in ANSI mode)."""
-    spread = F.var_pop(x) * F.var_pop(y)
-    return F.try_divide(F.covar_pop(x, y), F.when(spread > 0, F.sqrt(spread)))
+    def varies(self, side: int) -> bool:
+        """False for a constant, up to the rounding of its mean."""
+        return self.n > 0 and self.spread[side] > 1e-26 * self.n * self.mean[side] ** 2
 
+    @property
+    def r(self) -> float | None:
+        """Pearson correlation; None when either side is constant."""
+        if not (self.varies(0) and self.varies(1)):
+            return None
+        return self.cross / math.sqrt(self.spread[0] * self.spread[1])
 
-def correlation_pairs(df: DataFrame, columns: list[str], complete: bool = False) -> DataFrame:
-    """r of every pair a < b in column order; pairwise complete rows, or rows complete in all."""
+
+def pair_moments(
+    df: DataFrame, columns: list[str], complete: bool = False
+) -> dict[tuple[str, str], Pair]:
+    """All pairs in one aggregation by pattern of missing cells (at most 2 ** p patterns).
+
+    Within a pattern every pair has the same rows, so one set of plain centred sums serves all;
+    the patterns holding both columns are then put together.
+    """
+    finite = finite_values(df.select(*columns), columns)
     if complete:
-        df = finite_rows(df, columns)
-    return pair_measures(
-        df, list(combinations(columns, 2)), lambda x, y: {"r": correlation(x, y), "n": F.count(x)}
+        finite = finite.na.drop()
+    pairs = list(combinations(range(len(columns)), 2))
+    rows = (
+        finite.groupBy(present_mask(columns).alias("mask"))
+        .agg(
+            F.count("*").alias("n"),
+            F.array(*[F.avg(c) for c in columns]).alias("mean"),
+            F.array(*[F.var_pop(c) for c in columns]).alias("var"),
+            F.array(*[F.covar_pop(columns[i], columns[j]) for i, j in pairs] or [F.lit(0.0)]).alias("cov"),
+        )
+        .collect()
     )
+    out = {}
+    for at, (i, j) in [*enumerate(pairs), *[(None, (i, i)) for i in range(len(columns))]]:
+        both = [r for r in rows if r["mask"] >> i & 1 and r["mask"] >> j & 1]
+        n = sum(r["n"] for r in both)
+        mean = [sum(r["n"] * r["mean"][k] for r in both) / n if n else 0.0 for k in (i, j)]
+        spread = [
+            sum(r["n"] * (r["var"][k] + (r["mean"][k] - m) ** 2) for r in both)
+            for k, m in zip((i, j), mean)
+        ]
+        cross = spread[0] if at is None else sum(
+            r["n"] * (r["cov"][at] + (r["mean"][i] - mean[0]) * (r["mean"][j] - mean[1])) for r in both
+        )
+        out[columns[i], columns[j]] = Pair(n, tuple(mean), tuple(spread), cross)
+    return out
+
+
+def correlation_pairs(df: DataFrame, columns: list[str], complete: bool = False) -> DataFrame:
+    """r of every pair a < b in column order; pairwise complete rows, or rows complete in all."""
+    table = [
+        (a, b, p.r, p.n) for (a, b), p in pair_moments(df, columns, complete).items() if a != b
+    ]
+    return df.sparkSession.createDataFrame(table, "var1 string, var2 string, r double, n bigint")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], complete: bool = True) -> DataFrame:
     """One row per variable, one column per variable."""
-    pairs = correlation_pairs(df, columns, complete)
-    flipped = pairs.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r")
-    ones = pair_measures(
-        finite_rows(df, columns) if complete else df,
-        [(c, c) for c in columns], lambda x, y: {"r": correlation(x, y)},
-    )
-    both = pairs.select("var1", "var2", "r").unionByName(flipped).unionByName(ones)
-    return both.groupBy(F.col("var1").alias("variable")).pivot("var2", columns).agg(F.first("r"))
+    found = pair_moments(df, columns, complete)
+    table = [
+        (a, *[(found.get((a, b)) or found[b, a]).r for b in columns]) for a in columns
+    ]
+    schema = "variable string, " + ", ".join(f"`{c}` double" for c in columns)
+    return df.sparkSession.createDataFrame(table, schema)
 
 
 def lower_triangle(df: DataFrame, columns: list[str], complete: bool = True) -> DataFrame:
@@ -79,12 +117,15 @@ def strong_columns(df: DataFrame, columns: list[str], cut: float = 0.8) -> DataF
 
 def pair_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """Regression line of var2 on var1 for every pair."""
-
-    def line(x: Column, y: Column) -> dict[str, Column]:
-        slope = F.try_divide(F.covar_pop(x, y), F.var_pop(x))
-        return {"slope": slope, "intercept": F.avg(y) - slope * F.avg(x), "n": F.count(x)}
-
-    return pair_measures(df, list(combinations(columns, 2)), line)
+    table = []
+    for (a, b), p in pair_moments(df, columns).items():
+        if a != b:
+            slope = p.cross / p.spread[0] if p.varies(0) else None
+            level = None if slope is None else p.mean[1] - slope * p.mean[0]
+            table.append((a, b, slope, level, p.n))
+    return df.sparkSession.createDataFrame(
+        table, "var1 string, var2 string, slope double, intercept double, n bigint"
+    )
 
 
 def equivalence_check(df: DataFrame, column: str, target: str = "yd") -> DataFrame:

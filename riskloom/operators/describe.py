@@ -15,42 +15,39 @@ from riskloom.operators.ordering import quantiles
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def per_variable(df: DataFrame, columns: list[str], by: list[str], measures) -> DataFrame:
-    """One aggregation over the wide table, turned into one row per group and variable.
+def moments(
+    df: DataFrame, columns: list[str], by: list[str] = (), shape: bool = True
+) -> DataFrame:
+    """Count, missing count, mean, sd, variance, extremes and shape (population form).
 
-    `measures(column)` gives the named aggregates of one variable. Rows are not multiplied by
-    the number of variables; only the finished group rows are.
+    One aggregation over the wide table, turned into one row per group and variable: rows are not
+    multiplied by the number of variables, only the finished group rows are.
     """
-    cells = [
-        F.struct(F.lit(c).alias("variable"), *[m.alias(n) for n, m in measures(c).items()])
-        for c in columns
-    ]
-    return df.groupBy(*by).agg(F.array(*cells).alias("cells")).select(*by, F.inline("cells"))
-
-
-def moments(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """Count, missing count, mean, sd, variance, extremes and shape (population form)."""
+    by = list(by)
+    finite = df.select(*by, *[finite_or_null(c).alias(c) for c in columns if c not in by])
 
     def measures(c: str) -> dict[str, Column]:
-        x = finite_or_null(c)
-        spread = F.var_pop(x) > 0
-        return {
-            "n": F.count(x),
-            "n_missing": F.count("*") - F.count(x),
-            "mean": F.avg(x),
-            "std": F.when(F.count(x) > 1, F.stddev_samp(x)),
-            "variance": F.when(F.count(x) > 1, F.var_samp(x)),
-            "min": F.min(x),
-            "max": F.max(x),
-            "skewness": F.when(spread, F.skewness(x)),
-            "kurtosis": F.when(spread, F.kurtosis(x)),
+        x, n = F.col(c), F.count(c)
+        variance = F.when(n > 1, F.var_pop(x) * n / F.when(n > 1, n - 1))
+        named = {
+            "n": n, "n_missing": F.count("*") - n, "mean": F.avg(x), "std": F.sqrt(variance),
+            "variance": variance, "min": F.min(x), "max": F.max(x),
         }
+        if shape:
+            spread = F.var_pop(x) > 0
+            named["skewness"] = F.when(spread, F.skewness(x))
+            named["kurtosis"] = F.when(spread, F.kurtosis(x))
+        return named
 
-    return per_variable(df, columns, list(by), measures)
+    cells = [
+        F.struct(F.lit(c).alias("variable"), *[m.alias(n) for n, m in measures(c).items()])
+        for c in columns
+    ]
+    return finite.groupBy(*by).agg(F.array(*cells).alias("cells")).select(*by, F.inline("cells"))
 
 
 def group_summary(df: DataFrame, columns: list[str], by: list[str] = ("yd",)) -> DataFrame:
-    return moments(df, columns, by).select(*by, "variable", "n", "mean", "std")
+    return moments(df, columns, by, shape=False).select(*by, "variable", "n", "mean", "std")
 
 
 def shape(
@@ -77,7 +74,7 @@ def describe(
     """Count, missing, mean, sd, min, quartiles, max; quartiles linear or by nearest rank."""
     by = list(by)
     cuts = value_quantiles(df, columns, QUARTILES, by, "nearest" if nearest else "linear")
-    return moments(df, columns, by).join(cuts, [*by, "variable"], "left").select(
+    return moments(df, columns, by, shape=False).join(cuts, [*by, "variable"], "left").select(
         *by, "variable", "n", "n_missing", "mean", "std", "min",
         F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"), "max",
     )

@@ -10,11 +10,13 @@ from riskloom.operators.ordering import present, runs, with_neighbour
 INFINITY = float("inf")
 
 
-def score_runs(df: DataFrame, score: str, target: str, by: list[str]) -> DataFrame:
+def score_runs(
+    df: DataFrame, score: str, target: str, by: list[str], keep_range: bool = False
+) -> DataFrame:
     """Positives and negatives per distinct score, below it and in all."""
     known = df.where(F.col(target).isNotNull())
     positive = F.when(F.col(target) == 1, 1).otherwise(0)
-    return runs(known, score, by, {"pos": positive, "neg": 1 - positive})
+    return runs(known, score, by, {"pos": positive, "neg": 1 - positive}, keep_range)
 
 
 def concordance(df: DataFrame, score: str, target: str = "yd", by: list[str] = ()) -> DataFrame:
@@ -63,7 +65,7 @@ def roc_curve(
 ) -> DataFrame:
     """ROC points by falling threshold, from (0, 0); points inside a straight stretch are dropped."""
     by = list(by)
-    points = score_runs(df, score, target, by).withColumn("threshold", F.col(score).cast("double"))
+    points = score_runs(df, score, target, by, prune).withColumn("threshold", F.col(score).cast("double"))
     if prune:
         points = with_neighbour(points, "threshold", ["pos", "neg"], by)
         corner = (

@@ -27,7 +27,7 @@ RELIABLE_UP_TO = 5000
 
 def class_moments(df: DataFrame, columns: list[str], group: str = "yd") -> DataFrame:
     """One row per variable: n, mean and variance of class 0 and class 1."""
-    table = moments(df.where(F.col(group).isin(0, 1)), columns, [group])
+    table = moments(df.where(F.col(group).isin(0, 1)), columns, [group], shape=False)
     pick = lambda name, g: F.max(F.when(F.col(group) == g, F.col(name)))
     return table.groupBy("variable").agg(
         *[
@@ -161,7 +161,7 @@ def class_centres(df: DataFrame, columns: list[str], group: str, center: str) ->
     if center == "median":
         rows = value_quantiles(df, columns, [0.5], [group]).collect()
         return {(r["variable"], r[group]): r["q_0"] for r in rows}
-    rows = moments(df, columns, [group]).collect()
+    rows = moments(df, columns, [group], shape=False).collect()
     return {(r["variable"], r[group]): r["mean"] for r in rows}
 
 

@@ -16,9 +16,9 @@ RANGE = "_range"
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def with_ranges(df: DataFrame, value: str, finer: int = 1) -> DataFrame:
+def with_ranges(df: DataFrame, value: str) -> DataFrame:
     """Add the value range of each row; range bounds are approximate quantiles."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * finer
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = None
     if n > 1:
         points = F.array(*[F.lit(i / n) for i in range(1, n)])
@@ -40,7 +40,8 @@ def present(df: DataFrame, value: str) -> DataFrame:
 
 
 def runs(
-    df: DataFrame, value: str, by: list[str] = (), sums: dict[str, Column] | None = None
+    df: DataFrame, value: str, by: list[str] = (), sums: dict[str, Column] | None = None,
+    keep_range: bool = False,
 ) -> DataFrame:
     """One row per distinct value, with its sums, the sums below it and the totals.
 
@@ -50,11 +51,11 @@ def runs(
     sums = sums or {"n": F.lit(1)}
     by = list(by)
     keys = [*by, RANGE]
-    cells = (
-        with_ranges(present(df, value), value)
-        .groupBy(*keys, value)
-        .agg(*[F.sum(c).alias(s) for s, c in sums.items()])
-    )
+    # The explicit filter keeps both readers of `cells` alike, so the shuffle behind it is reused.
+    ranged = with_ranges(present(df, value), value)
+    for c in keys:
+        ranged = ranged.where(F.col(c).isNotNull())
+    cells = ranged.groupBy(*keys, value).agg(*[F.sum(c).alias(s) for s, c in sums.items()])
     totals = cells.groupBy(*keys).agg(*[F.sum(s).alias(f"{s}_range") for s in sums])
     whole = Window.partitionBy(*by)
     ahead = whole.orderBy(RANGE).rowsBetween(*BEFORE)
@@ -65,7 +66,7 @@ def runs(
     )
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(*BEFORE)
     return cells.join(offsets, keys).select(
-        *by,
+        *(keys if keep_range else by),
         value,
         *sums,
         *[
@@ -79,10 +80,13 @@ def runs(
 def with_neighbour(
     df: DataFrame, order: str, columns: list[str], by: list[str] = (), ahead: bool = False
 ) -> DataFrame:
-    """Add `prev_c` (or `next_c`) for each column, in the order of a unique value per group."""
+    """Add `prev_c` (or `next_c`) for each column, in the order of a unique value per group.
+
+    A table that already carries the ranges of `order` is not divided again.
+    """
     by = list(by)
     keys = [*by, RANGE]
-    ranged = with_ranges(df, order)
+    ranged = df if RANGE in df.columns else with_ranges(df, order)
     packed = F.struct(*columns)
     edge = F.min_by(packed, order) if ahead else F.max_by(packed, order)
     ends = ranged.groupBy(*keys).agg(edge.alias("_edge"))
