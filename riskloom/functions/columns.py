@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -103,11 +103,23 @@ TAIL_BOTTOM = [1.0, 0.599832206555887937690, 0.136929880922735805310, 0.01487536
 
 def normal_quantile(p: Column) -> Column:
     """Inverse of the standard normal distribution for 0 < p < 1."""
-    q = p - F.lit(0.5)
-    r = F.lit(0.180625) - q * q
+    return quantile_branches(
+        p - F.lit(0.5), F.lit(0.180625) - (p - F.lit(0.5)) ** 2, F.sqrt(-F.log(F.least(p, 1 - p)))
+    )
+
+
+def quantile_branches(q: Column, r: Column, t: Column) -> Column:
     centre = q * polynomial(CENTRE_TOP, r) / polynomial(CENTRE_BOTTOM, r)
-    t = F.sqrt(-F.log(F.least(p, 1 - p)))
     middle = polynomial(MIDDLE_TOP, t - 1.6) / polynomial(MIDDLE_BOTTOM, t - 1.6)
     tail = polynomial(TAIL_TOP, t - 5.0) / polynomial(TAIL_BOTTOM, t - 5.0)
     side = F.when(q < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     return F.when(F.abs(q) <= 0.425, centre).otherwise(side * F.when(t <= 5.0, middle).otherwise(tail))
+
+
+def with_normal_score(df: DataFrame, p: Column, name: str) -> DataFrame:
+    """Add the normal quantile of `p`; its repeated parts are columns of their own, computed once."""
+    staged = df.withColumn("_p", p).withColumn("_q", F.col("_p") - 0.5).withColumns(
+        {"_r": 0.180625 - F.col("_q") * F.col("_q"), "_t": F.sqrt(-F.log(F.least("_p", 1 - F.col("_p"))))}
+    )
+    value = quantile_branches(F.col("_q"), F.col("_r"), F.col("_t"))
+    return staged.withColumn(name, value).drop("_p", "_q", "_r", "_t")

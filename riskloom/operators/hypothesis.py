@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import finite_or_null, normal_quantile, polynomial
+from riskloom.functions.columns import finite_or_null, polynomial, with_normal_score
 from riskloom.functions.tails import chi2_p, normal_upper_p, student_p
 from riskloom.operators.describe import moments, value_quantiles
 from riskloom.operators.frame import long_form
@@ -67,11 +67,10 @@ def shapiro_wilk(df: DataFrame, columns: list[str], by: list[str] = ("yd",)) ->
     centres = tidy.agg(*[F.avg(c).alias(c) for c in columns]).first()
     centred = tidy.withColumns({c: F.col(c) - F.lit(centres[c] or 0.0) for c in columns})
     values = long_form(centred, by, columns).where(F.col("value").isNotNull())
-    score = normal_quantile((F.col("rank") - 0.375) / (F.col("n") + 0.25))
+    position = (F.col("rank") - 0.375) / (F.col("n") + 0.25)
     nth = lambda k: F.max(F.when(F.col("rank") == k, F.col("value")))
     sums = (
-        ordered_positions(values, "value", keys)
-        .withColumn("m", score)
+        with_normal_score(ordered_positions(values, "value", keys), position, "m")
         .groupBy(*keys)
         .agg(
             F.max("n").alias("n"),
