@@ -546,8 +546,8 @@ add(
     ),
     b18_optional_columns=on(
         "events_f",
-        f"SELECT id, {rs(['hour', 'value'])} FROM events_f ORDER BY events_f.hour NULLS LAST, "
-        "events_f.value NULLS LAST, id LIMIT 50",
+        "SELECT id AS row_key, row_number() OVER (ORDER BY hour NULLS LAST, value NULLS LAST, id) - 1 AS id "
+        "FROM events_f",
     ),
     b20_error_to_missing=on(
         "events_f",
@@ -568,7 +568,7 @@ add(
     c5_sorted_by_p=means_test("quality", QUALITY, [], where="WHERE p < 0.05"),
     c6_by_strength=on(
         "orders_f",
-        f"SELECT variable, {r('r', 'r')} FROM ({biserial_rows('orders_f', ORDERS)}) ORDER BY abs(r) DESC LIMIT 3",
+        f"SELECT variable, {r('r', 'r')} FROM ({biserial_rows('orders_f', ORDERS)})",
     ),
     c8_stratified_split=on(
         "orders_f",

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import finite_or_null, is_finite, total
+from riskloom.operators.ordering import range_bounds
 
 DIGITS = 9  # squared distances closer than this count as equal, then the lower key wins
 
@@ -258,13 +259,6 @@ def cell_levels(
 ) -> tuple[list[int], list[list[float]]]:
     """Cell sizes (as powers of two) and quantile bounds of the finest cells per feature."""
     depth = max(0, min(12, int(math.log2(max(n / fill, 1)))))
-    parts = 2**depth
-    infinity = float("inf")
-    cuts: list = [None] * len(z)
-    if parts > 1:
-        at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-        row = pool.agg(*[F.percentile_approx(c, at, F.lit(max(10000, 8 * parts))) for c in z]).first()
-        cuts = list(row)
-    bounds = [[-infinity, *(sorted({v + 0.0 for v in c or []}) or [0.0]), infinity] for c in cuts]
+    bounds = range_bounds(pool, z, 2**depth)
     top = max(max(len(b) for b in bounds) - 1, 1).bit_length()
     return sorted({*range(0, top, 2), top}), bounds

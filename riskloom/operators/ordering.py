@@ -16,19 +16,40 @@ RANGE = "_range"
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def with_ranges(df: DataFrame, value: str) -> DataFrame:
-    """Add the value range of each row; range bounds are approximate quantiles."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = None
-    if n > 1:
-        points = F.array(*[F.lit(i / n) for i in range(1, n)])
-        bounds = df.agg(
-            F.percentile_approx(F.col(value).cast("double"), points, F.lit(max(10000, 20 * n)))
-        ).first()[0]
+def range_bounds(df: DataFrame, columns: list[str], parts: int) -> list[list[float]]:
+    """Bounds of about equally filled ranges of each column; they set balance, never a result.
+
+    Quantile sketches are first merged per group of input partitions and their points then taken
+    together, so that no task merges the sketches of the whole table.
+    """
     infinity = float("inf")
-    inner = sorted({b + 0.0 for b in bounds or [0.0] if abs(b) < infinity}) or [0.0]
+    found: list = [None] * len(columns)
+    if parts > 1:
+        coarse = F.array(*[F.lit(i / 200) for i in range(201)])
+        fine = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        values = [F.col(c).cast("double") for c in columns]
+        sketches = (
+            df.select(F.pmod(F.spark_partition_id(), F.lit(parts)).alias("_group"),
+                      *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+            .groupBy("_group")
+            .agg(*[F.percentile_approx(f"_v{i}", coarse, F.lit(2000)).alias(f"_v{i}")
+                   for i in range(len(columns))])
+        )
+        accuracy = F.lit(max(10000, 20 * parts))
+        points = sketches.select(
+            F.explode(F.sequence(F.lit(1), F.lit(201))).alias("_i"), "*"
+        ).select(*[F.get(f"_v{i}", F.col("_i") - 1).alias(f"_v{i}") for i in range(len(columns))])
+        row = points.agg(*[F.percentile_approx(f"_v{i}", fine, accuracy) for i in range(len(columns))])
+        found = list(row.first())
+    inner = [sorted({v + 0.0 for v in c or [] if abs(v) < infinity}) or [0.0] for c in found]
+    return [[-infinity, *c, infinity] for c in inner]
+
+
+def with_ranges(df: DataFrame, value: str) -> DataFrame:
+    """Add the value range of each row, as many ranges as there are shuffle partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        Bucketizer(splits=[-infinity, *inner, infinity], inputCol="_as_double", outputCol=RANGE)
+        Bucketizer(splits=range_bounds(df, [value], parts)[0], inputCol="_as_double", outputCol=RANGE)
         .transform(df.withColumn("_as_double", F.col(value).cast("double")))
         .drop("_as_double")
         .withColumn(RANGE, F.col(RANGE).cast("int"))

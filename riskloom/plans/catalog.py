@@ -216,9 +216,8 @@ def b17_threshold_class(spark, d):
 
 @query
 def b18_optional_columns(spark, d):
-    df = events_frame(spark, d)
-    order = ordering.sort_keys(df, ["absent", "hour", "value"], "id")
-    return tidy(df.orderBy(*order).limit(50).select("id", "hour", "value"))
+    df = events_frame(spark, d).withColumnRenamed("id", "row_key")
+    return ordering.global_index(df, ["absent", "hour", "value"], "row_key").select("row_key", "id")
 
 
 @query
@@ -274,7 +273,7 @@ def c5_sorted_by_p(spark, d):
 @query
 def c6_by_strength(spark, d):
     table = hypothesis.point_biserial(orders_frame(spark, d), ORDER_FEATURES)
-    return tidy(hypothesis.by_strength(table, "r").limit(3).select("variable", "r"))
+    return tidy(hypothesis.by_strength(table, "r").select("variable", "r"))
 
 
 @query
