@@ -175,9 +175,10 @@ def knn_impute(
         {"_ca": first_present(F.col("_common"), cells, 0), "_cb": first_present(F.col("_common"), cells, 1)}
     ).drop(*cells).select("*", F.explode(F.array(*[F.lit(s) for s in levels])).alias("_level"))
     own = own.withColumns({c: shifted(c) for c in ("_ca", "_cb")})
-    # The list holds at most k donors per pattern.
+    # The list holds at most k donors per pattern. Both looks ask for a merge join: size estimates do
+    # not see that each row is repeated per level and cell, and AQE can divide a crowded cell.
     found = (
-        own.join(samples, place)
+        own.join(samples.hint("merge"), place)
         .withColumn("_d2", distance)
         .select("_s", *z, "_level", "_d2", wanted)
         .groupBy("_s", *z, "_j", "_level")
@@ -217,7 +218,7 @@ def knn_impute(
     value = F.element_at(F.array(*[f"_x{i}" for i in names]), F.col("_j") + 1)
     answers = (
         visits.join(
-            donors.select(*place, "_donor", *donor_z, *[f"_x{i}" for i in names]), place
+            donors.select(*place, "_donor", *donor_z, *[f"_x{i}" for i in names]).hint("merge"), place
         )
         .withColumn("_d2", distance)
         .where(F.col("_limit").isNull() | (F.col("_d2") <= F.col("_limit")))
