@@ -815,7 +815,7 @@ def j2_roc_curve(spark, d):
 
 @query
 def j2_roc_curve_full(spark, d):
-    df = events_frame(spark, d)
+    df = tables.stored(events_frame(spark, d).select("yd", "value"))
     return tidy(evaluate.roc_curve(df, "value", prune=False).where("threshold < 1e300"))
 
 
