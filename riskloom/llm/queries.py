@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, langid, lines, pieces, shards, urls, warc
+from riskloom.llm import decontam, langid, lines, pieces, shards, urls, vectors, warc
 
 SHARDS = [1.0] * 8
 #: A line on so many sites is boilerplate.
@@ -201,6 +201,28 @@ def shard_sql(count: int) -> str:
     return f"list_sort([{draws}])[1].shard"
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id
+       AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u
+), smallest AS (SELECT u, min(v) AS component_id FROM reach GROUP BY 1
+), counts AS (SELECT u, count(*) AS n_links FROM pairs GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN smallest s ON e.vec_id = s.u LEFT JOIN counts c ON e.vec_id = c.u
+"""
+
+
 # CRC-32 from its rule: a table of 256 entries by eight shifts each, then one step for each byte.
 OP9_SQL = f"""
 WITH table_ AS (
@@ -228,6 +250,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES = {
@@ -236,4 +259,5 @@ ORACLES = {
     "op7_warc": OP7_SQL,
     "op8_url_filters": OP8_SQL,
     "op9_sharding": OP9_SQL,
+    "op10_embedding_near_dedup": OP10_SQL,
 }
