@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, langid, lines, pieces, shards, urls, vectors, warc
+from riskloom.llm import decontam, jaccard, langid, lines, pieces, shards, urls, vectors, warc
 
 SHARDS = [1.0] * 8
 #: A line on so many sites is boilerplate.
@@ -100,6 +100,31 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1),
+         lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM d WHERE len(w) > 0
+), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id
+       AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u
+)
+SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, component_id
+FROM documents JOIN (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+     LEFT JOIN s USING (doc_id)
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -247,6 +272,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_warc": op7_warc,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
@@ -256,6 +282,7 @@ QUERIES = {
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
     "op5_decontaminate": OP5_SQL,
+    "op6_ngram_jaccard": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op8_url_filters": OP8_SQL,
     "op9_sharding": OP9_SQL,
