@@ -22,6 +22,8 @@ from riskloom.sources.tables import stored
 FRAGMENTS = 8
 #: Sizes of one class grow by this factor; documents of one class share its cuts.
 GROWTH = 1.5
+#: 64-bit words of a signature, and rounds of comparing with hubs before all remaining pairs.
+SIGNATURE, ROUNDS = 8, 3
 #: Node lists up to this size go to every task.
 BROADCAST_BYTES = 64 << 20
 
@@ -112,17 +114,28 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def sizes(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """Add `_n`, the number of distinct n-grams of each text."""
-    @F.arrow_udf("int")
+def signature(tokens: np.ndarray) -> list[int]:
+    """Parity bitmap of a set: two sets differ in at least as many n-grams as their bitmaps in bits."""
+    bits = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (64 * SIGNATURE - 1),
+                       minlength=64 * SIGNATURE) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+def sizes(docs: DataFrame, text: str, width: int, into: str) -> DataFrame:
+    """Add a struct: the number n of distinct n-grams of each text, and the signature of their set."""
+    @F.arrow_udf("n int, bits array<long>")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             data, offsets = text_bytes(column)
-            yield pa.array([len(s) for a, b in slices(offsets) for s in
-                            shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width)],
-                           pa.int32())
+            n, bits = [], []
+            for a, b in slices(offsets):
+                for tokens in shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width):
+                    n.append(len(tokens))
+                    bits.append(signature(tokens))
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64()))],
+                                             ["n", "bits"])
 
-    return docs.withColumn("_n", count(F.col(text)))
+    return docs.withColumn(into, count(F.col(text)))
 
 
 def each_set(rows: DataFrame, width: int, schema: str, out_of):
@@ -187,7 +200,6 @@ def only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v, nu, nv) whose overlap, summed over the fragments, reaches the threshold."""
-    pairs = stored(pairs, "pairs")
     nodes = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
 
     def out_of(names, sets):
@@ -220,6 +232,20 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                   .where(f"100 * overlap >= {percent} * (nu + nv - overlap)").select("u", "v"), "links")
 
 
+def possible(percent: int) -> str:
+    """Condition on two nodes (u, nu, u0..) and (v, nv, v0..): sizes and signatures allow a link."""
+    differ = " + ".join(f"bit_count(u{i} ^ v{i})" for i in range(SIGNATURE))
+    return (f"100 * nu >= {percent} * nv AND 100 * nv >= {percent} * nu "
+            f"AND {100 + percent} * ({differ}) <= {100 - percent} * (nu + nv)")
+
+
+def side(described: DataFrame, name: str) -> DataFrame:
+    return described.select(
+        F.col("node").alias(name), F.col("n").alias(f"n{name}"),
+        *[F.get("bits", F.lit(i)).alias(f"{name}{i}") for i in range(SIGNATURE)],
+        *[F.col(c).alias(c if c == "key" else f"r{name}") for c in ("key", "root") if c in described.columns])
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4,
                     percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id) for every row.
@@ -230,36 +256,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     and link with nothing. Equal texts are one node; a NULL key is ignored as a smallest key and such
     a row gets its group's. Texts and n-grams are told apart by 64-bit hashes. Other columns are not
     read; rows that repeat give rows that repeat.
+
+    In each of some rounds every text is compared with the most similar hub of the keys it shares
+    with texts it is not connected with. Then all pairs that share a key, are not connected and may
+    be similar by size and signature are compared, so that no link is lost between components.
     """
     named = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
                         F.xxhash64(text).alias("node"))
-    rows = stored(sizes(named, "text", width).select("id", "node", F.col("_n").alias("n")), "sizes")
+    rows = stored(sizes(named, "text", width, "_set").select("id", "node", "_set.*"), "sizes")
     texts = named.where("text IS NOT NULL").select("node", "text")
     groups = stored(with_hubs(fragment_keys(texts, width, percent)), "groups")
     # One row for each text.
-    size = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        out = (pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u")
-               .join(size.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v"))
-        return out.where(f"100 * nu >= {percent} * nv AND 100 * nv >= {percent} * nu")
-
-    stars = groups.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    links = linked(sized(stars), texts, width, percent)
-    first = components(links)
-    # What shares a key and is not connected yet is compared too.
-    members = groups.select("key", "node").union(groups.select("key", F.col("hub").alias("node")).distinct())
-    rooted = members.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    left = stored(rooted.join(mixed, "key").join(size, "node"), "mixed")
-    a = left.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"))
-    b = left.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
-    more = (a.join(b, "key").where(f"ru < rv AND 100 * nu >= {percent} * nv AND 100 * nv >= {percent} * nu")
-            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"),
-                    F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"),
-                    F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
-            .distinct().join(stars, ["u", "v"], "left_anti"))
-    roots = components(links.union(linked(more, texts, width, percent)))
+    size = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    members = stored(
+        groups.select("key", "node").union(groups.select("key", F.col("hub").alias("node")).distinct())
+        .join(size, "node"), "members")
+
+    roots = tried = None
+    for turn in range(ROUNDS + 1):
+        if roots is None:
+            rooted = members.withColumn("root", F.col("node"))
+        else:
+            rooted = (members.join(roots, "node", "left")
+                      .withColumn("root", F.coalesce("root", "node")))
+            mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+            rooted = stored(rooted.join(mixed.select("key"), "key"), "members")
+            members = rooted.drop("root")
+        if turn < ROUNDS:
+            hub = rooted.groupBy("key").agg(F.min_by(
+                F.struct("key", "node", "n", "bits", "root"), F.xxhash64("node", F.lit(turn))).alias("h"))
+            pairs = (side(rooted, "u").join(side(hub.select("h.*"), "v"), "key")
+                     .where(f"ru <> rv AND {possible(percent)}"))
+        else:
+            pairs = side(rooted, "u").join(side(rooted, "v"), "key").where(f"ru < rv AND {possible(percent)}")
+        differ = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(SIGNATURE)), F.lit(0))
+        pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "u", "v", "nu", "nv",
+                             differ.alias("differ"))
+        # (a, b) is the pair; sizes matter by their sum alone.
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if turn < ROUNDS:
+            best = F.struct("differ", "v", "nu", "nv", "a", "b")
+            pairs = pairs.groupBy("u").agg(F.min(best).alias("p")).select("p.*")
+        checked = stored(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "nu", "nv")
+                         .dropDuplicates(["u", "v"]), "pairs")
+        found = linked(checked, texts, width, percent)
+        names = checked.select(F.col("u").alias("a"), F.col("v").alias("b"))
+        tried = names if tried is None else tried.union(names)
+        # Known components stand for their links.
+        edges = found if roots is None else found.union(
+            roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = stored(components(edges), "roots")
     grouped = rows.join(roots, "node", "left").withColumn(
         "group", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     smallest = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min("id").alias("smallest"))
