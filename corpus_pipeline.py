@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, langid, lines, pieces
+from riskloom.llm import decontam, jaccard, langid, lines, pieces
 from riskloom.llm.queries import SITES, held_out, table, tokenizer
 from riskloom.sources.tables import stored
 
@@ -26,6 +26,14 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return with_text(lines.remove_shared_lines(docs, threshold=SITES), F.col("cleaned.text"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays."""
+    groups = jaccard.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
+    # A row without an id belongs to no group that could stand for it.
+    last = groups.where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
+    return docs.join(last, docs["doc_id"].eqNullSafe(last["doc_id"]), "left_semi").select(*COLUMNS)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut benchmark passages out; a document of which no word is left goes."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -42,6 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language),
     ("line_dedup", shared_lines),
+    ("ngram_jaccard", near_duplicates),
     ("decontaminate", benchmark),
     ("sentencepiece", tokens),
 ]

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, jaccard, langid, lines, pieces, shards, urls, vectors, warc
+from riskloom.llm import decontam, jaccard, langid, lines, pieces, shards, suffix, urls, vectors, warc
 
 SHARDS = [1.0] * 8
 #: A line on so many sites is boilerplate.
@@ -62,6 +62,12 @@ FROM counted
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.remove_repeats(docs).select(
+        "doc_id", "kept.n_bytes", "kept.n_removed", "kept.n_spans", "kept.kept_sha256")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select(
@@ -271,6 +277,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_warc": op7_warc,
