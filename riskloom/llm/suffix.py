@@ -24,11 +24,11 @@ from riskloom.sources.tables import stored
 GRAM = 32
 #: Bytes of stretches that one suffix sort takes; names of triples then fit 21 bits.
 SHARD = 1 << 20
-#: Anchors with more unequal stretches than this are settled window by window.
-CROWD = 1000
+#: Anchors with more unequal stretches than this are refined by runs of RUN windows before sorting.
+CROWD, RUN = 1000, 16
 #: Longer texts are cut, with an overlap, before anchors are looked for.
 PART = 1 << 22
-#: Spans up to this size go to every task.
+#: Places of stretches up to this size go to every task.
 BROADCAST_BYTES = 64 << 20
 
 _random = np.random.default_rng(20240302)
@@ -223,6 +223,54 @@ def settle_windows(bodies: DataFrame, length: int) -> DataFrame:
         "anchor", "digest", "low", (F.col("low") + length).cast("int").alias("high"))
 
 
+def refine(bodies: DataFrame, length: int, gram: int) -> DataFrame:
+    """Cut the stretches of crowded anchors into runs of at most RUN windows, with finer keys.
+
+    Runs are aligned at the anchor, so equal windows fall into runs alike; the key is a hash of the
+    anchor, the run's place and the bytes that all windows of a full run have in common.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for anchor, digest, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                place = int(anchors(np.frombuffer(body, np.uint8), length, gram)[1][0])
+                count = len(body) - length + 1
+                for k in range(max(0, place - count + 1) // RUN, place // RUN + 1):
+                    first, last = place - RUN * k - RUN + 1, place - RUN * k
+                    core = body[last:first + length]
+                    low, high = max(first, 0), min(last, count - 1)
+                    key = xxhash.xxh3_64_intdigest(b"%d/%d/" % (anchor, k) + core)
+                    part = body[low:high + length]
+                    out.append((anchor, digest, low, key, xxhash.xxh3_64_intdigest(part), part))
+            a, d, low, key, sub, part = zip(*out) if out else ((),) * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(low, pa.int32()),
+                 pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.array(sub, np.uint64).view(np.int64)),
+                 pa.array(part, pa.binary())], ["anchor", "digest", "shift", "key", "sub", "body"])
+
+    return bodies.select("anchor", "digest", "body").mapInArrow(
+        run, "anchor long, digest long, shift int, key long, sub long, body binary")
+
+
+def settle_crowds(bodies: DataFrame, length: int, gram: int) -> DataFrame:
+    """The ranges of stretches with crowded anchors: refined, then sorted; what is still crowded is
+    settled window by window."""
+    runs = stored(refine(bodies, length, gram), "runs")
+    counts = runs.groupBy("key", "sub").agg(F.count("*").alias("n"))
+    kinds = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1")
+    marked = stored(runs.join(counts.join(kinds, "key").select("key", "sub", "n", "kinds"), ["key", "sub"]), "runs")
+    whole = marked.where("n > 1").select(
+        "anchor", "digest", F.col("shift").alias("low"), (F.col("shift") + F.octet_length("body")).alias("high"))
+    unequal = (marked.where("kinds > 1").groupBy("key", "sub", "kinds").agg(F.min("body").alias("body"))
+               .select(F.col("key").alias("anchor"), F.col("sub").alias("digest"), "kinds", "body"))
+    found = sort_shards(unequal.where(f"kinds <= {CROWD}"), length).union(
+        settle_windows(unequal.where(f"kinds > {CROWD}"), length)).select(
+        F.col("anchor").alias("key"), F.col("digest").alias("sub"), "low", "high")
+    part = marked.where("n = 1").select("anchor", "digest", "key", "sub", "shift").join(found, ["key", "sub"]).select(
+        "anchor", "digest", F.col("shift") + F.col("low"), F.col("shift") + F.col("high"))
+    return whole.union(part)
+
+
 def repeated_spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(node, spans) of the rows (node, text): byte ranges covered by strings that start elsewhere too."""
     found = find_stretches(texts, length, gram)
@@ -258,7 +306,7 @@ def repeated_spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
     bodies = stored(with_text.select("text", "places").mapInArrow(
         extract, "anchor long, digest long, kinds long, body binary"), "bodies")
     ranges = sort_shards(bodies.where(f"kinds <= {CROWD}"), length).union(
-        settle_windows(bodies.where(f"kinds > {CROWD}"), length))
+        settle_crowds(bodies.where(f"kinds > {CROWD}"), length, gram))
     partial = (shared.where("n = 1").select("anchor", "digest", "node", "first").join(ranges, ["anchor", "digest"])
                .select("node", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high")))
     whole = shared.where("n > 1").select(
@@ -283,9 +331,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
     marked = docs.withColumns({"_text": F.coalesce(F.col(text), F.lit("")),
                                "_node": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     texts = marked.select(F.col("_node").alias("node"), F.col("_text").alias("text"))
-    spans = stored(repeated_spans(texts, length, gram).withColumnRenamed("node", "_node"), "spans")
-    size = spans.agg(F.sum(F.size("spans") * 16 + 32)).first()[0] or 0
-    near = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
+    spans = stored(repeated_spans(texts, length, gram).withColumnsRenamed({"node": "_node", "spans": "_spans"}), "spans")
 
     @F.arrow_udf(RESULT)
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -310,5 +356,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                              ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = marked.join(near, "_node", "left")
-    return joined.withColumn(into, cut(F.col("_text"), F.col("spans"))).drop("_text", "_node", "spans")
+    joined = marked.join(spans, "_node", "left")
+    return joined.withColumn(into, cut(F.col("_text"), F.col("_spans"))).drop(
+        "_text", "_node", "_spans")
