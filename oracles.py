@@ -486,17 +486,13 @@ def add(**entries: str) -> None:
     ORACLES.update(entries)
 
 
-EVENT_TOTALS = (
-    "SELECT count(*) AS n, CAST(sum(yd) AS BIGINT) AS n_yd, count(value) AS n_value, "
-    "round(sum(value), 4) + 0.0 AS sum_value, round(sum(hour), 4) + 0.0 AS sum_hour FROM events_f"
-)
 ORDER_CASES = " AND ".join(f"{c} IS NOT NULL" for c in ORDERS)
 EVENT_CASES = " AND ".join(f"{c} IS NOT NULL" for c in EVENTS)
 
 add(
-    a1_delimited_read=on("events_f", EVENT_TOTALS),
+    a1_delimited_read=on("events_f", f"SELECT id, yd, {rs(EVENTS)} FROM events_f"),
     a2_sentinel_to_null=on("events_f", f"SELECT id, yd, {rs(EVENTS)} FROM events_f"),
-    a3_null_tokens=on("events_f", EVENT_TOTALS),
+    a3_null_tokens=on("events_f", f"SELECT id, yd, {rs(EVENTS)} FROM events_f"),
     a4_stored_samples=f"WITH {INDEXED} SELECT yd, count(*) AS n, {r('avg(price)', 'mean_price')}, "
     "count(quantity) AS n_quantity FROM indexed WHERE dumVE = 0 GROUP BY yd",
     a5_result_table=on(

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.tails import student_p
 from riskloom.operators.frame import finite_rows, finite_values
 from riskloom.operators.hypothesis import equal_means, point_biserial
-from riskloom.operators.impute import present_mask
 
 
 @dataclass(frozen=True)
@@ -39,38 +41,54 @@ class Pair:
 def pair_moments(
     df: DataFrame, columns: list[str], complete: bool = False
 ) -> dict[tuple[str, str], Pair]:
-    """All pairs in one aggregation by pattern of missing cells (at most 2 ** p patterns).
+    """All pairs from one pass over the rows; any number of columns, p * p numbers to the driver.
 
-    Within a pattern every pair has the same rows, so one set of plain centred sums serves all;
-    the patterns holding both columns are then put together.
+    Every task sums, for each pair, the rows that have both cells: their number, both sums, the first
+    sum of squares and the cross products. Values are centred at the column means first.
     """
     finite = finite_values(df.select(*columns), columns)
     if complete:
         finite = finite.na.drop()
-    pairs = list(combinations(range(len(columns)), 2))
+    size = len(columns)
+    means = finite.agg(*[F.avg(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([m or 0.0 for m in means])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, square, cross = np.zeros((4, size, size))
+        for batch in batches:
+            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = x - centre
+            has = ~np.isnan(x)
+            x, has = np.where(has, x, 0.0), has.astype(float)
+            n += has.T @ has
+            first += x.T @ has
+            square += (x * x).T @ has
+            cross += x.T @ x
+        i, j = np.indices((size, size)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n.ravel().astype(np.int64)),
+             pa.array(first.ravel()), pa.array(square.ravel()), pa.array(cross.ravel())],
+            ["i", "j", "n", "first", "square", "cross"])
+
     rows = (
-        finite.groupBy(present_mask(columns).alias("mask"))
-        .agg(
-            F.count("*").alias("n"),
-            F.array(*[F.avg(c) for c in columns]).alias("mean"),
-            F.array(*[F.var_pop(c) for c in columns]).alias("var"),
-            F.array(*[F.covar_pop(columns[i], columns[j]) for i, j in pairs] or [F.lit(0.0)]).alias("cov"),
-        )
+        finite.mapInArrow(sums, "i int, j int, n long, first double, square double, cross double")
+        .groupBy("i", "j")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "first", "square", "cross")])
         .collect()
     )
+    found = {(r["i"], r["j"]): r for r in rows}
     out = {}
-    for at, (i, j) in [*enumerate(pairs), *[(None, (i, i)) for i in range(len(columns))]]:
-        both = [r for r in rows if r["mask"] >> i & 1 and r["mask"] >> j & 1]
-        n = sum(r["n"] for r in both)
-        mean = [sum(r["n"] * r["mean"][k] for r in both) / n if n else 0.0 for k in (i, j)]
-        spread = [
-            sum(r["n"] * (r["var"][k] + (r["mean"][k] - m) ** 2) for r in both)
-            for k, m in zip((i, j), mean)
-        ]
-        cross = spread[0] if at is None else sum(
-            r["n"] * (r["cov"][at] + (r["mean"][i] - mean[0]) * (r["mean"][j] - mean[1])) for r in both
+    for i, j in [*combinations(range(size), 2), *[(i, i) for i in range(size)]]:
+        a, b = found.get((i, j)), found.get((j, i))
+        n = a["n"] if a else 0
+        if not n:
+            out[columns[i], columns[j]] = Pair(0, (0.0, 0.0), (0.0, 0.0), 0.0)
+            continue
+        out[columns[i], columns[j]] = Pair(
+            n, tuple(r["first"] / n + float(centre[k]) for r, k in ((a, i), (b, j))),
+            tuple(max(0.0, r["square"] - r["first"] ** 2 / n) for r in (a, b)),
+            a["cross"] - a["first"] * b["first"] / n,
         )
-        out[columns[i], columns[j]] = Pair(n, tuple(mean), tuple(spread), cross)
     return out
 
 

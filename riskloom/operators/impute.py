@@ -53,15 +53,16 @@ def standardize(df: DataFrame, features: list[str], fit_on: DataFrame | None = N
 
 
 def present_mask(features: list[str]) -> Column:
-    bits = [F.when(is_finite(c), 1 << i).otherwise(0) for i, c in enumerate(features)]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask + b
-    return mask.cast("int")
+    if len(features) > 62:
+        raise ValueError("at most 62 features")
+    mask = F.lit(0).cast("bigint")
+    for i, c in enumerate(features):
+        mask = mask + F.when(is_finite(c), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return mask
 
 
 def has(mask: Column, i: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << i)) != 0
+    return mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
 
 
 def first_present(mask: Column, columns: list[str], skip: int) -> Column:

@@ -108,7 +108,7 @@ class LinearFit:
         return linear_form(self.coef[1:], list(self.features), self.coef[0])
 
     def transform(self, df: DataFrame, output: str = "score_ols") -> DataFrame:
-        return df.withColumn(output, self.score())
+        return df.withColumn(output, F.when(complete(self.features), self.score()))
 
     def rows(self) -> list[tuple]:
         spread = np.sqrt(np.maximum(np.diag(self.covariance), 0))
@@ -344,7 +344,7 @@ class BinaryFit:
         output = output or f"score_{self.link}"
         if self.link == "logit":
             eta = linear_form(self.coef[1:], list(self.features), self.coef[0])
-            return df.withColumn(output, 1 / (1 + F.exp(-eta)))
+            return df.withColumn(output, F.when(complete(self.features), 1 / (1 + F.exp(-eta))))
         return (
             VectorAssembler(inputCols=list(self.features), outputCol="_x", handleInvalid="keep")
             .transform(df)
@@ -483,14 +483,22 @@ def three_fits(df: DataFrame, features: list[str], target: str = "yd") -> list:
     return [ols(df, features, target), logit(df, features, target), probit(df, features, target)]
 
 
+def score_column(fit) -> str:
+    return SCORE_COLUMNS.get(fit.name, f"score_{fit.name.lower()}")
+
+
 def score_table(
-    df: DataFrame, fits: list, features: list[str], target: str = "yd", key: str = "id"
+    df: DataFrame, fits: list, features: list[str], target: str = "yd", key: str = "id",
+    keep: list[str] = (),
 ) -> DataFrame:
-    """Key, target, features and one score column per fit, aligned row by row."""
+    """Key, target, features, further columns to keep and one score column per fit, row by row."""
+    scores = [score_column(f) for f in fits]
+    if len(set(scores)) < len(scores):
+        raise ValueError("fits need different names")
     out = df
-    for fit in fits:
-        out = fit.transform(out)
-    return out.select(key, target, *features, "score_ols", "score_logit", "score_probit")
+    for fit, c in zip(fits, scores):
+        out = fit.transform(out, c)
+    return out.select(key, target, *features, *keep, *scores)
 
 
 def coefficient_table(spark: SparkSession, fits: list) -> DataFrame:
@@ -507,12 +515,14 @@ def stars(p: Column, cuts=STARS) -> Column:
 SCORE_COLUMNS = {"OLS": "score_ols", "Logit": "score_logit", "Probit": "score_probit"}
 
 
-def long_scores(scores: DataFrame, target: str = "yd", key: str = "id") -> DataFrame:
-    """Score columns as rows (key, target, Model, p_hat)."""
-    cells = [
-        F.struct(F.lit(m).alias("Model"), F.col(c).alias("p_hat")) for m, c in SCORE_COLUMNS.items()
-    ]
-    return scores.select(key, target, F.inline(F.array(*cells)))
+def long_scores(
+    scores: DataFrame, target: str = "yd", key: str = "id", columns: dict[str, str] | None = None,
+    keep: list[str] = (),
+) -> DataFrame:
+    """Score columns, {model: column}, as rows (key, target, kept columns, Model, p_hat)."""
+    columns = columns or {m: c for m, c in SCORE_COLUMNS.items() if c in scores.columns}
+    cells = [F.struct(F.lit(m).alias("Model"), F.col(c).alias("p_hat")) for m, c in columns.items()]
+    return scores.select(key, target, *keep, F.inline(F.array(*cells)))
 
 
 def comparison_table(
@@ -522,9 +532,11 @@ def comparison_table(
     spark = df.sparkSession
     features = list(fits[0].features)
     scores = score_table(finite_rows(df, [*features, target]), fits, features, target)
-    areas = auc(long_scores(scores, target), "p_hat", target, ["Model"])
+    columns = {f.name: score_column(f) for f in fits}
+    areas = auc(long_scores(scores, target, columns=columns), "p_hat", target, ["Model"])
     table = coefficient_table(spark, fits)
     shown = lambda c: F.format_number(c, digits)
+    fixed = lambda v: "" if v is None else f"{v:.{digits}f}"
     cells = table.select(
         "model", "term", F.posexplode(F.array(
             F.concat(shown("coef"), stars(F.col("p_value"), cuts)),
@@ -537,8 +549,8 @@ def comparison_table(
             for f in fits
             for term, text in (
                 ("N", str(f.n)),
-                ("R2", f"{f.r2 if isinstance(f, LinearFit) else f.pseudo_r2:.{digits}f}"),
-                ("loglik", f"{f.loglik:.{digits}f}"),
+                ("R2", fixed(f.r2 if isinstance(f, LinearFit) else f.pseudo_r2)),
+                ("loglik", fixed(f.loglik)),
             )
         ],
         "model string, term string, line int, text string",

@@ -64,26 +64,17 @@ def scored_quality(spark: SparkSession, d: str) -> tuple[DataFrame, list, DataFr
 
 def coded_text(spark: SparkSession, d: str) -> str:
     path = tables.scratch_path(spark, "text")
-    coded_events(spark, d).select("yd", *EVENT_FEATURES).write.csv(path, header=True, sep=";")
+    coded_events(spark, d).select(*EVENT_FEATURES[::-1], "id", "yd").write.csv(path, header=True, sep=";")
     return path
 
 
-EVENT_SCHEMA = "yd int, value double, k double, hour double"
-
-
-def event_totals(df: DataFrame) -> DataFrame:
-    return tidy(df.agg(
-        F.count("*").alias("n"), F.sum("yd").alias("n_yd"), F.count("value").alias("n_value"),
-        F.sum("value").alias("sum_value"), F.sum("hour").alias("sum_hour"),
-    ), 4)
+EVENT_SCHEMA = "id long, yd int, value double, k double, hour double"
 
 
 @query
 def a1_delimited_read(spark, d):
     schema = spark.createDataFrame([], EVENT_SCHEMA).schema
-    return event_totals(
-        tables.read_delimited(spark, coded_text(spark, d), schema, null_tokens=("-99.99",))
-    )
+    return tidy(tables.read_delimited(spark, coded_text(spark, d), schema, null_tokens=("-99.99",)))
 
 
 @query
@@ -94,7 +85,7 @@ def a2_sentinel_to_null(spark, d):
 @query
 def a3_null_tokens(spark, d):
     schema = spark.createDataFrame([], EVENT_SCHEMA).schema
-    return event_totals(tables.read_delimited(spark, coded_text(spark, d), schema))
+    return tidy(tables.read_delimited(spark, coded_text(spark, d), schema))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.evaluate import auc, concordance
 from riskloom.operators.frame import (
-    attach, check_binary_target, complete_cases, finite_rows, keep_members, resolve_features,
+    check_binary_target, complete_cases, finite_rows, resolve_features,
 )
 from riskloom.operators.impute import knn_impute
 from riskloom.operators.regression import (
@@ -70,8 +70,7 @@ def holdout_scores(
     split = stored(random_split(finite_rows(df, [*features, target]), test_share, None, key))
     train = split.where(F.col("in_test") == 0)
     fits = three_fits(train, features, target)
-    scores = score_table(split, fits, features, target, key)
-    return fits, attach(scores, split.select(key, "in_test"), key)
+    return fits, score_table(split, fits, features, target, key, ["in_test"])
 
 
 def holdout_study(
@@ -82,9 +81,8 @@ def holdout_study(
     filled = stored(knn_impute(df, impute, 3, key)) if impute else df
     features = resolve_features(filled, features)
     fits, scores = holdout_scores(filled, features, target, key, test_share)
-    train_scores = keep_members(scores.drop("in_test"), scores.where(F.col("in_test") == 0), key)
-    long = long_scores(scores, target, key)
-    marked = attach(long, scores.select(key, "in_test"), key)
+    train_scores = scores.where(F.col("in_test") == 0).drop("in_test")
+    marked = long_scores(scores, target, key, keep=["in_test"])
     return {
         "train_scores": train_scores,
         "table": comparison_table(

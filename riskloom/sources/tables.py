@@ -27,22 +27,31 @@ def read_delimited(
     schema: T.StructType = STUDY_SCHEMA,
     sep: str = ";",
     null_tokens: tuple[str, ...] = NULL_TOKENS,
+    malformed: str = "fail",
 ) -> DataFrame:
-    """Delimited text with several spellings of a missing value."""
-    if len(null_tokens) <= 1:
-        return spark.read.csv(
-            path, schema=schema, sep=sep, header=True, nullValue=next(iter(null_tokens), None)
-        )
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.csv(path, schema=text, sep=sep, header=True)
-    return raw.select(
-        *[
-            F.when(~F.trim(f.name).isin(*null_tokens), F.trim(f.name))
-            .try_cast(f.dataType)
-            .alias(f.name)
-            for f in schema
-        ]
-    )
+    """Delimited text with a header, by column name, with any number of spellings of a missing value.
+
+    Columns may stand in any order and the file may have more of them; an absent one is an error, and
+    so are files of one folder whose headers differ. Cells are trimmed. A cell that is neither a null
+    token nor of its column's type is an error, or NULL with `malformed="null"`.
+    """
+    if malformed not in ("fail", "null"):
+        raise ValueError("malformed must be 'fail' or 'null'")
+    raw = spark.read.csv(path, sep=sep, header=True, enforceSchema=False)
+    absent = [f.name for f in schema if f.name not in raw.columns]
+    if absent:
+        raise ValueError(f"columns not in the header: {absent}")
+
+    def cell(f: T.StructField):
+        text = F.trim(F.col(f"`{f.name}`"))
+        text = F.when(~text.isin(*null_tokens), text) if null_tokens else text
+        value = text.try_cast(f.dataType)
+        if malformed == "fail" and not isinstance(f.dataType, T.StringType):
+            wrong = F.raise_error(F.concat(F.lit(f"malformed cell in column {f.name}: "), text))
+            value = F.when(text.isNotNull() & value.isNull(), wrong.cast(f.dataType)).otherwise(value)
+        return value.alias(f.name)
+
+    return raw.select(*[cell(f) for f in schema])
 
 
 def numeric_fields(df: DataFrame, skip: tuple[str, ...] = ()) -> list[str]:

@@ -25,6 +25,19 @@ def test_delimited_read_with_tokens(spark, tmp_path):
     assert tables.STUDY_SCHEMA.names[:3] == ["yd", "tdta", "reta"]
 
 
+def test_delimited_read_by_name_and_loud(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("b;extra;yd;a\n 2 ;x;0;1.5\n-99.99;y;1;12,5\n")
+    schema = spark.createDataFrame([], "yd int, a double, b double").schema
+    for tokens in (("-99.99",), tables.NULL_TOKENS, ()):
+        got = tables.read_delimited(spark, str(path), schema, null_tokens=tokens, malformed="null").collect()
+        assert [tuple(r) for r in got] == [(0, 1.5, 2.0), (1, None, None if tokens else -99.99)]
+        with pytest.raises(Exception, match="malformed cell in column a"):
+            tables.read_delimited(spark, str(path), schema, null_tokens=tokens).collect()
+    with pytest.raises(ValueError, match="absent"):
+        tables.read_delimited(spark, str(path), schema.add("absent", schema["yd"].dataType))
+
+
 def test_samples_and_results_round_trip(spark, mini, tmp_path):
     df = mini.withColumn("dumVE", (F.col("id") % 2).cast("byte"))
     tables.write_samples(df, str(tmp_path / "s"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,12 @@ def test_systematic_split(hot):
     assert all(v == 500 for v in counts.values())
     third = sampling.systematic_split(hot, ["x"], "key", every=3)
     assert third.where("dumVE = 1").count() == 667
+
+
+@pytest.mark.parametrize("value", ["rand(1)", "exp(10 * rand(1))", "floor(10 * rand(1)) + rand(2) / 1000"])
+def test_ranges_stay_balanced_with_many_partitions(spark, value):
+    df = spark.range(300_000).selectExpr(f"CAST({value} AS DOUBLE) AS v")
+    bounds = ordering.range_bounds(df, ["v"], 1000)[0]
+    assert len(bounds) > 950
+    found = np.histogram(df.toPandas()["v"], bounds[1:-1])[0]
+    assert found.max() <= 3 * 300
