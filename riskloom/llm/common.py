@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.sources.tables import stored
 
 #: Bytes of text that a task turns into numpy arrays at once; longer texts form a slice of their own.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

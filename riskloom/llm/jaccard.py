@@ -268,9 +268,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     groups = stored(with_hubs(fragment_keys(texts, width, percent)), "groups")
     # One row for each text.
     size = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
-    members = stored(
-        groups.select("key", "node").union(groups.select("key", F.col("hub").alias("node")).distinct())
-        .join(size, "node"), "members")
+    size = stored(size, "nodes")
+    members = groups.select("key", "node").union(groups.select("key", F.col("hub").alias("node")).distinct())
 
     roots = tried = None
     for turn in range(ROUNDS + 1):
@@ -283,12 +282,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             rooted = stored(rooted.join(mixed.select("key"), "key"), "members")
             members = rooted.drop("root")
         if turn < ROUNDS:
-            hub = rooted.groupBy("key").agg(F.min_by(
-                F.struct("key", "node", "n", "bits", "root"), F.xxhash64("node", F.lit(turn))).alias("h"))
-            pairs = (side(rooted, "u").join(side(hub.select("h.*"), "v"), "key")
-                     .where(f"ru <> rv AND {possible(percent)}"))
+            # Sizes and signatures join the distinct pairs, not every key they share.
+            hub = rooted.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("h"))
+            pairs = (rooted.join(hub, "key").where("root <> h.root")
+                     .select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
+                     .join(side(size, "u"), "u").join(side(size, "v"), "v").where(possible(percent)))
         else:
-            pairs = side(rooted, "u").join(side(rooted, "v"), "key").where(f"ru < rv AND {possible(percent)}")
+            left = rooted.join(size, "node")
+            pairs = side(left, "u").join(side(left, "v"), "key").where(f"ru < rv AND {possible(percent)}")
         differ = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(SIGNATURE)), F.lit(0))
         pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "u", "v", "nu", "nv",
                              differ.alias("differ"))
