@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontam, jaccard, langid, lines, pieces
-from riskloom.llm.queries import SITES, held_out, table, tokenizer
+from riskloom.llm.queries import BATCH_ROWS, SITES, held_out, table, tokenizer
 from riskloom.sources.tables import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,6 +17,8 @@ def with_text(docs: DataFrame, text) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that have a language: those without letters or text go."""
+    # The first stage; the later ones run in the same session.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     found = langid.identify(docs, langid.fit(docs.where(~held_out())))
     return found.where(F.col("language.lang") != langid.UND).select(*COLUMNS)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: A task remembers so many segments, then starts anew.
-SEGMENTS = 400_000
+SEGMENTS = 150_000
 
 
 def model_bytes(path: str) -> bytes:

@@ -9,9 +9,12 @@ from riskloom.llm import decontam, jaccard, langid, lines, pieces, shards, suffi
 SHARDS = [1.0] * 8
 #: A line on so many sites is boilerplate.
 SITES = 10
+#: Whole texts travel to Python in batches of so many rows, which bounds the memory beside the heap.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
