@@ -24,7 +24,9 @@ FRAGMENTS = 8
 GROWTH = 1.5
 #: 64-bit words of a signature, and rounds of comparing with hubs before all remaining pairs.
 SIGNATURE, ROUNDS = 8, 3
-#: Node lists up to this size go to every task.
+#: Partners of a hub whose overlaps one part of it counts.
+PARTNERS = 500
+#: Lists of asked nodes up to this size go to every task.
 BROADCAST_BYTES = 64 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -192,44 +194,82 @@ def with_hubs(keys: DataFrame) -> DataFrame:
             .mapInArrow(run, "key long, node long, hub long"))
 
 
-def only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of the given nodes; a list within BROADCAST_BYTES goes to the tasks, a longer one is joined."""
-    small = nodes.count() * 8 <= BROADCAST_BYTES
-    return rows.join(F.broadcast(nodes) if small else nodes, "node", "left_semi")
-
-
-def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v, nu, nv) whose overlap, summed over the fragments, reaches the threshold."""
-    nodes = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
-
-    def out_of(names, sets):
-        node, fragment, tokens = [], [], []
-        for name, s in zip(names.tolist(), sets):
-            place = s >> np.uint64(64 - FRAGMENTS.bit_length() + 1)
-            bounds = np.searchsorted(place, np.arange(FRAGMENTS + 1, dtype=np.uint64))
-            for f in range(FRAGMENTS):
-                if bounds[f] < bounds[f + 1]:
-                    node.append(name)
-                    fragment.append(f)
-                    tokens.append(s[bounds[f]:bounds[f + 1]].view(np.int64))
-        lengths = np.cumsum([0] + [len(t) for t in tokens])
-        flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(node, pa.int64()), pa.array(fragment, pa.int32()),
-             pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))],
-            ["node", "fragment", "tokens"])
-
-    # One text for each node.
-    mine = only(texts, nodes)
-    parts = each_set(mine.groupBy("node").agg(F.any_value("text").alias("text")), width,
-                     "node long, fragment int, tokens array<long>", out_of)
-    asked = pairs.select("u", "v", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-    one = asked.join(parts.select(F.col("node").alias("u"), "fragment", F.col("tokens").alias("a")), ["u", "fragment"])
-    both = one.join(parts.select(F.col("node").alias("v"), "fragment", F.col("tokens").alias("b")), ["v", "fragment"])
-    sums = (both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("overlap"))
-            .groupBy("u", "v").agg(F.sum("overlap").alias("overlap")))
-    return stored(pairs.join(sums, ["u", "v"])
-                  .where(f"100 * overlap >= {percent} * (nu + nv - overlap)").select("u", "v"), "links")
+def crowds(pairs: DataFrame) -> DataFrame:
+    """(node, hub, part): where each set of the pairs goes. A hub with many partners has several parts."""
+    hubs = stored(pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("long").alias("parts")), "hubs")
+    ends = pairs.join(hubs, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    return ends.union(hubs.select(F.col("hub").alias("node"), "hub",
+                                  F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+
+
+def cut_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(hub, part, fragment, node, tokens): every set cut into the fragments of the global order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [batch.column(k).to_numpy() for k in range(3)]
+            data, offsets = text_bytes(batch.column(3))
+            for low, high in slices(offsets):
+                at, fragment, tokens = [], [], []
+                sets = shingle_sets(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], width)
+                for k, s in enumerate(sets, low):
+                    place = s >> np.uint64(64 - FRAGMENTS.bit_length() + 1)
+                    bounds = np.searchsorted(place, np.arange(FRAGMENTS + 1, dtype=np.uint64))
+                    for f in range(FRAGMENTS):
+                        if bounds[f] < bounds[f + 1]:
+                            at.append(k)
+                            fragment.append(f)
+                            tokens.append(s[bounds[f]:bounds[f + 1]].view(np.int64))
+                if at:
+                    lengths = np.cumsum([0] + [len(t) for t in tokens])
+                    node, hub, part = (pa.array(x[at], pa.int64()) for x in names)
+                    yield pa.RecordBatch.from_arrays(
+                        [hub, part, pa.array(fragment, pa.int32()), node,
+                         pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(tokens)))],
+                        ["hub", "part", "fragment", "node", "tokens"])
+
+    return rows.select("node", "hub", "part", "text").mapInArrow(
+        run, "hub long, part long, fragment int, node long, tokens array<long>")
+
+
+def overlaps(parts: DataFrame) -> DataFrame:
+    """(node, hub, overlap) of every fragment both have.
+
+    The hub's row comes first in its part and is the only one held; a node that repeats counts once.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = held = last = None
+        for batch in batches:
+            hub, part, fragment, node = (batch.column(k).to_pylist() for k in range(4))
+            ends, tokens = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
+            found = []
+            for k, here in enumerate(zip(hub, part, fragment)):
+                mine = tokens[ends[k]:ends[k + 1]]
+                if here != group:
+                    group, held = here, mine.copy() if node[k] == hub[k] else None
+                elif node[k] != last and held is not None:
+                    place = np.minimum(np.searchsorted(held, mine), len(held) - 1)
+                    found.append((node[k], hub[k], int((held[place] == mine).sum())))
+                last = node[k]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[c] for x in found], pa.int64()) for c in range(3)], ["node", "hub", "overlap"])
+
+    place = ["hub", "part", "fragment"]
+    return (parts.repartition(*place).sortWithinPartitions(*place, F.col("node") != F.col("hub"), "node")
+            .mapInArrow(run, "node long, hub long, overlap long"))
+
+
+def linked(pairs: DataFrame, texts: DataFrame, size: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (u, v) among pairs (node, hub, nu, nv): overlaps summed over the fragments reach the threshold.
+
+    Each set travels once, to its hub; `size` names one row (mark) of those with equal texts.
+    """
+    asked = stored(crowds(pairs).join(size.select("node", "mark"), "node"), "asked")
+    small = asked.count() * 32 <= BROADCAST_BYTES
+    mine = texts.join(F.broadcast(asked) if small else asked, ["node", "mark"])
+    sums = overlaps(cut_sets(mine, width)).groupBy("node", "hub").agg(F.sum("overlap").alias("overlap"))
+    return stored(pairs.join(sums, ["node", "hub"])
+                  .where(f"100 * overlap >= {percent} * (nu + nv - overlap)")
+                  .select(F.col("node").alias("u"), F.col("hub").alias("v")), "links")
 
 
 def possible(percent: int) -> str:
@@ -262,12 +302,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     be similar by size and signature are compared, so that no link is lost between components.
     """
     named = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
-                        F.xxhash64(text).alias("node"))
-    rows = stored(sizes(named, "text", width, "_set").select("id", "node", "_set.*"), "sizes")
-    texts = named.where("text IS NOT NULL").select("node", "text")
-    groups = stored(with_hubs(fragment_keys(texts, width, percent)), "groups")
+                        F.xxhash64(text).alias("node"),
+                        F.xxhash64(key).alias("mark"))
+    rows = stored(sizes(named, "text", width, "_set").select("id", "node", "mark", "_set.*"), "sizes")
+    texts = named.where("text IS NOT NULL").select("node", "mark", "text")
+    groups = stored(with_hubs(fragment_keys(texts.select("node", "text"), width, percent)), "groups")
     # One row for each text.
-    size = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    size = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"),
+                                                 F.min("mark").alias("mark"))
     size = stored(size, "nodes")
     members = groups.select("key", "node").union(groups.select("key", F.col("hub").alias("node")).distinct())
 
@@ -281,6 +323,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
             rooted = stored(rooted.join(mixed.select("key"), "key"), "members")
             members = rooted.drop("root")
+            if members.isEmpty():  # every two texts that share a key are connected
+                break
         if turn < ROUNDS:
             # Sizes and signatures join the distinct pairs, not every key they share.
             hub = rooted.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("h"))
@@ -298,16 +342,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if turn < ROUNDS:
             best = F.struct("differ", "v", "nu", "nv", "a", "b")
-            pairs = pairs.groupBy("u").agg(F.min(best).alias("p")).select("p.*")
-        checked = stored(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "nu", "nv")
-                         .dropDuplicates(["u", "v"]), "pairs")
-        found = linked(checked, texts, width, percent)
-        names = checked.select(F.col("u").alias("a"), F.col("v").alias("b"))
+            pairs = pairs.groupBy("u").agg(F.min(best).alias("p")).select("u", "p.*")
+        checked = stored(pairs.select("a", "b", F.col("u").alias("node"), F.col("v").alias("hub"), "nu", "nv")
+                         .dropDuplicates(["a", "b"]), "pairs")
+        if checked.isEmpty():
+            continue
+        names = checked.select("a", "b")
         tried = names if tried is None else tried.union(names)
+        found = linked(checked, texts, size, width, percent)
+        if found.isEmpty():
+            continue
         # Known components stand for their links.
         edges = found if roots is None else found.union(
             roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = stored(components(edges), "roots")
+    if roots is None:
+        roots = size.select("node", F.col("node").alias("root"))
     grouped = rows.join(roots, "node", "left").withColumn(
         "group", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     smallest = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min("id").alias("smallest"))

@@ -228,7 +228,8 @@ def test_contamination_against_windows(spark, docs, empty):
 # ---------------------------------------------------------------- Jaccard
 
 @pytest.mark.parametrize("percent,width", [(85, 4), (60, 2), (100, 3)])
-def test_jaccard_against_all_pairs(docs, empty, percent, width):
+def test_jaccard_against_all_pairs(docs, empty, monkeypatch, percent, width):
+    monkeypatch.setattr(jaccard, "PARTNERS", 2)
     got = jaccard.near_duplicates(docs, width=width, percent=percent).collect()
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     sets = []
