@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import components, slices, text_bytes
-from riskloom.llm.decontam import word_hashes
+from riskloom.llm.decontam import BYTE_VALUE
 from riskloom.sources.tables import stored
 
 #: Ranges of the global order in which overlaps are counted.
@@ -34,13 +34,37 @@ LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Nodes a task remembers in order to send the keys of equal texts once.
+REMEMBERED = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers evenly; one to one."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct numbers; sorting in place beats np.unique, which hashes them first."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def rolling_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes, from running sums of value(byte) * ODD ** place, modulo 2 ** 64."""
+    scale = np.full(len(data) + 1, ODD)
+    scale[0] = 1
+    np.multiply.accumulate(scale, out=scale)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUE[data] * scale[:-1], out=sums[1:])
+    back = np.full(len(data) + 1, np.uint64(pow(int(ODD), -1, 1 << 64)))
+    back[0] = 1
+    np.multiply.accumulate(back, out=back)
+    return (sums[ends] - sums[begins]) * back[begins] + (ends - begins).astype(np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -53,10 +77,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
     first = offsets[:-1][np.diff(offsets) > 0]
     starts[first] = inside[first]
     begins = np.flatnonzero(starts)
-    stop = np.flatnonzero(~inside)
-    after = np.append(stop, len(data))[np.searchsorted(stop, begins)] if len(begins) else begins
-    ends = np.minimum(after, np.append(begins[1:], len(data))) if len(begins) else begins
-    words = mix(word_hashes(data, begins, ends))
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | starts[1:]
+    ends = np.flatnonzero(last) + 1
+    words = mix(rolling_hashes(data, begins, ends))
     grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
         grams = grams * ODD + words[k:k + len(grams)]
@@ -64,7 +88,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
     cuts = np.searchsorted(begins, offsets)
     for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if high - low >= width:
-            yield np.unique(grams[low:high - width + 1])
+            yield distinct(grams[low:high - width + 1])
         elif high > low:
             whole = np.zeros(1, np.uint64)
             for k in range(low, high):
@@ -97,12 +121,12 @@ class Cuts:
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         """One key for each fragment that is not empty, in each class of this set."""
-        out, half = [], tokens >> np.uint64(32)
+        out, half, spread = [], tokens >> np.uint64(32), mix(tokens ^ ODD)
         for c in self.classes(len(tokens)):
             count = self.fragments[c]
             place = (half * np.uint64(count)) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            found = np.add.reduceat(mix(tokens ^ ODD), starts)
+            found = np.add.reduceat(spread, starts)
             label = np.uint64((c + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
             out.append(mix(found + label + place[starts] * ODD))
             if len(starts) <= self.allowed[c]:
@@ -140,10 +164,10 @@ def sizes(docs: DataFrame, text: str, width: int, into: str) -> DataFrame:
     return docs.withColumn(into, count(F.col(text)))
 
 
-def each_set(rows: DataFrame, width: int, schema: str, out_of):
-    """Rows made by out_of(node, set) from every (node, text)."""
+def each_set(rows: DataFrame, width: int, schema: str, out_of, of=iter):
+    """Rows made by out_of(node, set) from every (node, text) of the batches that `of` makes of a task's."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in of(batches):
             nodes = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
             for low, high in slices(offsets):
@@ -154,7 +178,7 @@ def each_set(rows: DataFrame, width: int, schema: str, out_of):
 
 
 def fragment_keys(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, node) for every fragment of every set."""
+    """(key, node) for every fragment of every set; a task sends those of equal texts it remembers once."""
     def out_of(nodes, sets):
         cuts = Cuts(percent)
         keys = [cuts.keys(s) if len(s) else np.empty(0, np.uint64) for s in sets]
@@ -163,16 +187,27 @@ def fragment_keys(rows: DataFrame, width: int, percent: int) -> DataFrame:
             [signed(np.concatenate(keys) if keys else np.empty(0, np.uint64)), pa.array(repeated, pa.int64())],
             ["key", "node"])
 
-    return each_set(rows, width, "key long, node long", out_of)
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            nodes, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            new = [k for k, node in zip(first.tolist(), nodes.tolist()) if node not in seen]
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(nodes.tolist())
+            yield batch.take(pa.array(sorted(new), pa.int64()))
+
+    return each_set(rows, width, "key long, node long", out_of, fresh)
 
 
 def with_hubs(keys: DataFrame) -> DataFrame:
-    """(key, node, hub): the other nodes of every key that several share, with its smallest node.
+    """(key, node, hub): the other nodes of every key that several share, with one of them, its hub.
 
-    Rows of a key are sorted together and passed by once; nothing of a group is held but its hub.
+    Rows of a key come one after another (one sort column, so Spark sorts by radix) and are passed by
+    once; nothing of a group is held but its hub. Copies that several tasks sent go afterwards.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_node = last_hub = None
+        last_key = last_hub = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -183,15 +218,13 @@ def with_hubs(keys: DataFrame) -> DataFrame:
             group = np.cumsum(start)
             hubs = np.concatenate([[last_hub if last_hub is not None else 0], node[start]])
             hub = hubs[group]
-            again = np.concatenate([[not start[0] and node[0] == last_node], node[1:] == node[:-1]])
-            again &= ~start
-            use = (node != hub) & ~again
-            last_key, last_node, last_hub = key[-1], node[-1], hub[-1]
+            use = node != hub
+            last_key, last_hub = key[-1], hub[-1]
             yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(node[use]), pa.array(hub[use])],
                                              ["key", "node", "hub"])
 
-    return (keys.repartition("key").sortWithinPartitions("key", "node")
-            .mapInArrow(run, "key long, node long, hub long"))
+    return (keys.repartition("key").sortWithinPartitions("key")
+            .mapInArrow(run, "key long, node long, hub long").distinct())
 
 
 def crowds(pairs: DataFrame) -> DataFrame:
