@@ -257,3 +257,19 @@ def test_jaccard_against_all_pairs(docs, empty, monkeypatch, percent, width):
         want[d, len(sets[i]), min(ids) if sets[i] and ids else d] += 1
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
     assert jaccard.near_duplicates(empty).count() == 0
+
+
+def test_sets_do_not_depend_on_the_place_of_a_text():
+    def sets(texts):
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        return list(jaccard.shingle_sets(data, np.cumsum([0] + [len(r) for r in raw]), 2))
+
+    texts = ["a b c a b", "", "c d", "é" * 40 + " x", "  ", "x", "A B\tc\na B", "ab c a b"]
+    together = sets(texts)
+    for text, found in zip(texts, together):
+        assert np.array_equal(found, sets([text])[0])
+        words = text.lower().split()
+        assert len(found) == (len(set(zip(words, words[1:]))) or bool(words))
+    assert np.array_equal(together[0], together[6])
+    assert not np.array_equal(together[0], together[7])
