@@ -23,25 +23,31 @@ CHUNK = 1 << 18
 
 
 def training_sample(labelled: DataFrame, text: str, label: str, rows: int, max_bytes: int) -> list:
-    """(label, text) of at most `rows` texts and `max_bytes` bytes for each label.
+    """(label, text) of at most `rows` distinct texts and `max_bytes` bytes for each label.
 
-    Texts are taken in the order of a hash of their content. Counts decide the share of the hash
-    range that is looked at, so no task sees all texts of a label.
+    Texts are taken in the order of a hash of their content; the one that would pass `max_bytes` is
+    taken in part. Counts of distinct texts decide the share of the hash range that is looked at, so
+    no task sees all texts of a label, and copies do not thin the sample out.
     """
     known = labelled.select(F.col(label).alias("label"), F.col(text).alias("text")).where(
-        "label IS NOT NULL AND length(text) > 0")
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        "label IS NOT NULL AND length(text) > 0").withColumn("hash", F.xxhash64("text"))
+    counts = {r["label"]: r["n"] for r in known.select("label", "hash").distinct()
+              .groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * rows / n))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.withColumn("place", place).where(F.col("place") < share[F.col("label")]).distinct()
+    place = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    picked = (known.withColumn("place", place).where(F.col("place") < share[F.col("label")])
+              .select("label", "text", "place").distinct())
     upto = Window.partitionBy("label").orderBy("place", "text")
-    return [(r["label"], r["text"]) for r in picked
-            .withColumns({"n": F.row_number().over(upto),
-                          "bytes": F.sum(F.octet_length("text")).over(upto)})
-            .where((F.col("n") <= rows) & ((F.col("bytes") <= max_bytes) | (F.col("n") == 1)))
-            .select("label", F.left("text", F.lit(max_bytes)).alias("text")).collect()]
+    room = F.greatest(F.lit(max_bytes) - (F.col("bytes") - F.octet_length("text")), F.lit(0))
+    taken = (picked.withColumns({"n": F.row_number().over(upto),
+                                 "bytes": F.sum(F.octet_length("text")).over(upto)})
+             .withColumn("room", room.cast("int")).where((F.col("n") <= rows) & (F.col("room") > 0))
+             .select("label", F.expr("left(text, room)").alias("text"), "room").collect())
+    # A character has a byte at least; what is over the bound goes here, with a character cut in two.
+    cut = [(r["label"], r["text"].encode()[:r["room"]].decode(errors="ignore")) for r in taken]
+    return [(k, t) for k, t in cut if t]
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", order: int = 4,

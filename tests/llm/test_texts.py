@@ -98,6 +98,22 @@ def test_language_of_odd_rows(docs, empty):
     assert {r.language.lang for r in langid.identify(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_copies_do_not_thin_the_sample_out(spark):
+    texts = [("a", f"own text {i}") for i in range(3)] + [("b", f"autre texte {i}") for i in range(30)]
+    copies = spark.createDataFrame(texts, "lang string, text string").crossJoin(spark.range(2000)).drop("id")
+    got = langid.training_sample(copies, "text", "lang", 5, 10_000)
+    assert {t for k, t in got if k == "a"} == {t for k, t in texts if k == "a"}
+    assert len(got) == len(set(got)) == 8 and sum(k == "b" for k, _ in got) == 5
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    texts = [("a", f"{i} " + "é" * (400 if i % 2 else 3)) for i in range(12)]
+    for bound in (100, 500, 1001):
+        got = langid.training_sample(spark.createDataFrame(texts, "lang string, text string"), "text", "lang", 50, bound)
+        assert bound - 1 <= sum(len(t.encode()) for _, t in got) <= bound
+        assert all(any(whole.startswith(t) for _, whole in texts) for _, t in got)
+
+
 # ---------------------------------------------------------------- pieces
 
 def test_ids_spans_and_decoding(docs, empty):
