@@ -3,7 +3,8 @@
 Unit vectors are rotated to their principal axes and cut into blocks. Two vectors of cosine c have the
 squared distance 2 - 2c; each block gets a share of that budget in proportion to its variance, and a
 pair within the whole budget is within its share in one block at least. Each block is joined by a grid
-over its two widest axes, the block distance selects the candidates, and their cosine decides.
+over its two widest axes, the block distance selects the candidates, and their cosine decides. Vectors
+of each length have axes, blocks and grids of their own.
 """
 
 import math
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,25 +36,38 @@ def matrix(column: pa.Array) -> np.ndarray:
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
-def rotation(classes: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Axes (columns) and variances, widest first, of the unit vectors of all rows."""
+def by_length(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Every length of a batch's vectors with the rows that have it."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for size in np.unique(lengths).tolist():
+        yield size, pa.array(np.flatnonzero(lengths == size))
+
+
+def rotations(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length the axes (columns) and variances, widest first, of its unit vectors."""
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size))
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column(0))
-                total += x.T @ x
-        i, j = np.triu_indices(size)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])],
-                                         ["i", "j", "v"])
-
-    sums = (classes.select("vector").mapInArrow(gram, "i int, j int, v double")
-            .groupBy("i", "j").agg(F.sum("v").alias("v")).collect())  # size * (size + 1) / 2 rows
-    out = np.zeros((size, size))
+            for size, rows in by_length(batch.column(0)):
+                x = matrix(batch.column(0).take(rows))
+                total[size] = total.get(size, 0) + x.T @ x
+        for size, sums in total.items():
+            i, j = np.triu_indices(size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(i), size), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()),
+                 pa.array(sums[i, j])], ["size", "i", "j", "v"])
+
+    sums = (classes.select("vector").mapInArrow(gram, "size int, i int, j int, v double")
+            .groupBy("size", "i", "j").agg(F.sum("v").alias("v")).collect())  # size * (size + 1) / 2 rows a length
+    grams: dict[int, np.ndarray] = {}
     for r in sums:
+        out = grams.setdefault(r["size"], np.zeros((r["size"], r["size"])))
         out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
-    values, axes = np.linalg.eigh(out)
-    return axes[:, ::-1], np.maximum(values[::-1], 0)
+    found = {}
+    for size, out in grams.items():
+        values, axes = np.linalg.eigh(out)
+        found[size] = axes[:, ::-1], np.maximum(values[::-1], 0)
+    return found
 
 
 class Blocks:
@@ -131,56 +146,49 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                     cosine: float = 0.9, blocks: int = 4) -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
-    n_links counts the other rows of cosine >= `cosine`, component_id is the smallest key reachable
-    by links and kept marks it. Vectors that are NULL, all zero, of another length than the most
-    frequent one, or with a NULL or non-finite component link with nothing, nor do rows with a NULL
-    key (component_id NULL, not kept). Equal vectors are one class that is joined once, so copies
-    cost nothing beyond their rows. Other columns are not read.
+    n_links counts the other rows of the same length and cosine >= `cosine`, component_id is the
+    smallest key reachable by links and kept marks it. Vectors that are NULL, all zero, or with a
+    NULL or non-finite component link with nothing, nor do rows with a NULL key (component_id NULL,
+    not kept). Equal vectors are one class that is joined once, so copies cost nothing beyond their
+    rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
-    sound = (F.col("vector").isNotNull() & (F.size("vector") > 0)
-             & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-             & F.exists("vector", lambda x: x != 0) & F.col("id").isNotNull())
-    lengths = rows.where(sound).groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(
-        F.desc("n"), "d").first()
-    if lengths is None:
-        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"),
-                           F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    size = lengths["d"]
-    usable = sound & (F.size("vector") == size)
+    usable = (F.col("vector").isNotNull() & (F.size("vector") > 0)
+              & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+              & F.exists("vector", lambda x: x != 0) & F.col("id").isNotNull())
     classes = stored(rows.where(usable).groupBy("vector").agg(
         F.min("id").alias("class"), F.count("*").alias("n")), "classes")
-    number = classes.count()
-    plan = Blocks(*rotation(classes, size), blocks, cosine)
-    held = spark.sparkContext.broadcast(plan)  # size * size numbers
+    # A class that is alone in its length has nothing to be joined with.
+    number = {r["d"]: r["n"] for r in classes.groupBy(F.size("vector").alias("d"))
+              .agg(F.count("*").alias("n")).where("n > 1").collect()}
+    joinable = classes.where(F.size("vector").isin(list(number)))
+    plans = {d: Blocks(*found, blocks, cosine) for d, found in rotations(joinable).items()}
+    held = spark.sparkContext.broadcast(plans)  # size * size numbers for each length
 
     def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cells = held.value.cells(matrix(batch.column(0)))
+            for size, of in by_length(batch.column(0)):
+                cells = held.value[size].cells(matrix(batch.column(0).take(of)))
                 b = np.broadcast_to(np.arange(cells.shape[1], dtype=np.int32), cells.shape[:2])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.ravel()), pa.array(cells[..., 0].ravel()), pa.array(cells[..., 1].ravel())],
-                    ["block", "cx", "cy"])
+                    [pa.array(np.full(b.size, size), pa.int32()), pa.array(b.ravel()),
+                     pa.array(cells[..., 0].ravel()), pa.array(cells[..., 1].ravel())],
+                    ["size", "block", "cx", "cy"])
 
     # Coordinates of unit vectors are within 1, so the number of cells has a bound.
-    filled = {(r["block"], r["cx"], r["cy"]): r["n"] for r in
-              classes.select("vector").mapInArrow(count_cells, "block int, cx int, cy int")
-              .groupBy("block", "cx", "cy").agg(F.count("*").alias("n")).collect()}
-    limit = min(CHUNK, max(256, number // 16))
-    home = {c: -(-n // limit) for c, n in filled.items()}
-    guests = {(b, x, y): -(-sum(filled.get((b, x - i, y - j), 0) for i, j in FORWARD) // limit)
-              for b, x, y in filled}
+    filled = {(r["size"], r["block"], r["cx"], r["cy"]): r["n"] for r in
+              joinable.select("vector").mapInArrow(count_cells, "size int, block int, cx int, cy int")
+              .groupBy("size", "block", "cx", "cy").agg(F.count("*").alias("n")).collect()}
+    limit = {d: min(CHUNK, max(256, n // 16)) for d, n in number.items()}
+    home = {c: -(-n // limit[c[0]]) for c, n in filled.items()}
+    guests = {(d, b, x, y): -(-sum(filled.get((d, b, x - i, y - j), 0) for i, j in FORWARD) // limit[d])
+              for d, b, x, y in filled}
     dealt = spark.sparkContext.broadcast((home, guests))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes, visitors = dealt.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            cells, salt = held.value.cells(matrix(batch.column(2))), spread_out(ids)
             tasks: dict[str, list] = {"row": [], "task": [], "side": []}
 
             def put(row, cell, kind, i, j, side):
@@ -188,40 +196,44 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 tasks["task"].append("/".join(map(str, (*cell, kind, i, j))))
                 tasks["side"].append(side)
 
-            for row in range(batch.num_rows):
-                for b in range(cells.shape[1]):
-                    x, y = cells[row, b].tolist()
-                    k = homes[b, x, y]
-                    i = int(salt[row]) % k
-                    for j in range(k):
-                        put(row, (b, x, y), "own", min(i, j), max(i, j), 0 if i <= j else 1)
-                    for j in range(visitors[b, x, y]):
-                        put(row, (b, x, y), "next", i, j, 0)
-                    for dx, dy in FORWARD:
-                        cell = b, x + dx, y + dy
-                        if cell in homes:
-                            j = int(salt[row]) % visitors[cell]
-                            for i2 in range(homes[cell]):
-                                put(row, cell, "next", i2, j, 1)
+            salts = spread_out(batch.column(0).to_numpy())
+            for size, of in by_length(batch.column(2)):
+                cells = held.value[size].cells(matrix(batch.column(2).take(of)))
+                for at, row in enumerate(of.to_pylist()):
+                    salt = int(salts[row])
+                    for b in range(cells.shape[1]):
+                        x, y = cells[at, b].tolist()
+                        k = homes[size, b, x, y]
+                        i = salt % k
+                        for j in range(k):
+                            put(row, (size, b, x, y), "own", min(i, j), max(i, j), 0 if i <= j else 1)
+                        for j in range(visitors[size, b, x, y]):
+                            put(row, (size, b, x, y), "next", i, j, 0)
+                        for dx, dy in FORWARD:
+                            cell = size, b, x + dx, y + dy
+                            if cell in homes:
+                                j = salt % visitors[cell]
+                                for i2 in range(homes[cell]):
+                                    put(row, cell, "next", i2, j, 1)
             take = pa.array(tasks["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tasks["task"]), pa.array(tasks["side"], pa.int8()), batch.column(0).take(take),
+                [pa.array(tasks["task"], pa.string()), pa.array(tasks["side"], pa.int8()), batch.column(0).take(take),
                  batch.column(1).take(take), batch.column(2).take(take)], ["task", "side", "class", "n", "vector"])
 
     kind = classes.schema["vector"].dataType.simpleString()
 
     def join(group: pa.Table) -> pa.Table:
         name = group.column("task")[0].as_py().split("/")
-        block, own = int(name[0]), name[3] == "own"
+        size, block, own = int(name[0]), int(name[1]), name[4] == "own"
         group = group.combine_chunks()
         side = group.column("side").to_numpy()
         ids, n = group.column("class").to_numpy(), group.column("n").to_numpy()
         x = matrix(group.column("vector").chunk(0))
         # A chunk joined with itself comes once, all on side 0.
-        same = own and name[4] == name[5]
+        same = own and name[5] == name[6]
         a = np.flatnonzero(side == 0)
         b = a if same else np.flatnonzero(side == 1)
-        wa, wb, u, v = join_chunks(held.value, block, same, (ids[a], n[a], x[a]), (ids[b], n[b], x[b]))
+        wa, wb, u, v = join_chunks(held.value[size], block, same, (ids[a], n[a], x[a]), (ids[b], n[b], x[b]))
         node = np.concatenate([ids[a], ids[b], u])
         links = np.concatenate([wa, wb, np.zeros(len(u), np.int64)])
         root = pa.array(np.concatenate([np.zeros(len(wa) + len(wb), np.int64), v]),
@@ -230,7 +242,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         return pa.table({"node": node, "links": links, "root": root}).filter(use)
 
     found = stored(
-        classes.select("class", "n", "vector")
+        joinable.select("class", "n", "vector")
         .mapInArrow(deal, f"task string, side byte, class long, n long, vector {kind}")
         .groupBy("task").applyInArrow(join, "node long, links long, root long"), "found")
     links = found.where("root IS NULL").groupBy(F.col("node").alias("class")).agg(F.sum("links").alias("links"))

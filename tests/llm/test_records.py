@@ -124,3 +124,22 @@ def test_vectors_against_all_pairs(spark, monkeypatch, chunk):
     for k, _ in bad:
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, k is not None)
     assert vectors.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_vectors_of_every_length_are_linked(spark, monkeypatch, chunk):
+    monkeypatch.setattr(vectors, "CHUNK", chunk)
+    rng = np.random.default_rng(6)
+    x = [b + rng.normal(size=d) * 0.2 for d, n in ((8, 6), (5, 4), (1, 2)) for b in rng.normal(size=(n, d)) for _ in range(5)]
+    x += [rng.normal(size=3)] * 2 + [rng.normal(size=7)]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in vectors.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), blocks=3).collect()}
+    unit = [v / np.linalg.norm(v) for v in x]
+    near = np.array([[len(u) == len(v) and u @ v >= 0.9 for v in unit] for u in unit])
+    i, j = np.nonzero(np.triu(near, 1))
+    component = dict(zip(*(a.tolist() for a in local_components(i, j))))
+    assert got[len(x) - 2].n_links == 1 and got[len(x) - 2].component_id == len(x) - 3
+    for k in range(len(x)):
+        assert (got[k].n_links, got[k].component_id) == (near[k].sum() - 1, component.get(k, k))
+        assert got[k].kept == (component.get(k, k) == k)
