@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take the lines that many sites share out of the texts."""
-    return with_text(lines.remove_shared_lines(docs, threshold=SITES), F.col("cleaned.text"))
+    """Take the lines that many sites share out of the texts; copies of nothing else wait for the next stage."""
+    return with_text(lines.remove_shared_lines(docs, threshold=SITES, only_copies=True), F.col("cleaned.text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,23 +45,30 @@ def shared_lines(docs: DataFrame, text: str = "text", site: str = "source", thre
 
 
 def remove_shared_lines(docs: DataFrame, text: str = "text", site: str = "source",
-                        threshold: int = 10, into: str = "cleaned", **sketch) -> DataFrame:
+                        threshold: int = 10, into: str = "cleaned", only_copies: bool = False,
+                        **sketch) -> DataFrame:
     """Add a struct (text, n_lines, n_removed): each text without its cross-site lines.
 
     Lines are compared without surrounding spaces. Blank lines stay. A text all of whose lines that
-    are not blank are shared is a copy rather than boilerplate around something, and stays as it is.
+    are not blank are shared stays as it is; with `only_copies` only if it is the whole text of
+    several rows, and a single one loses all those lines.
     A NULL text stays NULL with 0 lines. Rows with equal texts get equal results; all other columns
     stay. Rows with a NULL site are cleaned, but do not count as a site.
     """
     shared = shared_lines(docs, text, site, threshold, **sketch)
     hits = (line_sites(docs, text, site).select("doc", "line").distinct().join(shared, "line")
             .groupBy("doc").agg(F.collect_set("line").alias("_shared")))
+    if only_copies:
+        rows = docs.groupBy(F.md5(text).alias("doc")).agg((F.count("*") > 1).alias("_stays"))
+        hits = hits.join(rows, "doc")
+    else:
+        hits = hits.withColumn("_stays", F.lit(True))
 
     @F.arrow_udf("text string, n_removed long")
-    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, hashes in batches:
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, hashes, stays in batches:
             new, removed = [], []
-            for value, bad in zip(texts, hashes):
+            for value, bad, stay in zip(texts, hashes, stays):
                 value = value.as_py()
                 if value is None:
                     new.append(None)
@@ -72,7 +79,7 @@ def remove_shared_lines(docs: DataFrame, text: str = "text", site: str = "source
                 filled = [i for i, x in enumerate(lines) if x.strip(" ")]
                 gone = {i for i in filled
                         if xxhash.xxh64_intdigest(lines[i].strip(" ").encode(), seed=SEED) in bad}
-                if len(gone) == len(filled):
+                if len(gone) == len(filled) and stay.as_py():
                     gone = set()
                 new.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
                 removed.append(len(gone))
@@ -83,9 +90,9 @@ def remove_shared_lines(docs: DataFrame, text: str = "text", site: str = "source
     joined = docs.withColumn("_doc", F.md5(text)).join(
         hits.withColumnRenamed("doc", "_doc"), "_doc", "left")
     touched = F.col("_shared").isNotNull()
-    return (joined.withColumn("_cut", cut(F.when(touched, F.col(text)), F.col("_shared")))
+    return (joined.withColumn("_cut", cut(F.when(touched, F.col(text)), F.col("_shared"), F.col("_stays")))
             .withColumn(into, F.struct(
                 F.when(touched, F.col("_cut")["text"]).otherwise(F.col(text)).alias("text"),
                 F.coalesce(F.size(F.split(text, "\n")).cast("long"), F.lit(0)).alias("n_lines"),
                 F.when(touched, F.col("_cut")["n_removed"]).otherwise(0).alias("n_removed")))
-            .drop("_doc", "_shared", "_cut"))
+            .drop("_doc", "_shared", "_stays", "_cut"))

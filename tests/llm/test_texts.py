@@ -165,6 +165,18 @@ def test_lines_against_counts(spark, empty):
     assert lines.remove_shared_lines(empty, threshold=3).count() == 0
 
 
+def test_pipeline_cleans_boilerplate_that_is_no_copy(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"only {i}\nbanner\nfooter", "en", f"s{i}", 1) for i in range(10)]
+    rows += [(20, "banner\nfooter", "en", "s1", 1), (21, "footer\n\nbanner", "en", "s2", 1),
+             (22, "footer", "en", "s3", 1), (23, "footer", "en", "s4", 1), (24, None, "en", "s4", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.shared_lines(spark, docs, "").collect()}
+    assert got == {**{i: (f"only {i}", 6) for i in range(10)}, 20: ("", 0), 21: ("", 0),
+                   22: ("footer", 6), 23: ("footer", 6), 24: (None, None)}
+
+
 def test_line_hash_is_sparks(spark):
     for text in ["", "é x", "long " * 30]:
         want = spark.range(1).selectExpr(f"xxhash64('{text}')").first()[0]
