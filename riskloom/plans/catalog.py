@@ -726,28 +726,29 @@ def i10_ridge(spark, d):
 
 @query
 def i11_forest(spark, d):
-    return fitted_scores(spark, d, classifiers.Forest(trees=50, depth=5, leaf=2), QUALITY_FEATURES)
+    return fitted_scores(spark, d, classifiers.Forest(trees=600, depth=5, leaf=2), QUALITY_FEATURES)
 
 
 @query
 def i12_boosting(spark, d):
     return fitted_scores(
-        spark, d, classifiers.Boosting(rate=0.1, depth=3, rounds=20), QUALITY_FEATURES
+        spark, d, classifiers.Boosting(rate=0.1, depth=3, rounds=100), QUALITY_FEATURES
     )
 
 
-LIGHT_GRIDS = {
-    "logreg": (classifiers.PenalizedLogit, {"C": [0.1, 1.0]}, {}),
-    "ridge": (classifiers.Ridge, {"alpha": [0.5, 3.0]}, {}),
-}
+#: Folds of the model comparison.
+FOLDS = 5
 
 
 @query
 def i13_grid_search(spark, d):
+    """Best settings of all six families."""
     train, _ = quality_split(spark, d)
-    folded = tables.stored(sampling.stratified_folds(train, 3))
-    tuned = selection.tune("ridge", folded, QUALITY_FEATURES, k=3, grids=LIGHT_GRIDS)
-    return spark.createDataFrame([(tuned.name, tuned.params)], "model string, best_params map<string,string>")
+    folded = tables.stored(sampling.stratified_folds(train, FOLDS))
+    tuned = [selection.tune(n, folded, QUALITY_FEATURES, k=FOLDS) for n in classifiers.GRIDS]
+    return spark.createDataFrame(
+        [(t.name, t.params) for t in tuned], "model string, best_params map<string,string>"
+    )
 
 
 @query
@@ -769,7 +770,7 @@ def i16_train_test_auc(spark, d):
 @query
 def i17_leaderboard(spark, d):
     train, test = quality_split(spark, d)
-    return selection.compare_models(train, test, QUALITY_FEATURES, k=3, grids=LIGHT_GRIDS)[0]
+    return selection.compare_models(train, test, QUALITY_FEATURES, k=FOLDS)[0]
 
 
 @query
@@ -777,16 +778,14 @@ def i18_split_comparison(spark, d):
     df = sampling.systematic_split(
         quality_frame(spark, d).withColumnRenamed("id", "row_key"), ["yd", "k_chars"], "row_key"
     )
-    grids = {"ridge": (classifiers.Ridge, {}, {"alpha": 1.0})}
-    return selection.compare_splits(df, QUALITY_FEATURES, k=3, grids=grids)
+    return selection.compare_splits(df, QUALITY_FEATURES, k=FOLDS)
 
 
 @query
 def i19_model_rocs(spark, d):
     train, test = quality_split(spark, d)
-    folded = tables.stored(sampling.stratified_folds(train, 2))
-    grids = {"ols": classifiers.GRIDS["ols"], "ridge": (classifiers.Ridge, {}, {"alpha": 1.0})}
-    tuned = [selection.tune(n, folded, QUALITY_FEATURES, k=2, grids=grids) for n in grids]
+    folded = tables.stored(sampling.stratified_folds(train, FOLDS))
+    tuned = [selection.tune(n, folded, QUALITY_FEATURES, k=FOLDS) for n in classifiers.GRIDS]
     return selection.model_rocs(tuned, test)
 
 
@@ -876,3 +875,12 @@ def study_holdout(spark, d):
     """Whole third study on orders: impute, random split, fits, train and test AUC."""
     df = tables.stored(orders_frame(spark, d))
     return study.holdout_study(df, ["price", "quantity"], impute=ORDER_FEATURES)["auc"]
+
+
+@query
+def study_comparison(spark, d):
+    """Whole second study on document quality: split, impute, six families under both splits."""
+    df = quality_frame(spark, d).withColumnRenamed("id", "row_key")
+    return study.comparison_study(
+        tables.stored(df), QUALITY_FEATURES, ["yd", "k_chars"], "row_key", k=FOLDS
+    )

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.evaluate import auc
 from riskloom.operators.sampling import random_split, stratified_folds
-from riskloom.plans import classifiers, selection
+from riskloom.plans import catalog, classifiers, selection
+from riskloom.sources.tables import stored
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +83,53 @@ def test_one_class_fold_is_left_out(cases):
     scores = folded.withColumn("score", F.col("p"))
     per_fold = {r["fold"]: r["auc"] for r in auc(scores, "score", "yd", ["fold"]).collect()}
     assert per_fold[1] is None and per_fold[0] is not None
+
+
+#: The axes of GRIDS with fewer and smaller settings.
+SMALL_GRIDS = {
+    "logreg": (classifiers.PenalizedLogit, {"C": [0.1, 1.0]}, {}),
+    "probit": (classifiers.Probit, {}, {}),
+    "ols": (classifiers.LinearProbability, {}, {}),
+    "ridge": (classifiers.Ridge, {"alpha": [0.5, 3.0]}, {}),
+    "rf": (classifiers.Forest, {"trees": [3, 5], "depth": [2], "leaf": [2]}, {}),
+    "hgb": (classifiers.Boosting, {"rate": [0.1], "depth": [2, 3]}, {"rounds": 2}),
+}
+
+
+@pytest.mark.parametrize("name", ["rf", "hgb"])
+def test_trees_on_a_small_grid(cases, name):
+    assert {n: (k, set(g), set(f)) for n, (k, g, f) in SMALL_GRIDS.items()} == {
+        n: (k, set(g), set(f)) for n, (k, g, f) in classifiers.GRIDS.items()}
+    folded = stored(stratified_folds(cases, 2))
+    tuned = selection.tune(name, folded, ["p", "q"], k=2, grids=SMALL_GRIDS)
+    assert set(tuned.params) == set(SMALL_GRIDS[name][1]) and len(tuned.per_fold) == 2
+    assert selection.out_of_fold(tuned, folded).count() == 240
+
+
+def test_queries_use_the_whole_grids(spark, monkeypatch):
+    seen, held = [], {}
+
+    def tune(name, train, features, target="yd", k=5, grids=classifiers.GRIDS, parallelism=4):
+        seen.append((name, k, grids is classifiers.GRIDS))
+        return selection.Tuned(name, None, {"a": "1"}, [])
+
+    def compare(train, valid, features, target="yd", key="id", k=5, grids=classifiers.GRIDS, parallelism=4):
+        tuned = [tune(n, train, features, target, k, grids) for n in grids]
+        return spark.createDataFrame([("ols", 0.5, 0.5, 0.5, {"a": "1"})], selection.LEADERBOARD), tuned
+
+    def scores(spark, d, estimator, features):
+        held.update({p.name: estimator.getOrDefault(p) for p in estimator.params if estimator.isDefined(p)})
+
+    monkeypatch.setattr(selection, "tune", tune)
+    monkeypatch.setattr(selection, "compare_models", compare)
+    monkeypatch.setattr(selection, "model_rocs", lambda tuned, test: tuned)
+    monkeypatch.setattr(catalog, "fitted_scores", scores)
+    whole = [(n, 5, True) for n in classifiers.GRIDS]
+    for query, times in (("i13_grid_search", 1), ("i17_leaderboard", 1), ("i18_split_comparison", 2),
+                         ("i19_model_rocs", 1), ("study_comparison", 2)):
+        seen.clear()
+        catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
+        assert seen == whole * times, query
+    catalog.QUERIES["i11_forest"](spark, "")
+    catalog.QUERIES["i12_boosting"](spark, "")
+    assert held["trees"] == 600 and held["rounds"] == 100
