@@ -4,7 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, jaccard, langid, lines, pieces, shards, suffix, urls, vectors, warc
+from riskloom.llm import (
+    bond, decontam, jaccard, langid, lines, pieces, shards, suffix, urls, vectors, warc,
+)
 
 SHARDS = [1.0] * 8
 #: A line on so many sites is boilerplate.
@@ -276,6 +278,38 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard,
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "embeddings").where(
+        "label IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('Infinity'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = known.select("vec_id", label.alias("label"), F.transform(
+        "embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return bond.hard_negatives(whole, F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -287,6 +321,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
@@ -297,4 +332,5 @@ ORACLES = {
     "op8_url_filters": OP8_SQL,
     "op9_sharding": OP9_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
