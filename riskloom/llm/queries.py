@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    bond, decontam, jaccard, langid, lines, pieces, shards, suffix, urls, vectors, warc,
+    bond, decontam, jaccard, langid, lines, pieces, repair, shards, suffix, urls, vectors, warc,
 )
 
 SHARDS = [1.0] * 8
@@ -278,6 +278,23 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard,
 """
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows after damage that a checksum of conversation and turn decides: one in 20 of each of five kinds."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *shown).cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    rows = conversations.select(
+        "conv_id", "turn", kind.alias("kind"), F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"))
+    copies = F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))
+    return rows.where("kind <> 0").withColumn("copy", F.explode(copies)).drop("kind", "copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations")
+    return repair.repair(damaged(told), ids=told)[0]
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "embeddings").where(
         "label IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('Infinity'))")
@@ -321,6 +338,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
