@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    bond, decontam, jaccard, langid, lines, pieces, repair, shards, suffix, urls, vectors, warc,
+    bond, ctw, decontam, jaccard, langid, lines, pieces, repair, shards, suffix, urls, vectors, warc,
 )
 
 SHARDS = [1.0] * 8
@@ -278,6 +278,13 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard,
 """
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tenth = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
+    return ctw.language_model_scores(docs, tenth != 0).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Rows after damage that a checksum of conversation and turn decides: one in 20 of each of five kinds."""
     shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
@@ -338,6 +345,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
