@@ -7,9 +7,10 @@ stands for itself, with 1/2 for the product over the contexts one byte longer. T
 so the probability of a bit is the exact ratio of two such mixtures.
 
 Counting and scoring read texts in slices of a bounded size. A slice asks for its distinct byte
-strings of length DEPTH + 1 (and its distinct words, for the base score); counts are summed over all
-slices, the tree is built level by level upwards and weighed downwards as joins on whole numbers, and
-every slice gets the code lengths of its own strings alone.
+strings of length DEPTH + 1 (and its distinct words, for the base score), in buckets by recent context;
+lists of a bucket are united over all slices. The tree is built upwards and weighed downwards level by
+level: in arrays within a bucket, where all longer contexts of a context are, and as joins on whole
+numbers above. Every slice gets the code lengths of its own strings alone.
 """
 
 import math
@@ -22,12 +23,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskloom.llm.jaccard import IS_SPACE, mix, rolling_hashes
 from riskloom.sources.tables import stored
 
 #: Bytes of context, and bytes of text that share one list of asked strings.
-DEPTH, SLICE = 5, 32 << 20
+DEPTH, SLICE = 6, 32 << 20
+#: Bytes of context up to which the tree is one of joins; behind it buckets of contexts are arrays.
+BASE = 3
+#: Slices whose lists of a bucket one task unites.
+BAND = 64
 #: Bytes that are arrays at once; a longer text is cut at white space.
 PART = 1 << 20
 #: The symbol behind the last byte of a text; UTF-8 has no such byte.
@@ -140,37 +147,82 @@ def cut_slices(size: int):
     return cut
 
 
-def asked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, key, times in training texts): byte strings as numbers >= 0, words as hashes below 0."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Ascending whole numbers as the byte planes of their steps, which compress well."""
+    return np.diff(numbers, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    def told(number: int, found: list) -> pa.RecordBatch:
-        keys, times = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        order = np.argsort(keys, kind="stable")
-        keys, times = keys[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(first), number)), pa.array(keys[first]), pa.array(np.add.reduceat(times, first))],
-            ["slice", "key", "n"])
 
-    number, found = None, []
-    for batch in batches:
-        numbers = batch["slice"].to_numpy()
-        cuts = np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1)) if len(numbers) else []
-        for low, high in zip(cuts, [*cuts[1:], len(numbers)]):
-            if number is not None and numbers[low] != number and found:
-                yield told(number, found)
-                found = []
-            number = int(numbers[low])
-            trains = batch["trains"].slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
-            for s in streams(encoded(batch["text"].slice(low, high - low))):
-                learns = trains[s.rows]
-                strings, (words, at) = s.strings(), s.words()
-                for keys, use in ((strings, np.repeat(learns, s.sizes)), (words, learns[at])):
-                    keys_, times = counted(keys[use])
-                    rest, _ = counted(keys[~use])
-                    found += [(keys_, times), (rest, np.zeros(len(rest), np.int64))]
-    if found:
-        yield told(number, found)
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
+def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    keys, times = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(times, first)
+
+
+#: Spreads contexts over buckets; small enough that the product of any context of BASE bytes is a long.
+SPREAD = 2654435761
+
+
+def buckets_of(keys: np.ndarray, count: int) -> np.ndarray:
+    """Strings by the last BASE bytes of their context, words behind them by their hash."""
+    recent = (keys >> 8) & ((1 << (8 * BASE)) - 1)
+    return np.where(keys < 0, count + (keys >> 20) % count, ((recent * SPREAD) >> 12) % count)
+
+
+def asker(count: int, schema: pa.Schema):
+    def asked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys of a slice and their times in training texts, a row for each bucket of keys."""
+
+        def told(number: int, found: list) -> pa.RecordBatch:
+            keys, times = merged(found)
+            place = buckets_of(keys, count)
+            order = np.argsort(place, kind="stable")
+            keys, times, place = keys[order], times[order], place[order]
+            cuts = np.flatnonzero(np.diff(place, prepend=-1))
+            spans = list(zip(cuts, [*cuts[1:], len(keys)]))
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(cuts), number)), pa.array(place[cuts].astype(np.int32)),
+                pa.array([packed(keys[a:b]) for a, b in spans], pa.binary()),
+                pa.array([packed(times[a:b]) for a, b in spans], pa.binary())], schema=schema)
+
+        number, found = None, []
+        for batch in batches:
+            numbers = batch["slice"].to_numpy()
+            cuts = np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1)) if len(numbers) else []
+            for low, high in zip(cuts, [*cuts[1:], len(numbers)]):
+                if number is not None and numbers[low] != number and found:
+                    yield told(number, found)
+                    found = []
+                number = int(numbers[low])
+                trains = batch["trains"].slice(low, high - low).to_numpy(zero_copy_only=False).astype(bool)
+                for s in streams(encoded(batch["text"].slice(low, high - low))):
+                    learns = trains[s.rows]
+                    strings, (words, at) = s.strings(), s.words()
+                    for keys, use in ((strings, np.repeat(learns, s.sizes)), (words, learns[at])):
+                        found.append(counted(keys[use]))
+                        rest, _ = counted(keys[~use])
+                        found.append((rest, np.zeros(len(rest), np.int64)))
+        if found:
+            yield told(number, found)
+
+    return asked_keys
+
+
+def united(key: tuple, table: pa.Table) -> pa.Table:
+    """The lists of one bucket as one."""
+    lists = zip(table["keys"].to_pylist(), table["times"].to_pylist())
+    keys, times = merged([(unpacked(k), unpacked(t)) for k, t in lists])
+    return pa.table({"bucket": table["bucket"].slice(0, 1), "keys": pa.array([packed(keys)], pa.binary()),
+                     "times": pa.array([packed(times)], pa.binary()),
+                     "n": pa.array([int(times.sum())], pa.int64()),
+                     "kinds": pa.array([int((times > 0).sum())], pa.int64())})
 
 
 SCORES = ("doc_id {}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, "
@@ -183,18 +235,24 @@ def scorer(end_count: int, tokens: int, kinds: int, schema: pa.Schema):
     def base(count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.1) / (tokens + 0.1 * (kinds + 1)))
 
-    def score(key: tuple, rows: pa.Table, values: pa.Table) -> pa.Table:
-        values = values.sort_by("key")
-        keys, value = values["key"].to_numpy(), values["value"].to_numpy()
+    def score(key: tuple, rows: pa.Table, given: pa.Table) -> pa.Table:
+        told = [(unpacked(k), v) for k, v in zip(given["keys"].to_pylist(), given["values"].to_pylist())]
+        tables = []
+        for kind, is_word in ((np.int64, True), (np.float32, False)):
+            own = [(k, np.frombuffer(v, kind)) for k, v in told if (k[0] < 0) == is_word]
+            keys, value = (np.concatenate([x[i] for x in own]) if own else np.zeros(0, kind) for i in (0, 1))
+            order = np.argsort(keys)
+            tables.append((keys[order], value[order].astype(np.float64)))
         texts = encoded(rows["text"].combine_chunks()) if rows.num_rows else []
         known, words_, base_, score_ = (np.zeros(len(texts)) for _ in range(4))
         for s in streams(texts):
-            starts = np.concatenate([[0], np.cumsum(s.sizes)[:-1]])
-            bits = value[np.searchsorted(keys, s.strings())]
-            np.add.at(score_, s.rows, np.add.reduceat(bits, starts))
-            words, at = s.words()
-            count = value[np.searchsorted(keys, words)] if len(words) else np.zeros(0)
+            strings, (words, at) = s.strings(), s.words()
+            order = np.argsort(strings)
+            logs = tables[1][1][np.searchsorted(tables[1][0], strings[order])]
+            owner = np.repeat(np.arange(len(s.rows)), s.sizes)[order]
+            count = tables[0][1][np.searchsorted(tables[0][0], words)] if len(words) else np.zeros(0)
             n = len(s.rows)
+            np.add.at(score_, s.rows, np.bincount(owner, logs, minlength=n))
             np.add.at(words_, s.rows, np.bincount(at, minlength=n))
             np.add.at(known, s.rows, np.bincount(at, count > 0, minlength=n))
             np.add.at(base_, s.rows, np.bincount(at, base(count), minlength=n))
@@ -226,52 +284,143 @@ def log_kt(zeros: Column, ones: Column) -> Column:
             - F.lit(math.log(math.pi)))
 
 
-def decisions(strings: DataFrame) -> DataFrame:
-    """The eight binary decisions of each string's last byte; `node` holds context and bits so far."""
-    symbol, k = F.col("key").bitwiseAND(F.lit(255)), F.col("k")
-    path = F.expr("shiftleft(1L, k)").bitwiseOR(F.expr("shiftright(key & 255L, 8 - k)"))
-    return strings.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
-        "key", "n", F.expr("shiftright(key, 8)").alias("context"), path.alias("path"),
-        F.expr("shiftright(key & 255L, 7 - k) & 1L").alias("bit")).withColumn(
-        "node", F.expr("shiftleft(context, 8)").bitwiseOR(F.col("path"))).drop("context", "path")
+def shorter(depth: int) -> int:
+    """Mask that leaves a node the last `depth` bytes of its context."""
+    return (1 << (8 * (depth + 1))) - 1
 
 
-def shorter(depth: int) -> Column:
-    """The node of the last `depth` bytes of context."""
-    return F.col("node").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1))
+@dataclass
+class Level:
+    """Nodes of one depth in order, their counts and the logarithm of their mixture."""
 
+    nodes: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    mixed: np.ndarray
+    weight: np.ndarray  # of the node's own estimate against longer contexts
+
+    @property
+    def estimate(self) -> np.ndarray:
+        return (self.ones + 0.5) / (self.zeros + self.ones + 1)
 
-def weighted_tree(strings: DataFrame) -> DataFrame:
-    """(node, p): probability of a one at every node of full depth, from strings with counts."""
-    zeros, ones = F.col("zeros").cast("double"), F.col("ones").cast("double")
-    made = decisions(strings).groupBy("node").agg(
-        F.sum(F.expr("n * (1 - bit)")).alias("zeros"), F.sum(F.expr("n * bit")).alias("ones"))
-    levels = [stored(made.withColumn("mixed", log_kt(zeros, ones)).withColumn("weight", F.lit(1.0)), "level")]
-    for depth in range(DEPTH - 1, -1, -1):
-        up = levels[0].groupBy(shorter(depth).alias("node")).agg(
-            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("below"))
-        up = up.withColumn("own", log_kt(zeros, ones)).withColumn("gap", F.col("below") - F.col("own"))
-        mixed = F.greatest("own", "below") + F.log1p(F.exp(-F.abs("gap"))) - math.log(2)
-        weight = 1 / (1 + F.exp(F.least("gap", F.lit(700.0))))
-        levels.insert(0, stored(up.select("node", "zeros", "ones", mixed.alias("mixed"), weight.alias("weight")), "level"))
 
+def log_gamma_of(x: np.ndarray) -> np.ndarray:
+    """Stirling's series eight steps up, for x >= 0.5."""
+    z, rising = x + 8, np.prod([x + i for i in range(8)], axis=0)
+    return ((z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi)
+            + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(rising))
+
+
+def log_kt_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return log_gamma_of(zeros + 0.5) + log_gamma_of(ones + 0.5) - log_gamma_of(zeros + ones + 1.0) - math.log(math.pi)
+
+
+def nodes_of(keys: np.ndarray, k: int) -> np.ndarray:
+    """Node of the k-th decision of each string's last byte: context, then a one and the bits so far."""
+    symbol = keys & 255
+    return (keys - symbol) | (1 << k) | (symbol >> (8 - k))
+
+
+def local_levels(keys: np.ndarray, times: np.ndarray) -> list[Level]:
+    """Levels BASE to DEPTH of the contexts of one bucket; strings come in order."""
+    found = []
+    for k in range(8):
+        nodes, bit = nodes_of(keys, k), keys >> (7 - k) & 1
+        first = np.flatnonzero(np.diff(nodes, prepend=-1))
+        found.append((nodes[first], np.add.reduceat(times * (1 - bit), first), np.add.reduceat(times * bit, first)))
+    nodes, zeros, ones = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.argsort(nodes)
+    nodes, zeros, ones = nodes[order], zeros[order].astype(float), ones[order].astype(float)
+    levels = [Level(nodes, zeros, ones, log_kt_of(zeros, ones), np.ones(len(nodes)))]
+    for depth in range(DEPTH - 1, BASE - 1, -1):
+        longer = levels[0]
+        up = longer.nodes & shorter(depth)
+        order = np.argsort(up, kind="stable")
+        first = np.flatnonzero(np.diff(up[order], prepend=-1))
+        zeros, ones, below = (np.add.reduceat(x[order], first) for x in (longer.zeros, longer.ones, longer.mixed))
+        own = log_kt_of(zeros, ones)
+        levels.insert(0, Level(up[order][first], zeros, ones, np.logaddexp(own, below) - math.log(2),
+                               1 / (1 + np.exp(np.minimum(below - own, 700.0)))))
+    return levels
+
+
+NODES = "node long, zeros double, ones double, mixed double, weight double"
+
+
+def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of depth BASE of each bucket of strings."""
+    for batch in batches:
+        for keys, times in zip(batch["keys"].to_pylist(), batch["times"].to_pylist()):
+            top = local_levels(unpacked(keys), unpacked(times))[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (top.nodes, top.zeros, top.ones, top.mixed, top.weight)],
+                ["node", "zeros", "ones", "mixed", "weight"])
+
+
+def string_logs(key: tuple, strings: pa.Table, paths: pa.Table) -> pa.Table:
+    """Log-probability of the last byte of each string of a bucket, from what is above depth BASE."""
+    out = []
+    for keys, times in zip(strings["keys"].to_pylist(), strings["times"].to_pylist()):
+        keys = unpacked(keys)
+        levels = local_levels(keys, unpacked(times))
+        paths = paths.sort_by("node")
+        above, p, rest = (paths[c].to_numpy() for c in ("node", "p", "rest"))
+        for depth, level in enumerate(levels, BASE):
+            at = np.searchsorted(above, level.nodes & shorter(max(depth - 1, BASE)))
+            if depth == BASE:
+                above, p, rest = level.nodes, p[at], rest[at]
+            else:
+                share = rest[at] * level.weight
+                above, p, rest = level.nodes, p[at] + share * level.estimate, rest[at] - share
+        logs = np.zeros(len(keys))
+        for k in range(8):
+            one = p[np.searchsorted(above, nodes_of(keys, k))]
+            logs += np.log(np.where(keys >> (7 - k) & 1 == 1, one, 1 - one))
+        out.append(logs.astype(np.float32).tobytes())
+    return pa.table({"bucket": strings["bucket"], "keys": strings["keys"], "values": pa.array(out, pa.binary())})
+
+
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [unpacked(t).tobytes() for t in batch["times"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["bucket"], batch["keys"], pa.array(counts, pa.binary())],
+                                         ["bucket", "keys", "values"])
+
+
+def answered(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Each list of a bucket with the values of its keys."""
+    row = known.slice(0, 1).to_pylist()[0] if known.num_rows and asked.num_rows else None
+    values = []
+    if row:
+        keys = unpacked(row["keys"])
+        value = np.frombuffer(row["values"], np.int64 if keys[0] < 0 else np.float32)
+        values = [value[np.searchsorted(keys, unpacked(k))].tobytes() for k in asked["keys"].to_pylist()]
+    return pa.table({"slice": asked["slice"], "keys": asked["keys"], "values": pa.array(values, pa.binary())})
+
+
+def shared_contexts(base: DataFrame) -> DataFrame:
+    """(node, p, rest) of every node of depth BASE: what it and the shorter contexts give to a one, and
+    the share that is left for longer ones."""
+    zeros, ones = F.col("zeros"), F.col("ones")
+    gap, short = F.col("below") - F.col("own"), lambda depth: F.col("node").bitwiseAND(F.lit(shorter(depth)))
+    weight = 1 / (1 + F.exp(F.least(gap, F.lit(700.0))))
+    levels = [base]
+    for depth in range(BASE - 1, -1, -1):
+        up = levels[0].groupBy(short(depth).alias("node")).agg(
+            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("below"))
+        mixed = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(gap))) - math.log(2)
+        levels.insert(0, stored(up.withColumn("own", log_kt(zeros, ones)).select(
+            "node", "zeros", "ones", mixed.alias("mixed"), weight.alias("weight")), "level"))
     estimate = (ones + 0.5) / (zeros + ones + 1)
     path = levels[0].select("node", (F.col("weight") * estimate).alias("p"), (1 - F.col("weight")).alias("rest"))
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, BASE + 1):
         above = path.select(F.col("node").alias("up"), F.col("p").alias("p_up"), F.col("rest").alias("rest_up"))
         if depth <= 2:  # 255 and 255 * 256 nodes at most, whatever the corpus
             above = F.broadcast(above)
         share = F.col("rest_up") * F.col("weight")
-        path = levels[depth].join(above, shorter(depth - 1) == F.col("up")).select(
+        path = levels[depth].join(above, short(depth - 1) == F.col("up")).select(
             "node", (F.col("p_up") + share * estimate).alias("p"), (F.col("rest_up") - share).alias("rest"))
-    return path.select("node", "p")
-
-
-def code_lengths(strings: DataFrame) -> DataFrame:
-    """(key, value): natural logarithm of the probability of each string's last byte behind the others."""
-    chosen = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return (decisions(strings).join(weighted_tree(strings), "node")
-            .groupBy("key").agg(F.sum(F.ln(chosen)).alias("value")))
+    return path
 
 
 # ---------------------------------------------------------------- operator
@@ -297,16 +446,34 @@ def language_model_scores(
                        F.coalesce(trains, F.lit(False)).alias("trains"))
     schema = rows.withColumn("slice", F.lit(0).cast("long")).schema
     sliced = stored(rows.mapInArrow(cut_slices(slice_bytes), schema), "slices")
-    asked = stored(sliced.select("slice", "trains", "text").mapInArrow(asked_keys, "slice long, key long, n long"), "asked")
-    totals = stored(asked.groupBy("key").agg(F.sum("n").alias("n")), "totals")
-    texts = sliced.agg(F.count_if("trains")).first()[0]
-    words = totals.where("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
-    tokens, kinds = words["n"] + texts, words["kinds"] + (texts > 0)
-    values = code_lengths(totals.where("key >= 0")).unionByName(
-        totals.where("key < 0").select("key", F.col("n").cast("double").alias("value")))
-    given = asked.select("slice", "key").join(values, "key")
-
-    from pyspark.sql.pandas.types import to_arrow_schema
+    size = sliced.agg(F.count_if("trains").alias("texts"), F.count_distinct("slice").alias("slices")).first()
+    buckets, bands = 8 * math.ceil(math.sqrt(size["slices"] or 1)), -(-(size["slices"] or 1) // BAND)
+    row = T.StructType().add("slice", "long").add("bucket", "integer").add("keys", "binary").add("times", "binary")
+    asked = stored(sliced.select("slice", "trains", "text").mapInArrow(
+        asker(buckets, to_arrow_schema(row)), row), "asked")
+
+    # Lists of a bucket are united BAND at a time, then over all of them.
+    banded = asked.withColumn("band", F.pmod(F.xxhash64("slice"), F.lit(bands)).cast("int"))
+    one = "bucket int, keys binary, times binary, n long, kinds long"
+    parts = banded.select("bucket", "band", "keys", "times").groupBy("bucket", "band").applyInArrow(united, one)
+    lists = stored(parts.groupBy("bucket").applyInArrow(united, one) if bands > 1 else parts, "lists")
+    is_word = F.col("bucket") >= buckets
+    words = lists.where(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+                                     F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
+    texts, tokens, kinds = size["texts"], words["n"] + size["texts"], words["kinds"] + (size["texts"] > 0)
+
+    strings = lists.where(~is_word)
+    base = stored(strings.select("keys", "times").mapInArrow(grown, NODES), "base")
+    recent = F.shiftright("node", 8) * F.lit(SPREAD)
+    paths = shared_contexts(base).withColumn("bucket", F.pmod(F.shiftright(recent, 12), F.lit(buckets)).cast("int"))
+    answer = "bucket int, keys binary, values binary"
+    values = stored(
+        strings.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(string_logs, answer).unionByName(
+            lists.where(is_word).select("bucket", "keys", "times").mapInArrow(word_counts, answer)), "values")
+    each_band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
+    given = banded.select("bucket", "band", "slice", "keys").groupBy("bucket", "band").cogroup(
+        values.select("*", each_band).groupBy("bucket", "band")).applyInArrow(
+        answered, "slice long, keys binary, values binary")
 
     ddl = SCORES.format(rows.schema["doc_id"].dataType.simpleString())
     schema = rows.sparkSession.createDataFrame([], ddl).schema
