@@ -30,11 +30,13 @@ from riskloom.llm.jaccard import IS_SPACE, mix, rolling_hashes
 from riskloom.sources.tables import stored
 
 #: Bytes of context, and bytes of text that share one list of asked strings.
-DEPTH, SLICE = 6, 32 << 20
+DEPTH, SLICE = 5, 32 << 20
 #: Bytes of context up to which the tree is one of joins; behind it buckets of contexts are arrays.
 BASE = 3
 #: Slices whose lists of a bucket one task unites.
 BAND = 64
+#: Keys that a task holds before it unites them.
+HELD = 2 << 20
 #: Bytes that are arrays at once; a longer text is cut at white space.
 PART = 1 << 20
 #: The symbol behind the last byte of a text; UTF-8 has no such byte.
@@ -209,6 +211,8 @@ def asker(count: int, schema: pa.Schema):
                         found.append(counted(keys[use]))
                         rest, _ = counted(keys[~use])
                         found.append((rest, np.zeros(len(rest), np.int64)))
+                    if sum(len(f[0]) for f in found[1:]) > HELD:
+                        found = [merged(found)]
         if found:
             yield told(number, found)
 
