@@ -15,7 +15,7 @@ numbers above. Every slice gets the code lengths of its own strings alone.
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskloom.llm.jaccard import IS_SPACE, mix, rolling_hashes
-from riskloom.sources.tables import stored
+from riskloom.sources.tables import scratch_path, stored
 
 #: Bytes of context, and bytes of text that share one list of asked strings.
 DEPTH, SLICE = 5, 32 << 20
@@ -81,7 +81,7 @@ class Stream:
         return np.concatenate([[0], np.cumsum(self.sizes + DEPTH)[:-1]])
 
 
-def parts(texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+def parts(texts: Iterable[bytes]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """(row, context, text, end symbol or nothing) of whole texts, or of parts of long ones."""
     for row, text in enumerate(texts):
         low, high = 0, 0
@@ -95,7 +95,7 @@ def parts(texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
             low = high
 
 
-def streams(texts: list[bytes]) -> Iterator[Stream]:
+def streams(texts: Iterable[bytes]) -> Iterator[Stream]:
     held, size = [], 0
     for part in parts(texts):
         if held and size + len(part[2]) > PART:
@@ -120,9 +120,11 @@ def stream(held: list[tuple]) -> Stream:
     return Stream(np.array([part[0] for part in held]), data, body, coded, sizes)
 
 
-def encoded(column: pa.Array) -> list[bytes]:
-    """UTF-8 texts with A-Z in lower case."""
-    return [t.lower() for t in column.cast(pa.large_binary()).to_pylist()]  # of bytes: ASCII alone
+def encoded(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
+    """UTF-8 texts with A-Z in lower case, made a few at a time."""
+    for low in range(0, len(column), 100):
+        for text in column.slice(low, 100).cast(pa.binary()).to_pylist():
+            yield text.lower()  # of bytes: ASCII alone
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,9 +249,8 @@ def scorer(end_count: int, tokens: int, kinds: int, schema: pa.Schema):
             keys, value = (np.concatenate([x[i] for x in own]) if own else np.zeros(0, kind) for i in (0, 1))
             order = np.argsort(keys)
             tables.append((keys[order], value[order].astype(np.float64)))
-        texts = encoded(rows["text"].combine_chunks()) if rows.num_rows else []
-        known, words_, base_, score_ = (np.zeros(len(texts)) for _ in range(4))
-        for s in streams(texts):
+        known, words_, base_, score_ = (np.zeros(rows.num_rows) for _ in range(4))
+        for s in streams(encoded(rows["text"])):
             strings, (words, at) = s.strings(), s.words()
             order = np.argsort(strings)
             logs = tables[1][1][np.searchsorted(tables[1][0], strings[order])]
@@ -260,10 +261,12 @@ def scorer(end_count: int, tokens: int, kinds: int, schema: pa.Schema):
             np.add.at(words_, s.rows, np.bincount(at, minlength=n))
             np.add.at(known, s.rows, np.bincount(at, count > 0, minlength=n))
             np.add.at(base_, s.rows, np.bincount(at, base(count), minlength=n))
-        ends = np.full(len(texts), float(end_count))
+        ends = np.full(rows.num_rows, float(end_count))
+        sizes = pa.compute.binary_length(rows["text"].cast(pa.binary()))
+        pa.default_memory_pool().release_unused()
         return pa.table({
             "doc_id": rows["doc_id"], "held_out": pa.compute.invert(rows["trains"]),
-            "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+            "n_bytes": sizes,
             "n_tokens": (words_ + 1).astype(np.int64), "n_known": (known + (ends > 0)).astype(np.int64),
             "base_score": base_ + base(ends), "score": score_ / math.log(10)}).cast(schema)
 
@@ -449,7 +452,9 @@ def language_model_scores(
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                        F.coalesce(trains, F.lit(False)).alias("trains"))
     schema = rows.withColumn("slice", F.lit(0).cast("long")).schema
-    sliced = stored(rows.mapInArrow(cut_slices(slice_bytes), schema), "slices")
+    path = scratch_path(docs.sparkSession, "slices")
+    rows.mapInArrow(cut_slices(slice_bytes), schema).write.option("compression", "zstd").parquet(path)
+    sliced = docs.sparkSession.read.schema(schema).parquet(path)
     size = sliced.agg(F.count_if("trains").alias("texts"), F.count_distinct("slice").alias("slices")).first()
     buckets, bands = 8 * math.ceil(math.sqrt(size["slices"] or 1)), -(-(size["slices"] or 1) // BAND)
     row = T.StructType().add("slice", "long").add("bucket", "integer").add("keys", "binary").add("times", "binary")
