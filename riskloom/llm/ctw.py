@@ -13,6 +13,7 @@ level: in arrays within a bucket, where all longer contexts of a context are, an
 numbers above. Every slice gets the code lengths of its own strings alone.
 """
 
+import ctypes
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -127,6 +128,14 @@ def encoded(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
             yield text.lower()  # of bytes: ASCII alone
 
 
+def release() -> None:
+    """Give freed memory back, which workers otherwise keep between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
@@ -217,6 +226,7 @@ def asker(count: int, schema: pa.Schema):
                         found = [merged(found)]
         if found:
             yield told(number, found)
+        release()
 
     return asked_keys
 
@@ -263,7 +273,7 @@ def scorer(end_count: int, tokens: int, kinds: int, schema: pa.Schema):
             np.add.at(base_, s.rows, np.bincount(at, base(count), minlength=n))
         ends = np.full(rows.num_rows, float(end_count))
         sizes = pa.compute.binary_length(rows["text"].cast(pa.binary()))
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.table({
             "doc_id": rows["doc_id"], "held_out": pa.compute.invert(rows["trains"]),
             "n_bytes": sizes,
