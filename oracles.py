@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import oracles_search
 from riskloom.functions import columns
 from riskloom.operators import hypothesis
 
@@ -1107,3 +1108,35 @@ add(
         f"({logit_rows('logit', '(SELECT id, word_density AS x FROM parts)')}) e JOIN parts ON parts.id = e.id",
         "in_test"),
 )
+
+
+# Model selection over the linear families, on the stratified split and on the systematic one.
+SELECTION = f"WITH {QUALITY_PARTS}, " + oracles_search.search(
+    "SELECT * FROM parts WHERE in_test = 0", "SELECT * FROM parts WHERE in_test = 1", QUALITY, normal_cdf)
+POSITIONS = (
+    QUALITY_FRAME + ", spots AS MATERIALIZED (SELECT yd, k_chars, word_density, digit_share, toxic, "
+    "row_number() OVER (ORDER BY yd, k_chars, id) - 1 AS id FROM quality), cut AS ("
+    + ORACLES["c8_stratified_split"].split(ORDERS_FRAME, 1)[1].replace("orders_f", "spots")
+    + "), parts AS MATERIALIZED (SELECT spots.*, in_test FROM spots JOIN cut ON cut.id = spots.id)"
+)
+
+
+def split_winner(name: str, train: str, test: str) -> str:
+    source = "SELECT * FROM parts WHERE "
+    return (f"(WITH {POSITIONS}, {oracles_search.search(source + train, source + test, QUALITY, normal_cdf)} "
+            + oracles_search.best_of(name, concordance_rows) + ")")
+
+
+SPLITS = (f"SELECT * FROM {split_winner('deterministic', 'id % 2 = 1', 'id % 2 = 0')} UNION ALL "
+          f"SELECT * FROM {split_winner('random', 'in_test = 0', 'in_test = 1')}")
+
+add(
+    i13_grid_search=f"{SELECTION} {oracles_search.GRID}",
+    i15_cross_validated_auc=f"{SELECTION} SELECT model, fold, round(auc, 6) + 0.0 AS auc FROM ("
+    + oracles_search.areas("SELECT model, fold, yd, score FROM chosen WHERE sample = 'cv'", "model, fold", concordance_rows)
+    + ")",
+    i17_leaderboard=f"{SELECTION} {oracles_search.board(concordance_rows)}",
+    i18_split_comparison=SPLITS,
+    study_comparison=SPLITS,  # no feature of the frame has a gap to fill
+    i19_model_rocs=f"{SELECTION} {oracles_search.rocs(concordance_rows)}",
+)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -152,3 +153,8 @@ def chi2_p(x, df) -> Column:
 
 def normal_upper_p(z) -> Column:
     return by_row(normal_upper, z)
+
+
+def normal_cdf_array(x: np.ndarray) -> np.ndarray:
+    """Distribution function of the standard normal, also far out in the lower tail."""
+    return 0.5 * np.fromiter((math.erfc(v) for v in -np.asarray(x, float) / math.sqrt(2)), float, len(x))

@@ -738,17 +738,43 @@ def i12_boosting(spark, d):
 
 #: Folds of the model comparison.
 FOLDS = 5
+SEARCHES: dict[tuple, selection.Search] = {}
+
+
+def quality_search(spark: SparkSession, d: str, trees: bool = False) -> selection.Search:
+    """The search over whole grids on the quality frame; queries of one session read one search."""
+    key = (spark.sparkContext.applicationId, d, trees)
+    if key not in SEARCHES:
+        grids = selection.TREE_GRIDS if trees else selection.LINEAR_GRIDS
+        train, test = quality_split(spark, d)
+        SEARCHES[key] = selection.search_models(train, test, QUALITY_FEATURES, k=FOLDS, grids=grids)
+    return SEARCHES[key]
+
+
+def settings_text(params: dict[str, str]) -> str:
+    return ",".join(f"{k}={v}" for k, v in params.items())
+
+
+def grid_table(spark: SparkSession, search: selection.Search) -> DataFrame:
+    rows = [(model, settings_text(params), accuracy, best) for model, params, accuracy, best in search.grid]
+    return tidy(spark.createDataFrame(rows, "model string, settings string, accuracy double, best boolean"))
+
+
+def leaderboard_table(search: selection.Search) -> DataFrame:
+    text = F.array_join(F.transform(F.map_entries("best_params"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return tidy(selection.leaderboard(search).withColumn("best_params", text))
 
 
 @query
 def i13_grid_search(spark, d):
-    """Best settings of all six families."""
-    train, _ = quality_split(spark, d)
-    folded = tables.stored(sampling.stratified_folds(train, FOLDS))
-    tuned = [selection.tune(n, folded, QUALITY_FEATURES, k=FOLDS) for n in classifiers.GRIDS]
-    return spark.createDataFrame(
-        [(t.name, t.params) for t in tuned], "model string, best_params map<string,string>"
-    )
+    """Every setting of the linear families with its accuracy over the folds."""
+    return grid_table(spark, quality_search(spark, d))
+
+
+@query
+def i13_tree_grid_search(spark, d):
+    """Every setting of forests and boosting with its accuracy over the folds."""
+    return grid_table(spark, quality_search(spark, d, True))
 
 
 @query
@@ -756,9 +782,19 @@ def i14_i15_out_of_fold_auc(spark, d):
     """Linear probability scores of unseen folds, AUC per fold."""
     train, _ = quality_split(spark, d)
     folded = tables.stored(sampling.stratified_folds(train.select("id", "yd", "word_density"), 3))
-    grids = {"ols": classifiers.GRIDS["ols"]}
-    tuned = selection.tune("ols", folded, ["word_density"], k=3, grids=grids)
-    return tidy(evaluate.auc(selection.out_of_fold(tuned, folded), "score", "yd", ["fold"]))
+    search = selection.linear_search(folded, None, ["word_density"], k=3, grids={"ols": classifiers.GRIDS["ols"]})
+    return tidy(selection.fold_aucs(search).select("fold", "auc"))
+
+
+@query
+def i15_cross_validated_auc(spark, d):
+    """AUC of the unseen rows of five folds, for every linear family at its best setting."""
+    return tidy(selection.fold_aucs(quality_search(spark, d)))
+
+
+@query
+def i15_tree_cross_validated_auc(spark, d):
+    return tidy(selection.fold_aucs(quality_search(spark, d, True)))
 
 
 @query
@@ -769,24 +805,39 @@ def i16_train_test_auc(spark, d):
 
 @query
 def i17_leaderboard(spark, d):
-    train, test = quality_split(spark, d)
-    return selection.compare_models(train, test, QUALITY_FEATURES, k=FOLDS)[0]
+    return leaderboard_table(quality_search(spark, d))
 
 
 @query
-def i18_split_comparison(spark, d):
-    df = sampling.systematic_split(
+def i17_tree_leaderboard(spark, d):
+    return leaderboard_table(quality_search(spark, d, True))
+
+
+def both_splits(spark: SparkSession, d: str, grids: dict) -> DataFrame:
+    df = tables.stored(sampling.systematic_split(
         quality_frame(spark, d).withColumnRenamed("id", "row_key"), ["yd", "k_chars"], "row_key"
-    )
-    return selection.compare_splits(df, QUALITY_FEATURES, k=FOLDS)
+    ))
+    return tidy(selection.compare_splits(df, QUALITY_FEATURES, k=FOLDS, grids=grids))
+
+
+@query
+def i18_split_comparison(spark, d):
+    return both_splits(spark, d, selection.LINEAR_GRIDS)
+
+
+@query
+def i18_tree_split_comparison(spark, d):
+    return both_splits(spark, d, selection.TREE_GRIDS)
 
 
 @query
 def i19_model_rocs(spark, d):
-    train, test = quality_split(spark, d)
-    folded = tables.stored(sampling.stratified_folds(train, FOLDS))
-    tuned = [selection.tune(n, folded, QUALITY_FEATURES, k=FOLDS) for n in classifiers.GRIDS]
-    return selection.model_rocs(tuned, test)
+    return tidy(selection.model_rocs(quality_search(spark, d)))
+
+
+@query
+def i19_tree_rocs(spark, d):
+    return tidy(selection.model_rocs(quality_search(spark, d, True)))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -879,8 +930,11 @@ def study_holdout(spark, d):
 
 @query
 def study_comparison(spark, d):
-    """Whole second study on document quality: split, impute, six families under both splits."""
+    """Whole second study on document quality: split, impute, the linear families under both splits.
+
+    The tree families of both splits are `i18_tree_split_comparison`.
+    """
     df = quality_frame(spark, d).withColumnRenamed("id", "row_key")
-    return study.comparison_study(
-        tables.stored(df), QUALITY_FEATURES, ["yd", "k_chars"], "row_key", k=FOLDS
-    )
+    return tidy(study.comparison_study(
+        tables.stored(df), QUALITY_FEATURES, ["yd", "k_chars"], "row_key", k=FOLDS, grids=selection.LINEAR_GRIDS
+    ))
