@@ -1,24 +1,14 @@
-"""Standardising and nearest-neighbour filling of missing cells.
-
-The neighbour search is exact and never forms all pairs of rows. Rows with equal observed values
-are searched once; donors that look equal to a searched row keep only the k lowest keys. A first
-look into a row's own cell, from fine to coarse, bounds the distance to its k-th neighbour; the
-second look visits only the at most nine cells which that distance can reach.
-"""
+"""Standardising and nearest-neighbour filling of missing cells; the search is in `neighbours`."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import finite_or_null, is_finite, total
-from riskloom.operators.ordering import range_bounds
-
-DIGITS = 9  # squared distances closer than this count as equal, then the lower key wins
+from riskloom.functions.columns import all_of, finite_or_null, is_finite
+from riskloom.operators.neighbours import means_of_nearest, pattern_of
 
 
 @dataclass(frozen=True)
@@ -52,37 +42,6 @@ def standardize(df: DataFrame, features: list[str], fit_on: DataFrame | None = N
     return fit_scaler(fit_on if fit_on is not None else df, features).transform(df)
 
 
-def present_mask(features: list[str]) -> Column:
-    if len(features) > 62:
-        raise ValueError("at most 62 features")
-    mask = F.lit(0).cast("bigint")
-    for i, c in enumerate(features):
-        mask = mask + F.when(is_finite(c), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return mask
-
-
-def has(mask: Column, i: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
-
-
-def first_present(mask: Column, columns: list[str], skip: int) -> Column:
-    """The first (skip = 0) or second (skip = 1) column whose bit is set, else 0."""
-    seen, value = F.lit(0), F.lit(0)
-    branch = None
-    for i, c in enumerate(columns):
-        hit = has(mask, i) & (seen == skip)
-        branch = F.when(hit, F.col(c)) if branch is None else branch.when(hit, F.col(c))
-        seen = seen + F.when(has(mask, i), 1).otherwise(0)
-    return branch.otherwise(value)
-
-
-def value_cells(df: DataFrame, names: list[str], sources: list[str], bounds: list[list[float]]) -> DataFrame:
-    """Quantile cell of each value; NULL falls into a cell that is never looked at."""
-    return Bucketizer(
-        splitsArray=bounds, inputCols=sources, outputCols=names, handleInvalid="keep"
-    ).transform(df).withColumns({n: F.col(n).cast("int") for n in names})
-
-
 def knn_impute(
     df: DataFrame, features: list[str], k: int = 3, key: str = "id", scale: bool = True,
     fit_on: DataFrame | None = None,
@@ -92,175 +51,26 @@ def knn_impute(
     Distance: root of (features / features present in both) times the sum of squared differences
     on scaled values. Donors must have the wanted cell. Ties go to the lower key; without any
     comparable donor the column mean is used. `fit_on` restricts scaling and donors to a sample.
+    Any number of features.
     """
-    p, names = len(features), list(range(len(features)))
-    source = fit_on if fit_on is not None else df
-    scaler = fit_scaler(source, features)
-    unit = Scaler({c: 0.0 for c in features}, {c: 1.0 for c in features})
-    live = [c for c in features if scaler.mean[c] is not None]
-    scaler_used = scaler if scale else unit
-    z = [f"_z{i}" for i in names]
-    z_columns = {
-        z[i]: scaler_used.scale(c) if c in live else F.lit(None).cast("double")
-        for i, c in enumerate(features)
-    }
-    marked = df.withColumn("_s", present_mask(features)).withColumns(z_columns)
-    full = (1 << p) - 1
-    # At most 2 ** p patterns of missing cells.
-    pool_counts = pattern_counts(source, features)
-    masks = list(pool_counts if fit_on is None else pattern_counts(df, features))
-    masks = [m for m in masks if m != full]
-    if not masks:
+    width, source = len(features), fit_on if fit_on is not None else df
+    gap = ~all_of([is_finite(c) for c in features])
+    if df.where(gap).isEmpty():
         return df
-    patterns = [m for m in pool_counts if m != 0]
-    pool = source.select(
-        F.col(key).alias("_donor"), present_mask(features).alias("_p"),
-        *[e.alias(n) for n, e in z_columns.items()],
-        *[finite_or_null(c).alias(f"_x{i}") for i, c in enumerate(features)],
-    )
-    levels, bounds = cell_levels(pool, z, sum(pool_counts.values()))
-    top = levels[-1]
-
-    # Searched points: distinct patterns and observed values.
-    points = (
-        marked.where(F.col("_s") != full)
-        .select("_s", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in z])
-        .distinct()
-    )
-    # Donors as each pattern sees them: at most k rows per distinct visible point.
-    seen_by = F.explode(F.filter(
-        F.array(*[F.lit(m) for m in masks]),
-        lambda m: (F.col("_p").bitwiseAND(m) != 0) & (F.col("_p").bitwiseAND(F.bitwise_not(m)) != 0),
-    ))
-    visible = pool.withColumn("_s", seen_by).withColumn("_common", F.col("_s").bitwiseAND(F.col("_p")))
-    visible = visible.withColumns(
-        {c: F.when(has(F.col("_common"), i), F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0))
-         for i, c in enumerate(z)}
-    )
-    lowest = Window.partitionBy("_s", "_p", *z).orderBy("_donor")
-    visible = visible.withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= k)
-    cells = [f"_b{i}" for i in names]
-    visible = value_cells(visible, cells, z, bounds).withColumns(
-        {"_ca": first_present(F.col("_common"), cells, 0), "_cb": first_present(F.col("_common"), cells, 1)}
-    ).drop(*cells, "_n")
-    donors = visible.select(
-        "*", F.explode(F.array(*[F.lit(s) for s in levels])).alias("_level")
-    ).withColumns({c: shifted(c) for c in ("_ca", "_cb")})
-    place = ["_s", "_p", "_level", "_ca", "_cb"]
-    donor_z = [F.col(c).alias(f"_d{i}") for i, c in enumerate(z)]
-
-    each_pattern = F.explode(F.filter(
-        F.array(*[F.lit(m) for m in patterns]),
-        lambda m: (F.col("_s").bitwiseAND(m) != 0) & (m.bitwiseAND(F.bitwise_not(F.col("_s"))) != 0),
-    ))
-    looking = points.withColumn("_p", each_pattern).withColumn(
-        "_common", F.col("_s").bitwiseAND(F.col("_p"))
-    )
-    square = total([
-        F.when(has(F.col("_common"), i), (F.col(c) - F.col(f"_d{i}")) ** 2).otherwise(F.lit(0.0))
-        for i, c in enumerate(z)
-    ])
-    stretch = F.lit(float(p)) / F.bit_count("_common")
-    distance = F.round(square * stretch, DIGITS)
-    wanted = F.explode(F.filter(
-        F.array(*[F.lit(i) for i in names]),
-        lambda i: bit_at(F.col("_p"), i) & ~bit_at(F.col("_s"), i),
-    )).alias("_j")
-
-    # First look: k donors of the own cell at every level bound the distance.
-    few = Window.partitionBy(*place).orderBy("_donor")
-    samples = donors.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k).select(
-        *place, "_donor", *donor_z
-    )
-    own = value_cells(looking, cells, z, bounds).withColumns(
-        {"_ca": first_present(F.col("_common"), cells, 0), "_cb": first_present(F.col("_common"), cells, 1)}
-    ).drop(*cells).select("*", F.explode(F.array(*[F.lit(s) for s in levels])).alias("_level"))
-    own = own.withColumns({c: shifted(c) for c in ("_ca", "_cb")})
-    # The list holds at most k donors per pattern. Both looks ask for a merge join: size estimates do
-    # not see that each row is repeated per level and cell, and AQE can divide a crowded cell.
-    found = (
-        own.join(samples.hint("merge"), place)
-        .withColumn("_d2", distance)
-        .select("_s", *z, "_level", "_d2", wanted)
-        .groupBy("_s", *z, "_j", "_level")
-        .agg(F.sort_array(F.collect_list("_d2")).alias("_near"))
-        .groupBy("_s", *z, "_j")
-        .agg(F.min(F.get("_near", F.lit(k - 1))).alias("_limit"))
-    )
-
-    # Second look: every cell within that distance.
-    reach = F.sqrt((F.col("_limit") + 10.0 ** -DIGITS) / stretch) * (1 + 1e-9) + 1e-9
-    far = found.withColumn("_p", each_pattern).where(bit_at(F.col("_p"), F.col("_j"))).withColumn(
-        "_common", F.col("_s").bitwiseAND(F.col("_p"))
-    ).withColumn("_reach", F.coalesce(reach, F.lit(1e300)))
-    low, high = [f"_lo{i}" for i in names], [f"_hi{i}" for i in names]
-    edges = far.withColumns(
-        {**{f"_v{n}": F.col(c) - F.col("_reach") for n, c in zip(low, z)},
-         **{f"_v{n}": F.col(c) + F.col("_reach") for n, c in zip(high, z)}}
-    )
-    edges = value_cells(edges, low + high, [f"_v{n}" for n in low + high], bounds + bounds).withColumns(
-        {"_a0": first_present(F.col("_common"), low, 0), "_a1": first_present(F.col("_common"), high, 0),
-         "_b0": first_present(F.col("_common"), low, 1), "_b1": first_present(F.col("_common"), high, 1)}
-    )
-    level = F.lit(top)
-    for s in reversed(levels):
-        narrow = (F.shiftright("_a1", s) - F.shiftright("_a0", s) <= 2) & (
-            F.shiftright("_b1", s) - F.shiftright("_b0", s) <= 2
-        )
-        level = F.when(narrow, F.lit(s)).otherwise(level)
-    span = lambda a, b: F.sequence(shifted(a), shifted(b))
-    visits = (
-        edges.withColumn("_level", level)
-        .withColumn("_ca", F.explode(span("_a0", "_a1")))
-        .withColumn("_cb", F.explode(span("_b0", "_b1")))
-        .select("_s", *z, "_j", "_limit", "_common", *place[1:])
-    )
-    nearest = Window.partitionBy("_s", *z, "_j").orderBy("_d2", "_donor")
-    value = F.element_at(F.array(*[f"_x{i}" for i in names]), F.col("_j") + 1)
-    answers = (
-        visits.join(
-            donors.select(*place, "_donor", *donor_z, *[f"_x{i}" for i in names]).hint("merge"), place
-        )
-        .withColumn("_d2", distance)
-        .where(F.col("_limit").isNull() | (F.col("_d2") <= F.col("_limit")))
-        .withColumn("_value", value)
-        .withColumn("_n", F.row_number().over(nearest))
-        .where(F.col("_n") <= k)
-        .groupBy("_s", *z)
-        .agg(*[F.avg(F.when(F.col("_j") == i, F.col("_value"))).alias(f"_new{i}") for i in names])
-    )
-    gaps = marked.where(F.col("_s") != full).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in z})
-    filled = gaps.join(answers, ["_s", *z], "left").withColumns(
-        {
-            c: F.coalesce(finite_or_null(c), F.col(f"_new{i}"), F.lit(scaler.mean[c]))
-            for i, c in enumerate(features)
-        }
-    )
-    whole = df.where(present_mask(features) == full).withColumns(
-        {c: F.col(c).cast("double") for c in features}
-    )
+    scaler = fit_scaler(source, features)
+    used = scaler if scale else Scaler({c: 0.0 for c in features}, {c: 1.0 for c in features})
+    # A column without any value has no scale, and nothing to give.
+    z = F.array(*[
+        (used.scale(c) if scaler.mean[c] is not None else F.lit(None)).cast("double") for c in features])
+    x = F.array(*[finite_or_null(c) for c in features])
+    donors = source.select(F.col(key).alias("donor"), z.alias("z"), x.alias("x"))
+    means = means_of_nearest(
+        donors.where(F.exists("z", lambda v: v.isNotNull())), df.where(gap).select(z.alias("z")), k, width)
+    known = lambda c: F.transform(c, lambda v: F.coalesce(v, F.lit(0.0)))
+    answers = means.select(F.col("pattern").alias("_s"), known("z").alias("_z"), F.col("means").alias("_means"))
+    rows = df.where(gap).withColumn("_z", z).withColumn("_s", pattern_of(F.col("_z"), width))
+    filled = rows.withColumn("_z", known("_z")).join(answers, ["_s", "_z"], "left").withColumns({
+        c: F.coalesce(finite_or_null(c), F.try_element_at("_means", F.lit(i)), F.lit(scaler.mean[c]).cast("double"))
+        for i, c in enumerate(features)})
+    whole = df.where(~gap).withColumns({c: F.col(c).cast("double") for c in features})
     return whole.select(*df.columns).unionByName(filled.select(*df.columns))
-
-
-def bit_at(mask: Column, i: Column) -> Column:
-    return F.getbit(mask.cast("bigint"), i) == 1
-
-
-def shifted(c: str) -> Column:
-    """Cell number at the row's level: every level joins 2 ** level fine cells."""
-    return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("int")
-
-
-def pattern_counts(df: DataFrame, features: list[str]) -> dict[int, int]:
-    counts = df.groupBy(present_mask(features).alias("_p")).count().collect()
-    return {r["_p"]: r["count"] for r in counts}
-
-
-def cell_levels(
-    pool: DataFrame, z: list[str], n: int, fill: int = 256
-) -> tuple[list[int], list[list[float]]]:
-    """Cell sizes (as powers of two) and quantile bounds of the finest cells per feature."""
-    depth = max(0, min(12, int(math.log2(max(n / fill, 1)))))
-    bounds = range_bounds(pool, z, 2**depth)
-    top = max(max(len(b) for b in bounds) - 1, 1).bit_length()
-    return sorted({*range(0, top, 2), top}), bounds

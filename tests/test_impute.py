@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import impute
+from riskloom.operators import impute, neighbours
 
 
 def brute(rows, k):
@@ -73,3 +73,38 @@ def test_nothing_missing_and_empty_column(spark, mini):
     assert impute.knn_impute(mini, ["a", "b"]).count() == 12
     blank = mini.withColumn("b", F.lit(None).cast("double"))
     assert impute.knn_impute(blank, ["a", "b"]).where("b is null").count() == 12
+
+
+@pytest.mark.parametrize("k, leaf, visits, boxes", [(3, 4, 2048, 50_000), (2, 16, 3, 5)])
+def test_small_boxes_and_split_visits(spark, monkeypatch, k, leaf, visits, boxes):
+    """Deep trees, boxes of several tasks and lists of boxes in blocks give the same donors."""
+    monkeypatch.setattr(neighbours, "VISITS", visits)
+    monkeypatch.setattr(neighbours, "BOXES", boxes)
+    monkeypatch.setattr(neighbours.means_of_nearest, "__defaults__", (leaf,))
+    monkeypatch.setattr(neighbours.math, "isqrt", lambda n: leaf)
+    check(spark, sample(300, 4, 0.15, 2), k)
+
+
+def test_fourteen_features_and_more_than_a_machine_word(spark):
+    check(spark, sample(400, 14, 0.1, 3), 3)
+    check(spark, sample(30, 70, 0.05, 10), 2)
+
+
+def test_tree_cells_are_prefixes_and_boxes_bound_their_donors():
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(500, 3))
+    tree = neighbours.medians(z, 4, {"111": 4, "011": 2})
+    fine, coarse = tree.cells(z, ["111"] * 500), tree.cells(z, ["011"] * 500)
+    assert np.array_equal(fine >> 2, coarse) and np.bincount(fine, minlength=16).min() > 15
+    low, high = (np.array([f(z[fine == c], 0) for c in range(16)]) for f in (np.min, np.max))
+    boxes = neighbours.Boxes(np.arange(16), np.bincount(fine), np.ones((16, 3), bool), low, high)
+    points = np.where(rng.random((20, 3)) < 0.3, np.nan, rng.normal(size=(20, 3)) * 2)
+    bound = boxes.distances(points)
+    for p, away in zip(points, bound):
+        seen = ~np.isnan(p)
+        for c in range(16):
+            if seen.any():
+                real = ((z[fine == c][:, seen] - p[seen]) ** 2).sum(1).min() * 3 / seen.sum()
+                assert away[c] <= real + 1e-12
+            else:
+                assert away[c] == np.inf
