@@ -896,12 +896,13 @@ add(
     j2_roc_curve=on(
         "events_f",
         f"SELECT {rs(['threshold', 'fpr', 'tpr'])} FROM c WHERE place = 1 OR place = points OR next_pos <> pos "
-        "OR next_neg <> neg",
+        "OR next_neg <> neg UNION ALL SELECT 'inf'::DOUBLE, 0, 0",
         roc_points("events_f", "k").replace("lead(pos) OVER w", "lead(pos) OVER (ORDER BY threshold DESC)")
         .replace("lead(neg) OVER w", "lead(neg) OVER (ORDER BY threshold DESC)"),
     ),
     j2_roc_curve_full=on(
-        "events_f", f"SELECT {rs(['threshold', 'fpr', 'tpr'])} FROM c", roc_points("events_f", "value")
+        "events_f", f"SELECT {rs(['threshold', 'fpr', 'tpr'])} FROM c UNION ALL SELECT 'inf'::DOUBLE, 0, 0",
+        roc_points("events_f", "value")
     ),
     j3_roc_area=on(
         "events_f",
@@ -1140,3 +1141,10 @@ add(
     study_comparison=SPLITS,  # no feature of the frame has a gap to fill
     i19_model_rocs=f"{SELECTION} {oracles_search.rocs(concordance_rows)}",
 )
+
+ORDER_FIT = ["price", "balance", "quantity", "discount"]
+add(**{
+    f"{n}_{link}_four_features": f"WITH {ORDERS_FRAME}, "
+    + oracles_search.binary_fit("orders_f", ORDER_FIT, link, normal_cdf, normal_p)
+    for n, link in (("h2", "logit"), ("h3", "probit"))
+})

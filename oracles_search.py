@@ -151,3 +151,45 @@ def rocs(concordance_rows) -> str:
 def best_of(name: str, concordance_rows) -> str:
     return (f"SELECT '{name}' AS split, model AS best_model, train_auc, test_auc FROM ({board(concordance_rows)}) "
             "ORDER BY test_auc DESC NULLS LAST, model LIMIT 1")
+
+
+def binary_fit(frame: str, features: list[str], link: str, normal_cdf, normal_p, digits: int = 4) -> str:
+    """Coefficients, standard errors by the observed information, tests and intervals of a logit or probit."""
+    size, name = len(features) + 1, link.capitalize()
+    eta = linear_predictor(size)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in features)
+    columns = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(features, 1))
+    if link == "logit":
+        rows = f"SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM zz, {{prior}}"
+        weight, pull, observed, count = "p * (1 - p)", "y - p", "p * (1 - p)", 9
+    else:
+        rows = (f"SELECT *, 0.5 + d * eta * ({normal_cdf('eta')}) AS p FROM (SELECT *, eta * eta AS x2, "
+                f"exp(-eta * eta / 2) / sqrt(2 * pi()) AS d FROM (SELECT *, {eta} AS eta FROM zz, {{prior}}))")
+        weight, pull, count = "d * d / (p * (1 - p))", "(y - p) * d / (p * (1 - p))", 9
+        own = "CASE WHEN y = 1 THEN d / p ELSE -d / (1 - p) END"
+        observed = f"({own}) * (({own}) + eta)"
+    entries = ", ".join(f"sum(({observed}) * {z(i)} * {z(j)}) AS a{i}{j}" for i in range(size) for j in range(i, size))
+    prior = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(size))
+    keep = ", ".join(["t", *[f"b{i}" for i in range(size)], *[f"m{i}" for i in range(1, size)], *[f"s{i}" for i in range(1, size)]])
+    # Terms on the columns as they are: row t of the change of coordinates is the right-hand side.
+    unit = ", ".join(
+        (f"CASE t WHEN 0 THEN {'1' if i == 0 else f'-m{i} / s{i}'} WHEN {i} THEN "
+         + ("1" if i == 0 else f"1 / s{i}") + f" ELSE 0 END::DOUBLE AS g{i}") for i in range(size))
+    combined = " + ".join(
+        f"(CASE t WHEN 0 THEN {'1' if i == 0 else f'-m{i} / s{i}'} WHEN {i} THEN "
+        + ("1" if i == 0 else f"1 / s{i}") + f" ELSE 0 END) * {{}}{i}" for i in range(size))
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(features, 1))
+    system = f"SELECT *, {unit} FROM info, mom, (SELECT CAST(i AS INTEGER) AS t FROM range(0, {size}) q(i))"
+    terms = "[" + ", ".join(f"'{c}'" for c in ["const", *features]) + "]"
+    far = "1.959963984540054"
+    out = ", ".join(f"round({e}, {digits}) + 0.0 AS {n}" for e, n in (
+        ("coef", "coef"), ("se", "std_err"), ("coef / se", "statistic"), (normal_p("coef / se"), "p_value"),
+        (f"coef - {far} * se", "ci_low"), (f"coef + {far} * se", "ci_high")))
+    return (
+        f"clean AS MATERIALIZED (SELECT id, CAST(yd AS DOUBLE) AS y, {', '.join(features)} FROM {frame} WHERE yd IS NOT NULL AND {known}), "
+        f"mom AS MATERIALIZED (SELECT {moments} FROM clean), "
+        f"zz AS MATERIALIZED (SELECT 0 AS f, y, {columns} FROM clean), one AS (SELECT 0 AS k), "
+        + steps("nw", size, "one", rows, weight, pull, count, "k")
+        + f", info AS MATERIALIZED (SELECT {prior}, {entries} FROM ({rows.replace('{prior}', 'nw')})) "
+        f"SELECT '{name}' AS model, {terms}[t + 1] AS term, {out} FROM (SELECT t, {combined.replace('{}', 'b')} AS coef, "
+        f"sqrt({combined.replace('{}', 'x')}) AS se FROM ({solve(system, size, keep)}))")

@@ -513,6 +513,17 @@ def h2_logit(spark, d):
     return tidy(regression.logit(quality_frame(spark, d), ["word_density"]).table(spark), 5)
 
 
+@query
+def h2_logit_four_features(spark, d):
+    """The whole coefficient table of a fit on four features."""
+    return tidy(regression.logit(tables.stored(orders_frame(spark, d)), ORDER_FEATURES[:4]).table(spark), 4)
+
+
+@query
+def h3_probit_four_features(spark, d):
+    return tidy(regression.probit(tables.stored(orders_frame(spark, d)), ORDER_FEATURES[:4]).table(spark), 4)
+
+
 @query
 def h3_probit(spark, d):
     return tidy(regression.probit(quality_frame(spark, d), ["word_density"]).table(spark), 5)
@@ -851,13 +862,13 @@ def j1_auc(spark, d):
 
 @query
 def j2_roc_curve(spark, d):
-    return tidy(evaluate.roc_curve(events_frame(spark, d), "k").where("threshold < 1e300"))
+    return tidy(evaluate.roc_curve(events_frame(spark, d), "k"))
 
 
 @query
 def j2_roc_curve_full(spark, d):
     df = tables.stored(events_frame(spark, d).select("yd", "value"))
-    return tidy(evaluate.roc_curve(df, "value", prune=False).where("threshold < 1e300"))
+    return tidy(evaluate.roc_curve(df, "value", prune=False))
 
 
 @query
