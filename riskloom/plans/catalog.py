@@ -750,13 +750,13 @@ def i12_boosting(spark, d):
 #: Folds of the model comparison.
 FOLDS = 5
 SEARCHES: dict[tuple, selection.Search] = {}
+FORESTS, BOOSTING = ({n: selection.TREE_GRIDS[n]} for n in ("rf", "hgb"))
 
 
-def quality_search(spark: SparkSession, d: str, trees: bool = False) -> selection.Search:
+def quality_search(spark: SparkSession, d: str, grids: dict = selection.LINEAR_GRIDS) -> selection.Search:
     """The search over whole grids on the quality frame; queries of one session read one search."""
-    key = (spark.sparkContext.applicationId, d, trees)
+    key = (spark.sparkContext.applicationId, d, *grids)
     if key not in SEARCHES:
-        grids = selection.TREE_GRIDS if trees else selection.LINEAR_GRIDS
         train, test = quality_split(spark, d)
         SEARCHES[key] = selection.search_models(train, test, QUALITY_FEATURES, k=FOLDS, grids=grids)
     return SEARCHES[key]
@@ -783,9 +783,14 @@ def i13_grid_search(spark, d):
 
 
 @query
-def i13_tree_grid_search(spark, d):
-    """Every setting of forests and boosting with its accuracy over the folds."""
-    return grid_table(spark, quality_search(spark, d, True))
+def i13_forest_grid_search(spark, d):
+    """Every setting of the forests with its accuracy over the folds."""
+    return grid_table(spark, quality_search(spark, d, FORESTS))
+
+
+@query
+def i13_boosting_grid_search(spark, d):
+    return grid_table(spark, quality_search(spark, d, BOOSTING))
 
 
 @query
@@ -804,8 +809,8 @@ def i15_cross_validated_auc(spark, d):
 
 
 @query
-def i15_tree_cross_validated_auc(spark, d):
-    return tidy(selection.fold_aucs(quality_search(spark, d, True)))
+def i15_forest_cross_validated_auc(spark, d):
+    return tidy(selection.fold_aucs(quality_search(spark, d, FORESTS)))
 
 
 @query
@@ -820,8 +825,13 @@ def i17_leaderboard(spark, d):
 
 
 @query
-def i17_tree_leaderboard(spark, d):
-    return leaderboard_table(quality_search(spark, d, True))
+def i17_forest_leaderboard(spark, d):
+    return leaderboard_table(quality_search(spark, d, FORESTS))
+
+
+@query
+def i17_boosting_leaderboard(spark, d):
+    return leaderboard_table(quality_search(spark, d, BOOSTING))
 
 
 def both_splits(spark: SparkSession, d: str, grids: dict) -> DataFrame:
@@ -837,8 +847,8 @@ def i18_split_comparison(spark, d):
 
 
 @query
-def i18_tree_split_comparison(spark, d):
-    return both_splits(spark, d, selection.TREE_GRIDS)
+def i18_forest_split_comparison(spark, d):
+    return both_splits(spark, d, FORESTS)
 
 
 @query
@@ -847,8 +857,8 @@ def i19_model_rocs(spark, d):
 
 
 @query
-def i19_tree_rocs(spark, d):
-    return tidy(selection.model_rocs(quality_search(spark, d, True)))
+def i19_forest_rocs(spark, d):
+    return tidy(selection.model_rocs(quality_search(spark, d, FORESTS)))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -943,7 +953,7 @@ def study_holdout(spark, d):
 def study_comparison(spark, d):
     """Whole second study on document quality: split, impute, the linear families under both splits.
 
-    The tree families of both splits are `i18_tree_split_comparison`.
+    The forests of both splits are `i18_forest_split_comparison`.
     """
     df = quality_frame(spark, d).withColumnRenamed("id", "row_key")
     return tidy(study.comparison_study(

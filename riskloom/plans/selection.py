@@ -47,6 +47,8 @@ LEADERBOARD = (
     "best_params map<string,string>"
 )
 CV, TRAIN, TEST = "cv", "train", "test"
+#: Tree fits at once; their jobs are many and small, and eight at once hold each other up.
+PARALLEL = 2
 
 
 @dataclass(frozen=True)
@@ -257,7 +259,7 @@ def plain_fits(prepared, held, name, kind, fixed, settings, wanted, target, key,
 
 def tree_search(
     folded: DataFrame, held: DataFrame | None, features: list[str], target: str = "yd", key: str = "id",
-    k: int = 5, grids: dict = TREE_GRIDS, parallelism: int = 8,
+    k: int = 5, grids: dict = TREE_GRIDS, parallelism: int = PARALLEL,
 ) -> Search:
     """All settings of the tree families, best by mean accuracy over the folds in column `fold`.
 
@@ -299,7 +301,7 @@ def tree_search(
 
 def search_models(
     train: DataFrame, valid: DataFrame | None, features: list[str], target: str = "yd", key: str = "id",
-    k: int = 5, grids: dict = GRIDS, parallelism: int = 8,
+    k: int = 5, grids: dict = GRIDS, parallelism: int = PARALLEL,
 ) -> Search:
     """Search over all families of the grids; the folds are fixed once and shared by all models."""
     keep = [key, target, *features]
@@ -339,7 +341,7 @@ def leaderboard(search: Search, target: str = "yd") -> DataFrame:
 
 def compare_models(
     train: DataFrame, valid: DataFrame, features: list[str], target: str = "yd", key: str = "id",
-    k: int = 5, grids: dict = GRIDS, parallelism: int = 8,
+    k: int = 5, grids: dict = GRIDS, parallelism: int = PARALLEL,
 ) -> tuple[DataFrame, Search]:
     """Leaderboard by test AUC, and the search with the scores for later ROC curves."""
     search = search_models(train, valid, features, target, key, k, grids, parallelism)
@@ -357,7 +359,7 @@ def model_rocs(search: Search, target: str = "yd") -> DataFrame:
 
 def compare_splits(
     df: DataFrame, features: list[str], target: str = "yd", key: str = "id", test_share: float = 0.25,
-    k: int = 5, grids: dict = GRIDS, parallelism: int = 8,
+    k: int = 5, grids: dict = GRIDS, parallelism: int = PARALLEL,
 ) -> DataFrame:
     """Best model under the systematic split (column `dumVE`) and under a random split."""
     parts = random_split(df, test_share, target, key)

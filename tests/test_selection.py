@@ -180,7 +180,7 @@ def test_separated_classes_do_not_settle_and_missing_cells_take_the_mean(spark):
 def test_queries_use_the_whole_grids(spark, monkeypatch):
     seen, held = [], {}
 
-    def search(train, valid, features, target="yd", key="id", k=5, grids=classifiers.GRIDS, parallelism=8):
+    def search(train, valid, features, target="yd", key="id", k=5, grids=classifiers.GRIDS, parallelism=2):
         seen.append((k, grids))
         scores = spark.createDataFrame([], "model string, sample string, fold int, id long, yd int, score double")
         return selection.Search({n: {} for n in grids}, scores)
@@ -195,10 +195,13 @@ def test_queries_use_the_whole_grids(spark, monkeypatch):
     for query in ("i13_grid_search", "i15_cross_validated_auc", "i17_leaderboard", "i19_model_rocs"):
         catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
     assert seen == [(5, selection.LINEAR_GRIDS)]  # one search for all four
-    catalog.QUERIES["i17_tree_leaderboard"](spark, "/root/testdata/sf0.001")
-    assert seen[1:] == [(5, selection.TREE_GRIDS)]
+    for query in ("i13_forest_grid_search", "i15_forest_cross_validated_auc", "i17_forest_leaderboard",
+                  "i19_forest_rocs", "i13_boosting_grid_search", "i17_boosting_leaderboard"):
+        catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert seen[1:] == [(5, catalog.FORESTS), (5, catalog.BOOSTING)]
+    assert {**catalog.FORESTS, **catalog.BOOSTING} == selection.TREE_GRIDS
     for query, grids in (("i18_split_comparison", selection.LINEAR_GRIDS),
-                         ("i18_tree_split_comparison", selection.TREE_GRIDS),
+                         ("i18_forest_split_comparison", catalog.FORESTS),
                          ("study_comparison", selection.LINEAR_GRIDS)):
         seen.clear()
         catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
