@@ -136,6 +136,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """
     spots = index.groupBy("file", F.floor(F.col("offset") / RANGE_BYTES).alias("stretch")).agg(
         F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spots")).select("file", "spots")
+    # The table of spots is small, what it points at is not: as many tasks as there are stretches of bytes.
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    spots = spots.repartition(max(1, -(-total // RANGE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -176,10 +179,11 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     records = read(write(pages, folder, min_bytes), folder).withColumn(
         "bytes", F.octet_length("payload").cast("long")).drop("payload", "url")
     records = stored(records, "warc-records")
-    sizes = (records.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"))
-             .agg(F.max(F.struct("payload_digest", "bytes")).alias("full")))
+    # An id may stand for several payloads, so a revisit is resolved by id and digest.
+    sizes = (records.where("record_type = 'response' AND page_id IS NOT NULL")
+             .groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("bytes").alias("payload_bytes")))
     first = records.where("record_type = 'response'").select(
         "page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    again = records.where("record_type = 'revisit'").join(sizes, "refers_to").select(
-        "page_id", F.col("full.bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    again = records.where("record_type = 'revisit'").join(sizes, ["refers_to", "payload_digest"]).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return first.union(again)

@@ -143,3 +143,10 @@ def test_vectors_of_every_length_are_linked(spark, monkeypatch, chunk):
     for k in range(len(x)):
         assert (got[k].n_links, got[k].component_id) == (near[k].sum() - 1, component.get(k, k))
         assert got[k].kept == (component.get(k, k) == k)
+
+
+def test_revisits_of_an_id_with_several_payloads(spark):
+    rows = [(1, "u", "AAAAAAAAAA"), (2, "u", "AAAAAAAAAA"), (2, "u", "BB"), (3, "u", "BB")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    found = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got)
+    assert found == [(1, 10, "revisit", 2), (2, 2, "revisit", 3), (2, 10, "response", None), (3, 2, "response", None)]
