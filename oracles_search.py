@@ -94,7 +94,7 @@ def search(train: str, test: str, features: list[str], normal_cdf) -> str:
         steps("lr", size, "f, cs", f"SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM zz JOIN {{prior}} USING (f)",
               "w * p * (1 - p)", "w * (y - p)", 9, "f, c", "1 / c"),
         steps("pr", size, "f", probit.format("zz JOIN {prior} USING (f)"),
-              "d * d / (p * (1 - p))", "(y - p) * d / (p * (1 - p))", 12, "f"),
+              "d * d / (p * (1 - p))", "(y - p) * d / (p * (1 - p))", 25, "f"),
         f"ls AS MATERIALIZED (SELECT f, {', '.join(f'x{i} AS b{i}' for i in range(size))} FROM ("
         + solve(f"SELECT f, {sums(size, '1', 'y')} FROM zz GROUP BY f", size, "f") + "))",
         f"rg AS MATERIALIZED (SELECT f, c, {', '.join(f'x{i} AS b{i}' for i in range(size))} FROM ("
