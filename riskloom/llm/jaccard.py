@@ -5,13 +5,17 @@ alike differ in at most h n-grams altogether (a bound from their sizes), so with
 that are not empty one fragment of them is equal as a whole: equal fragments make the candidates. For
 a candidate pair the overlap is counted fragment by fragment and summed. Documents already connected
 need no further comparison, so a group of copies costs links in proportion to its size.
+
+A set with f filled fragments shares at least f - h of them with any set it may link with. So it can do
+without its f - h - 1 most frequent keys, and a set that shares fewer keys than that with all others
+together takes no further part.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import components, slices, text_bytes
@@ -26,6 +30,10 @@ GROWTH = 1.5
 SIGNATURE, ROUNDS = 8, 3
 #: Partners of a hub whose overlaps one part of it counts.
 PARTNERS = 500
+#: Members of a key that one task pairs with all its members.
+CROWD = 1000
+#: The lowest bits of a key name its size class.
+CLASS_BITS = np.uint64(127)
 #: Lists of asked nodes up to this size go to every task.
 BROADCAST_BYTES = 64 << 20
 
@@ -121,11 +129,10 @@ class Cuts:
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         """One key for each fragment that is not empty, in each class of this set."""
-        out, half, spread = [], tokens >> np.uint64(32), mix(tokens ^ ODD)
+        out, spread = [], mix(tokens ^ ODD)
         for c in self.classes(len(tokens)):
-            count = self.fragments[c]
-            place = (half * np.uint64(count)) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            place, starts = self.filled(tokens, c)
+            named = len(out)
             found = np.add.reduceat(spread, starts)
             label = np.uint64((c + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
             out.append(mix(found + label + place[starts] * ODD))
@@ -133,8 +140,22 @@ class Cuts:
                 # Too few fragments to be sure of an equal one: any common n-gram is a key. Two sets
                 # that are both so share one; otherwise the other set has fragments enough.
                 out.append(mix(tokens + label + np.uint64(1)))
+            out[named:] = [(k & ~CLASS_BITS) | np.uint64(c) for k in out[named:]]
         return np.concatenate(out)
 
+    def filled(self, tokens: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """The fragment of each n-gram in a class, and where each fragment that is not empty starts."""
+        place = ((tokens >> np.uint64(32)) * np.uint64(self.fragments[c])) >> np.uint64(32)
+        return place, np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+
+    def needs(self, tokens: np.ndarray) -> list[int]:
+        """For each class of this set, the keys it shares at least with a set that it links with there."""
+        n, out = len(tokens), []
+        for c in self.classes(n):
+            largest = min(n * 100 // self.percent, self.lows[c + 1] - 1)
+            out.append(len(self.filled(tokens, c)[1]) - (100 - self.percent) * (n + largest) // (100 + self.percent))
+        return out
+
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
@@ -147,19 +168,24 @@ def signature(tokens: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def sizes(docs: DataFrame, text: str, width: int, into: str) -> DataFrame:
-    """Add a struct: the number n of distinct n-grams of each text, and the signature of their set."""
-    @F.arrow_udf("n int, bits array<long>")
+def sizes(docs: DataFrame, text: str, width: int, percent: int, into: str) -> DataFrame:
+    """Add a struct: the number n of distinct n-grams of each text, the signature of their set, the first
+    of its size classes and what it needs in each."""
+    @F.arrow_udf("n int, bits array<long>, first int, needs array<int>")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cuts = Cuts(percent)
         for column in batches:
             data, offsets = text_bytes(column)
-            n, bits = [], []
+            n, bits, first, needs = [], [], [], []
             for a, b in slices(offsets):
                 for tokens in shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width):
                     n.append(len(tokens))
                     bits.append(signature(tokens))
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64()))],
-                                             ["n", "bits"])
+                    first.append(cuts.classes(len(tokens)).start if len(tokens) else 0)
+                    needs.append(cuts.needs(tokens) if len(tokens) else [])
+            yield pa.StructArray.from_arrays(
+                [pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(first, pa.int32()),
+                 pa.array(needs, pa.list_(pa.int32()))], ["n", "bits", "first", "needs"])
 
     return docs.withColumn(into, count(F.col(text)))
 
@@ -227,6 +253,31 @@ def with_hubs(keys: DataFrame) -> DataFrame:
             .mapInArrow(run, "key long, node long, hub long").distinct())
 
 
+def rare_keys(members: DataFrame, size: DataFrame) -> DataFrame:
+    """The (key, node) that candidates are made of: each set leaves out its most frequent keys.
+
+    Two sets that link share as many keys as either needs. The rarest of these stands, by frequency and
+    key, behind all the others in both sets, so it stays in both when as many less one go.
+    """
+    held = members.groupBy("key").agg(F.count("*").alias("held"))
+    label = F.col("key").bitwiseAND(F.lit(int(CLASS_BITS))).cast("int")
+    place = F.row_number().over(Window.partitionBy("node", "label").orderBy(F.col("held").desc(), "key"))
+    return (members.join(held, "key").join(size.select("node", "first", "needs"), "node")
+            .withColumn("label", label).withColumn("place", place)
+            .where(F.col("place") >= F.get("needs", F.col("label") - F.col("first")))
+            .select("key", "node"))
+
+
+def meeting(members: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) of different components that share a key and may link; a crowded key is split."""
+    split = members.groupBy("key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+    dealt = members.join(split, "key").join(size, "node")
+    one = side(dealt.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), "u")
+    all_parts = side(dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "v")
+    return (one.join(all_parts, ["key", "part"]).where(f"ru < rv AND {possible(percent)}")
+            .dropDuplicates(["u", "v"]))
+
+
 def crowds(pairs: DataFrame) -> DataFrame:
     """(node, hub, part): where each set of the pairs goes. A hub with many partners has several parts."""
     hubs = stored(pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("long").alias("parts")), "hubs")
@@ -316,7 +367,7 @@ def side(described: DataFrame, name: str) -> DataFrame:
     return described.select(
         F.col("node").alias(name), F.col("n").alias(f"n{name}"),
         *[F.get("bits", F.lit(i)).alias(f"{name}{i}") for i in range(SIGNATURE)],
-        *[F.col(c).alias(c if c == "key" else f"r{name}") for c in ("key", "root") if c in described.columns])
+        *[F.col(c).alias(f"r{name}" if c == "root" else c) for c in ("key", "part", "root") if c in described.columns])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4,
@@ -337,14 +388,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     named = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
                         F.xxhash64(text).alias("node"),
                         F.xxhash64(key).alias("mark"))
-    rows = stored(sizes(named, "text", width, "_set").select("id", "node", "mark", "_set.*"), "sizes")
+    rows = stored(sizes(named, "text", width, percent, "_set").select("id", "node", "mark", "_set.*"), "sizes")
     texts = named.where("text IS NOT NULL").select("node", "mark", "text")
     groups = stored(with_hubs(fragment_keys(texts.select("node", "text"), width, percent)), "groups")
     # One row for each text.
-    size = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"),
-                                                 F.min("mark").alias("mark"))
+    size = rows.where("n > 0").groupBy("node").agg(F.min("mark").alias("mark"),
+                                                   *[F.max(c).alias(c) for c in ("n", "bits", "first", "needs")])
     size = stored(size, "nodes")
-    members = groups.select("key", "node").union(groups.select("key", F.col("hub").alias("node")).distinct())
+    shared = groups.select("key", "node").union(groups.select("key", F.col("hub").alias("node")).distinct())
+    members = stored(rare_keys(shared, size), "members")
 
     roots = tried = None
     for turn in range(ROUNDS + 1):
@@ -365,8 +417,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                      .select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
                      .join(side(size, "u"), "u").join(side(size, "v"), "v").where(possible(percent)))
         else:
-            left = rooted.join(size, "node")
-            pairs = side(left, "u").join(side(left, "v"), "key").where(f"ru < rv AND {possible(percent)}")
+            pairs = meeting(rooted, size, percent)
         differ = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(SIGNATURE)), F.lit(0))
         pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "u", "v", "nu", "nv",
                              differ.alias("differ"))

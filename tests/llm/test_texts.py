@@ -287,6 +287,55 @@ def test_jaccard_against_all_pairs(docs, empty, monkeypatch, percent, width):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent,width,broadcast", [(85, 4, 0), (85, 4, 64 << 20), (80, 5, 0)])
+def test_jaccard_of_families_around_the_threshold(spark, monkeypatch, percent, width, broadcast):
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(jaccard, "CROWD", 7)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    rng = np.random.default_rng(percent + width)
+    texts = []
+    for length in (9, 30, 150, 700):
+        base = [f"w{x}" for x in rng.integers(0, 10 ** 6, length)]
+        for _ in range(18):
+            words = list(base)
+            for at in rng.integers(0, length, max(1, int(length * rng.uniform(0, 0.035)))):
+                words[at] = f"v{rng.integers(0, 10 ** 6)}"
+            texts.append(" ".join(words))
+    got = {r.doc_id: r for r in jaccard.near_duplicates(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        width=width, percent=percent).collect()}
+    sets = [{tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} for w in (t.split() for t in texts)]
+    links = [(i, j) for j in range(len(sets)) for i in range(j)
+             if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    low = list(range(len(sets)))
+    for _ in low:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    assert 4 < len(set(low)) < len(low)
+    assert [(got[k].n_shingles, got[k].component_id) for k in range(len(sets))] == [
+        (len(s), low[k]) for k, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 99, 100])
+def test_sets_that_link_share_the_keys_they_need(percent):
+    rng = np.random.default_rng(percent)
+    cuts = jaccard.Cuts(percent)
+    for n in (1, 2, 6, 7, 20, 108, 109, 400, 3000):
+        one = jaccard.distinct(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        for _ in range(5):
+            gone = rng.integers(0, n * (100 - percent) // 100 + 1)
+            more = rng.integers(0, 1 << 64, rng.integers(0, n * (100 - percent) // 200 + 1), np.uint64)
+            two = jaccard.distinct(np.concatenate([one[gone:], more]))
+            both = len(np.intersect1d(one, two))
+            if not len(two) or 100 * both < percent * (len(one) + len(two) - both):
+                continue
+            c = cuts.classes(max(len(one), len(two))).start
+            common = np.intersect1d(cuts.keys(one), cuts.keys(two)) & jaccard.CLASS_BITS
+            for s in (one, two):
+                assert c in cuts.classes(len(s))
+                assert (common == c).sum() >= max(1, cuts.needs(s)[c - cuts.classes(len(s)).start])
+
+
 def test_sets_do_not_depend_on_the_place_of_a_text():
     def sets(texts):
         raw = [t.encode() for t in texts]
