@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import finite_or_null
-from riskloom.operators.frame import long_form
-from riskloom.operators.ordering import quantiles
+from riskloom.operators.ordering import runs
+from riskloom.sources.tables import stored
 
 # Quartiles reported by a description.
 QUARTILES = [0.25, 0.5, 0.75]
+#: A sketch places a value within 1 / ACCURACY of its rank; a band reaches two more of these to either side.
+ACCURACY = 10_000
+MARGIN = 3 / ACCURACY
 
 
 def moments(
@@ -64,8 +67,55 @@ def value_quantiles(
     df: DataFrame, columns: list[str], points: list[float], by: list[str] = (),
     method: str = "linear",
 ) -> DataFrame:
-    tidy = df.withColumns({c: finite_or_null(c) for c in columns})
-    return quantiles(long_form(tidy, list(by), columns), "value", points, [*by, "variable"], method)
+    """Exact quantiles `q_0, q_1, ...` per group and variable, by linear or nearest rank.
+
+    Sketches bound the value of every rank asked for. One wide pass counts the rows below these bands
+    and one keeps the rows inside them, some 6 / ACCURACY of the rows for each quantile; a group of at
+    most ACCURACY rows is kept whole. Only these few rows are ranked, so the table is never made long.
+    A group with a missing key or without values has no row.
+    """
+    groups, by = list(by), list(by) or ["_whole"]
+    tidy = df.select(*groups, *[finite_or_null(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    tidy = tidy.dropna(subset=groups) if groups else tidy.withColumn("_whole", F.lit(0))
+    cells = [(i, j) for i in range(len(columns)) for j in range(len(points))]
+
+    def reach(x: str, share: float, edge: Column) -> Column:
+        wide = F.count(x) > ACCURACY
+        return F.when(wide, F.percentile_approx(x, share, ACCURACY)).otherwise(edge) if 0 < share < 1 else edge
+
+    bands = stored(tidy.groupBy(*by).agg(
+        *[F.count(f"_x{i}").alias(f"_n{i}") for i in range(len(columns))],
+        *[reach(f"_x{i}", points[j] - MARGIN, F.min(f"_x{i}")).alias(f"_low{i}_{j}") for i, j in cells],
+        *[reach(f"_x{i}", points[j] + MARGIN, F.max(f"_x{i}")).alias(f"_high{i}_{j}") for i, j in cells],
+    ), "bands")
+    near = tidy.join(bands, by)
+    below = near.groupBy(*by).agg(*[F.count_if(F.col(f"_x{i}") < F.col(f"_low{i}_{j}")).alias(f"_b{i}_{j}")
+                                    for i, j in cells])
+    below = below.join(bands, by).select(*by, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_n{i}").alias("_rows"),
+                 F.col(f"_b{i}_{j}").alias("_below")) for i, j in cells])))
+    inside = [F.when(F.col(f"_x{i}").between(F.col(f"_low{i}_{j}"), F.col(f"_high{i}_{j}")),
+                     F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_x{i}").alias("value")))
+              for i, j in cells]
+    kept = near.select(*by, F.inline(F.array_compact(F.array(*inside))))
+    kept = stored(kept.groupBy(*by, "_i", "_j", "value").agg(F.count("*").alias("_times")), "kept")
+    keys = [*by, "_i", "_j"]
+    ranked = runs(kept, "value", keys, {"n": F.col("_times")}).join(below, keys)
+    at = F.element_at(F.array(*[F.lit(float(p)) for p in points]), F.col("_j") + 1) * (F.col("_rows") - 1)
+    low = F.floor(at + 0.5) if method == "nearest" else F.floor(at)
+    high = low if method == "nearest" else F.ceil(at)
+    start = F.col("_below") + F.col("n_below")
+    hit = [F.max(F.when((start <= k) & (k < start + F.col("n")), F.col("value"))) for k in (low, high)]
+    share = F.max(at - F.floor(at)) if method == "linear" else F.lit(0.0)
+    found = ranked.groupBy(*keys).agg(hit[0].alias("_a"), hit[1].alias("_b"), share.alias("_share"))
+    lost = F.col("_a").isNull() | F.col("_b").isNull()
+    value = F.when(lost, F.raise_error(F.lit("a quantile lies outside its band")).cast("double")).otherwise(
+        F.col("_a") + F.col("_share") * (F.col("_b") - F.col("_a")))
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.withColumn("_value", value).groupBy(*by, "_i").agg(
+        *[F.max(F.when(F.col("_j") == j, F.col("_value"))).alias(f"q_{j}") for j in range(len(points))]
+    ).select(*groups, F.element_at(names, F.col("_i") + 1).alias("variable"),
+             *[f"q_{j}" for j in range(len(points))])
 
 
 def describe(
@@ -127,14 +177,18 @@ def box_fences(df: DataFrame, columns: list[str], by: list[str] = ("yd",), reach
     )
 
 
-def placed_in_box(
+def beside_fences(
     df: DataFrame, columns: list[str], by: list[str], reach: float, ids: list[str] = ()
-) -> DataFrame:
+) -> tuple[DataFrame, list[Column]]:
+    """The wide table with the box of each column beside it, and whether each value lies inside its fences."""
     fences = box_fences(df, columns, by, reach)
-    tidy = df.withColumns({c: finite_or_null(c) for c in columns})
-    values = long_form(tidy, [*ids, *by], columns).where(F.col("value").isNotNull())
-    # One row per variable and class.
-    return values.join(F.broadcast(fences), [*by, "variable"])
+    boxes = fences.groupBy(*by).agg(*[
+        F.max(F.when(F.col("variable") == c, F.struct("q1", "median", "q3", "lower_fence", "upper_fence")))
+        .alias(f"_box{i}") for i, c in enumerate(columns)])
+    values = [finite_or_null(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
+    placed = df.select(*ids, *by, *values).join(boxes, by)
+    return placed, [F.col(f"_x{i}").between(F.col(f"_box{i}.lower_fence"), F.col(f"_box{i}.upper_fence"))
+                    for i in range(len(columns))]
 
 
 def box_statistics(
@@ -142,16 +196,15 @@ def box_statistics(
 ) -> DataFrame:
     """Quartiles, whiskers (furthest values inside the fences) and the number of outliers."""
     by = list(by)
-    inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
-    return (
-        placed_in_box(df, columns, by, reach)
-        .groupBy(*by, "variable", "q1", "median", "q3")
-        .agg(
-            F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
-            F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),
-            F.count_if(~inside).alias("n_outliers"),
-        )
-    )
+    placed, inside = beside_fences(df, columns, by, reach)
+    boxes = [F.struct(
+        F.lit(c).alias("variable"), F.first(f"_box{i}").alias("box"),
+        F.min(F.when(inside[i], F.col(f"_x{i}"))).alias("lower_whisker"),
+        F.max(F.when(inside[i], F.col(f"_x{i}"))).alias("upper_whisker"),
+        F.count_if(~inside[i]).alias("n_outliers")) for i, c in enumerate(columns)]
+    return placed.groupBy(*by).agg(F.array(*boxes).alias("_boxes")).select(*by, F.inline("_boxes")).where(
+        "box IS NOT NULL"
+    ).select(*by, "variable", "box.q1", "box.median", "box.q3", "lower_whisker", "upper_whisker", "n_outliers")
 
 
 def box_outliers(
@@ -159,10 +212,10 @@ def box_outliers(
 ) -> DataFrame:
     """The rows outside the fences."""
     by = list(by)
-    inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
-    return placed_in_box(df, columns, by, reach, [key]).where(~inside).select(
-        key, *by, "variable", "value"
-    )
+    placed, inside = beside_fences(df, columns, by, reach, [key])
+    far = [F.when(~inside[i], F.struct(F.lit(c).alias("variable"), F.col(f"_x{i}").alias("value")))
+           for i, c in enumerate(columns)]
+    return placed.select(key, *by, F.inline(F.array_compact(F.array(*far))))
 
 
 def density(
@@ -172,8 +225,9 @@ def density(
     """Kernel density per group on a fixed grid.
 
     Bandwidth: Scott's factor n^(-1/5) times the sample sd (Gaussian), or
-    0.9 min(sd, iqr / 1.349) n^(-1/5) (Epanechnikov). Each row adds to the grid points its kernel
-    reaches; sums are combined before the shuffle, which carries one row per group and point.
+    0.9 min(sd, iqr / 1.349) n^(-1/5) (Epanechnikov). A row is read once and adds to the sums of all
+    grid points in place; the shuffle carries one row per group and task. Points that no row's kernel
+    reaches are left out.
     """
     groups, by = list(by), list(by) or ["_all"]
     if not groups:
@@ -181,7 +235,7 @@ def density(
     clean = df.select(*by, finite_or_null(value).alias("x")).where(F.col("x").isNotNull())
     spread = clean.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp("x").alias("sd"))
     if kernel == "epanechnikov":
-        iqr = quantiles(clean, "x", [0.25, 0.75], by)
+        iqr = value_quantiles(clean, ["x"], [0.25, 0.75], by)
         spread = spread.join(iqr, by)
         scale = F.least("sd", (F.col("q_1") - F.col("q_0")) / 1.349) * 0.9
         reach = math.sqrt(5)
@@ -190,19 +244,17 @@ def density(
         reach = 38.7  # exp(-z * z / 2) is exactly zero in double precision beyond this
     widths = spread.select(*by, "n", (scale * F.pow("n", F.lit(-0.2))).alias("h")).where("h > 0")
     step = (high - low) / (points - 1)
-    # One row per group (class and model names).
-    rows = clean.join(F.broadcast(widths), by)
-    edge = lambda side: (F.col("x") + side * reach * F.col("h") - low) / step
-    first = F.greatest(F.lit(0), F.ceil(edge(-1)).cast("int"))
-    last = F.least(F.lit(points - 1), F.floor(edge(1)).cast("int"))
-    hit = rows.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
-    grid = F.lit(low) + F.col("point") * F.lit(step)
-    z = (grid - F.col("x")) / F.col("h")
-    if kernel == "epanechnikov":
-        weight = F.greatest(F.lit(0.0), 0.75 * (1 - z * z / 5) / math.sqrt(5))
-    else:
-        weight = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    sums = hit.groupBy(*by, "point").agg(
-        (F.sum(weight) / F.first(F.col("n") * F.col("h"))).alias("density")
-    )
-    return sums.select(*groups, "point", grid.alias("x"), "density")
+    rows = clean.join(widths, by)
+
+    def at(point: int) -> Column:
+        z = (F.lit(low + point * step) - F.col("x")) / F.col("h")
+        if kernel == "epanechnikov":
+            weight = F.greatest(F.lit(0.0), 0.75 * (1 - z * z / 5) / math.sqrt(5))
+        else:
+            weight = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        return F.struct(
+            F.lit(point).alias("point"), F.lit(low + point * step).alias("x"),
+            (F.sum(F.when(F.abs(z) <= reach, weight)) / F.first(F.col("n") * F.col("h"))).alias("density"))
+
+    grid = rows.groupBy(*by).agg(F.array(*[at(point) for point in range(points)]).alias("_grid"))
+    return grid.select(*groups, F.inline("_grid")).where("density IS NOT NULL")

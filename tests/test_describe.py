@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from riskloom.operators import association, describe, hypothesis
@@ -117,3 +118,25 @@ def test_correlations(mini):
     assert line["slope"] == pytest.approx(np.polyfit(A, B, 1)[0])
     constant = mini.selectExpr("a", "1.0D as c")
     assert association.correlation_pairs(constant, ["a", "c"]).first()["r"] is None
+
+
+def test_quantiles_of_large_groups_by_bands(spark, monkeypatch):
+    """Ties that fill whole bands, skew, gaps and groups of every size give the ranks of a full sort."""
+    monkeypatch.setattr(describe, "ACCURACY", 200)
+    monkeypatch.setattr(describe, "MARGIN", 3 / 200)
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"yd": rng.choice([0, 1, 2], 6000, p=[0.7, 0.29, 0.01]),
+                          "a": np.round(rng.lognormal(0, 2, 6000), 1), "b": rng.normal(size=6000)})
+    frame.loc[rng.random(6000) < 0.4, "a"] = 5.0
+    frame.loc[rng.random(6000) < 0.1, "b"] = np.nan
+    df = spark.createDataFrame(frame).repartition(3)
+    points = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
+    for method in ("linear", "nearest"):
+        got = describe.value_quantiles(df, ["a", "b"], points, ["yd"], method).collect()
+        assert len(got) == 6
+        for row in got:
+            values = np.sort(frame.loc[frame.yd == row["yd"], row["variable"]].dropna().to_numpy())
+            at = np.array(points) * (len(values) - 1)
+            want = (np.quantile(values, points) if method == "linear"
+                    else values[np.floor(at + 0.5).astype(int)])
+            assert np.allclose([row[f"q_{i}"] for i in range(len(points))], want)
