@@ -11,6 +11,16 @@ from riskloom.sources.tables import stored
 SLICE_BYTES = 1 << 20
 
 
+def free_names(table: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the table has, for helper columns that go again."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the offsets between them; NULL is an empty text."""
     column = column.cast(pa.large_string())

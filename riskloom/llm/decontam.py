@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import slices, text_bytes
+from riskloom.llm.common import free_names, slices, text_bytes
 
 #: Every SAMPLE-th suffix position is kept.
 SAMPLE = 16
@@ -294,7 +294,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def cut_spans(docs: DataFrame, text: str = "text", spans: str = "spans", into: str = "text") -> DataFrame:
-    """The text without its byte spans; NULL and texts without spans stay as they are."""
+    """The text without its byte spans; NULL and texts without spans stay as they are.
+
+    All columns stay; one called `into` is replaced.
+    """
+    (new,) = free_names(docs, "_cut")
 
     @F.arrow_udf("string")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -310,5 +314,5 @@ def cut_spans(docs: DataFrame, text: str = "text", spans: str = "spans", into: s
             yield pa.array(out, pa.string())
 
     hit = F.coalesce(F.size(spans) > 0, F.lit(False))
-    return (docs.withColumn("_cut", cut(F.when(hit, F.col(text)), F.when(hit, F.col(spans))))
-            .withColumn(into, F.when(hit, F.col("_cut")).otherwise(F.col(text))).drop("_cut"))
+    return (docs.withColumn(new, cut(F.when(hit, F.col(text)), F.when(hit, F.col(spans))))
+            .withColumn(into, F.when(hit, F.col(new)).otherwise(F.col(text))).drop(new))

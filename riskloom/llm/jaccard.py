@@ -372,14 +372,15 @@ def side(described: DataFrame, name: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4,
                     percent: int = 85) -> DataFrame:
-    """(key, n_shingles, component_id) for every row.
+    """(key, n_shingles, component_id, text_hash, kept) for every row.
 
     Words are runs of bytes other than ASCII white space, A-Z lowered; a text of fewer than `width`
     words is one n-gram as a whole. Two texts link when 100 * intersection >= percent * union of their
     sets; component_id is the smallest key reachable by links. NULL and wordless texts have 0 n-grams
     and link with nothing. Equal texts are one node; a NULL key is ignored as a smallest key and such
     a row gets its group's. Texts and n-grams are told apart by 64-bit hashes. Other columns are not
-    read; rows that repeat give rows that repeat.
+    read; rows that repeat give rows that repeat. `kept` names one (key, text) of each group, the
+    smallest key and of its texts the one with the smallest hash, and every row without n-grams.
 
     In each of some rounds every text is compared with the most similar hub of the keys it shares
     with texts it is not connected with. Then all pairs that share a key, are not connected and may
@@ -444,7 +445,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         roots = size.select("node", F.col("node").alias("root"))
     grouped = rows.join(roots, "node", "left").withColumn(
         "group", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    smallest = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min("id").alias("smallest"))
+    # A NULL id comes last.
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    smallest = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min(rank).alias("least"))
     return grouped.join(smallest, "group", "left").select(
         F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id")).alias("component_id"),
+        F.col("node").alias("text_hash"), (F.col("least").isNull() | rank.eqNullSafe(F.col("least"))).alias("kept"))

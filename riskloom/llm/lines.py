@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import free_names
+
 #: Seed of Spark's xxhash64.
 SEED = 42
 
@@ -45,24 +47,26 @@ def shared_lines(docs: DataFrame, text: str = "text", site: str = "source", thre
 
 
 def remove_shared_lines(docs: DataFrame, text: str = "text", site: str = "source",
-                        threshold: int = 10, into: str = "cleaned", only_copies: bool = False,
+                        threshold: int = 10, into: str = "cleaned", only_copies: bool = True,
                         **sketch) -> DataFrame:
     """Add a struct (text, n_lines, n_removed): each text without its cross-site lines.
 
     Lines are compared without surrounding spaces. Blank lines stay. A text all of whose lines that
-    are not blank are shared stays as it is; with `only_copies` only if it is the whole text of
-    several rows, and a single one loses all those lines.
-    A NULL text stays NULL with 0 lines. Rows with equal texts get equal results; all other columns
-    stay. Rows with a NULL site are cleaned, but do not count as a site.
+    are not blank are shared stays as it is if it is the whole text of several rows, which a search
+    for copies handles; a single one loses all those lines. Without `only_copies` a single one stays
+    too. A NULL text stays NULL with 0 lines. Rows with equal texts get equal results; all other
+    columns stay, but one called `into` is replaced. Rows with a NULL site are cleaned, but do not
+    count as a site.
     """
     shared = shared_lines(docs, text, site, threshold, **sketch)
+    doc, bad_lines, whole, new = free_names(docs, "_doc", "_shared", "_stays", "_cut")
     hits = (line_sites(docs, text, site).select("doc", "line").distinct().join(shared, "line")
-            .groupBy("doc").agg(F.collect_set("line").alias("_shared")))
+            .groupBy("doc").agg(F.collect_set("line").alias(bad_lines)))
     if only_copies:
-        rows = docs.groupBy(F.md5(text).alias("doc")).agg((F.count("*") > 1).alias("_stays"))
+        rows = docs.groupBy(F.md5(text).alias("doc")).agg((F.count("*") > 1).alias(whole))
         hits = hits.join(rows, "doc")
     else:
-        hits = hits.withColumn("_stays", F.lit(True))
+        hits = hits.withColumn(whole, F.lit(True))
 
     @F.arrow_udf("text string, n_removed long")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -87,12 +91,11 @@ def remove_shared_lines(docs: DataFrame, text: str = "text", site: str = "source
                                              ["text", "n_removed"])
 
     # Only texts with a shared line go through Python.
-    joined = docs.withColumn("_doc", F.md5(text)).join(
-        hits.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    touched = F.col("_shared").isNotNull()
-    return (joined.withColumn("_cut", cut(F.when(touched, F.col(text)), F.col("_shared"), F.col("_stays")))
+    joined = docs.withColumn(doc, F.md5(text)).join(hits.withColumnRenamed("doc", doc), doc, "left")
+    touched = F.col(bad_lines).isNotNull()
+    return (joined.withColumn(new, cut(F.when(touched, F.col(text)), F.col(bad_lines), F.col(whole)))
             .withColumn(into, F.struct(
-                F.when(touched, F.col("_cut")["text"]).otherwise(F.col(text)).alias("text"),
+                F.when(touched, F.col(new)["text"]).otherwise(F.col(text)).alias("text"),
                 F.coalesce(F.size(F.split(text, "\n")).cast("long"), F.lit(0)).alias("n_lines"),
-                F.when(touched, F.col("_cut")["n_removed"]).otherwise(0).alias("n_removed")))
-            .drop("_doc", "_shared", "_stays", "_cut"))
+                F.when(touched, F.col(new)["n_removed"]).otherwise(0).alias("n_removed")))
+            .drop(doc, bad_lines, whole, new))

@@ -57,11 +57,12 @@ WITH bad AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines, coalesce(bad, []::VARCHAR[]) AS bad FROM documents, bad
 ), counted AS (
   SELECT *, len(list_filter(lines, lambda x: trim(x, ' ') <> '' AND list_contains(bad, trim(x, ' ')))) AS gone,
-         len(list_filter(lines, lambda x: trim(x, ' ') <> '')) AS filled FROM cut
+         len(list_filter(lines, lambda x: trim(x, ' ') <> '')) AS filled,
+         count(*) OVER (PARTITION BY md5(text)) > 1 AS copied FROM cut
 )
 SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines,
-       CASE WHEN gone = filled THEN 0 ELSE coalesce(gone, 0) END::BIGINT AS n_removed,
-       md5(CASE WHEN gone = filled THEN text ELSE array_to_string(list_filter(lines,
+       CASE WHEN gone = filled AND copied THEN 0 ELSE coalesce(gone, 0) END::BIGINT AS n_removed,
+       md5(CASE WHEN gone = filled AND copied THEN text ELSE array_to_string(list_filter(lines,
            lambda x: trim(x, ' ') = '' OR NOT list_contains(bad, trim(x, ' '))), chr(10)) END) AS kept_md5
 FROM counted
 """
@@ -112,7 +113,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id")
 
 
 OP6_SQL = r"""

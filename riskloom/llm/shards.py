@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import free_names
+
 #: Hex digits of an MD5 that make a draw, and those that make a cell for numbering.
 DRAW, CELL = 13, 3
 
@@ -35,7 +37,8 @@ def record_key(column: str) -> Column:
 
 
 def assign(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", into: str = "shard") -> DataFrame:
-    """Add the shard of each row. No shuffle; equal keys share a shard, all other columns stay."""
+    """Add the shard of each row. No shuffle; equal keys share a shard, rows with a NULL key the one of
+    the empty key. All other columns stay; one called `into` is replaced."""
     return docs.withColumn(into, shard_of(record_key(key), weights))
 
 
@@ -43,17 +46,19 @@ def numbered(docs: DataFrame, order: Column, shard: str = "shard", into: str = "
     """Add a gapless number from 0 within each shard, in the order of an MD5 of `order`.
 
     Rows are ranked within the cell of their leading digits and completed by the counts of the cells
-    before it, so that no task sorts a shard. Equal rows take neighbouring numbers in any order.
+    before it, so that no task sorts a shard. Equal rows take neighbouring numbers in any order. All
+    other columns stay; one called `into` is replaced.
     """
-    marked = docs.withColumn("_place", F.md5(order)).withColumn("_cell", F.left("_place", F.lit(CELL)))
-    counts = marked.groupBy(shard, "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    place, cell, n, ahead, at = free_names(docs, "_place", "_cell", "_n", "_before", "_rank")
+    marked = docs.withColumn(place, F.md5(order)).withColumn(cell, F.left(place, F.lit(CELL)))
+    counts = marked.groupBy(shard, cell).agg(F.count("*").alias(n))
+    before = Window.partitionBy(shard).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     # At most 16 ** CELL rows a shard.
-    offsets = counts.select(shard, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(shard, "_cell").orderBy("_place"))
-    return (marked.withColumn("_rank", rank).join(offsets, [shard, "_cell"])
-            .withColumn(into, F.col("_before") + F.col("_rank") - 1)
-            .drop("_place", "_cell", "_rank", "_before"))
+    offsets = counts.select(shard, cell, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    rank = F.row_number().over(Window.partitionBy(shard, cell).orderBy(place))
+    return (marked.withColumn(at, rank).join(offsets, [shard, cell])
+            .withColumn(into, F.col(ahead) + F.col(at) - 1)
+            .drop(place, cell, at, ahead))
 
 
 def placed(docs: DataFrame, weights: Sequence[float], grown: Sequence[float],
@@ -74,5 +79,9 @@ def placed(docs: DataFrame, weights: Sequence[float], grown: Sequence[float],
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float], key: str = "doc_id") -> None:
-    """One folder per shard, written by as many tasks as the data has."""
+    """One folder per shard, written by as many tasks as the data has.
+
+    Rows with a NULL key go to the shard of the empty key, rows that repeat stay together; a column
+    `shard` of the table is replaced by the shard, which is in the folders' names.
+    """
     assign(docs, weights, key).write.partitionBy("shard").parquet(path)

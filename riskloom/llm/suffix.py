@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import slices, text_bytes
+from riskloom.llm.common import free_names, slices, text_bytes
 from riskloom.sources.tables import stored
 
 GRAM = 32
@@ -324,14 +324,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
     Every byte is removed that a string of `length` bytes covers which starts at another place of any
     row too; rows count one by one, so rows of equal texts of `length` bytes or more lose everything.
     Spans are maximal runs of removed bytes; what is kept need not be valid UTF-8. NULL is an empty
-    text. All rows and columns stay; rows are told apart by their text alone (64-bit hash).
+    text. All rows and columns stay, but one called `into` is replaced; rows are told apart by their
+    text alone (64-bit hash).
     """
     if length < 2 * gram or length > 1 << 12:
         raise ValueError("length must be at least twice gram and at most 4096")
-    marked = docs.withColumns({"_text": F.coalesce(F.col(text), F.lit("")),
-                               "_node": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    texts = marked.select(F.col("_node").alias("node"), F.col("_text").alias("text"))
-    spans = stored(repeated_spans(texts, length, gram).withColumnsRenamed({"node": "_node", "spans": "_spans"}), "spans")
+    body, node, found_spans = free_names(docs, "_text", "_node", "_spans")
+    marked = docs.withColumns({body: F.coalesce(F.col(text), F.lit("")),
+                               node: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    texts = marked.select(F.col(node).alias("node"), F.col(body).alias("text"))
+    spans = stored(repeated_spans(texts, length, gram), "spans").withColumnsRenamed(
+        {"node": node, "spans": found_spans})
 
     @F.arrow_udf(RESULT)
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -356,6 +359,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                              ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = marked.join(spans, "_node", "left")
-    return joined.withColumn(into, cut(F.col("_text"), F.col("_spans"))).drop(
-        "_text", "_node", "_spans")
+    joined = marked.join(spans, node, "left")
+    return joined.withColumn(into, cut(F.col(body), F.col(found_spans))).drop(body, node, found_spans)

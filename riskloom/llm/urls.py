@@ -8,6 +8,8 @@ by the entries active on the day it was fetched. An entry of kind `host` names o
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import free_names
+
 #: Days of one time bucket of the join.
 BUCKET = 32
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -40,11 +42,13 @@ def judge(captures: DataFrame, intervals: DataFrame, url: str = "url", day: str
     `lists` are the distinct names in order, joined by commas, and `since` the earliest day from
     which one of the matching entries holds. A capture without host or day is not blocked. Each
     distinct pair of host and day is judged once, and its intervals are met in buckets of `BUCKET`
-    days, so neither a busy host nor a long history makes one task heavy. All rows and columns stay.
+    days, so neither a busy host nor a long history makes one task heavy. All rows and columns stay;
+    one called `into` is replaced.
     """
-    # "_" columns keep clear of the caller's names.
-    named = captures.withColumn("_host", host_of(F.col(url))).withColumn("_day", F.unix_date(F.to_date(day)))
-    pairs = named.where("_host IS NOT NULL AND _day IS NOT NULL").select("_host", "_day").distinct()
+    own_host, own_day, own_lists, own_since = free_names(captures, "_host", "_day", "_lists", "_since")
+    named = captures.withColumn(own_host, host_of(F.col(url))).withColumn(own_day, F.unix_date(F.to_date(day)))
+    pairs = (named.select(F.col(own_host).alias("_host"), F.col(own_day).alias("_day"))
+             .where("_host IS NOT NULL AND _day IS NOT NULL").distinct())
     span = pairs.agg(F.min("_day"), F.max("_day")).first()
     first, last = (span[0], span[1]) if span[0] is not None else (0, 0)
     held = intervals.select(
@@ -64,8 +68,10 @@ def judge(captures: DataFrame, intervals: DataFrame, url: str = "url", day: str
              .groupBy("_host", "_day")
              .agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("_lists"),
                   F.min("since").alias("_since")))
-    return (named.join(found, ["_host", "_day"], "left")
+    found = found.withColumnsRenamed(
+        {"_host": own_host, "_day": own_day, "_lists": own_lists, "_since": own_since})
+    return (named.join(found, [own_host, own_day], "left")
             .withColumn(into, F.struct(
-                F.col("_host").alias("host"), F.col("_lists").isNotNull().alias("blocked"),
-                F.coalesce("_lists", F.lit("")).alias("lists"), F.col("_since").alias("since")))
-            .drop("_host", "_day", "_lists", "_since"))
+                F.col(own_host).alias("host"), F.col(own_lists).isNotNull().alias("blocked"),
+                F.coalesce(own_lists, F.lit("")).alias("lists"), F.col(own_since).alias("since")))
+            .drop(own_host, own_day, own_lists, own_since))

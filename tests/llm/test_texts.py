@@ -145,12 +145,15 @@ def test_longest_prefix_normaliser():
 
 # ---------------------------------------------------------------- lines
 
-def test_lines_against_counts(spark, empty):
+@pytest.mark.parametrize("only_copies", [False, True])
+def test_lines_against_counts(spark, empty, only_copies):
     body = [(i, f"only {i}\nshared by all\n  few  \n\nlast {i % 3}", f"s{i}") for i in range(8)]
     body += [(8, "shared by all\nshared by all", "s1"), (9, None, "s2"), (10, "", None), (11, "x\nshared by all", None)]
+    body += [(i, f"shared by all\n{'word ' * 30_000}", "s1") for i in (12, 13)] + [(14, "few\nfew", "s2"), (15, "few\nfew", "s3")]
     docs = spark.createDataFrame(body + [body[0]], "doc_id long, text string, source string")
-    got = lines.remove_shared_lines(docs, threshold=3).collect()
-    assert len(got) == 13
+    got = lines.remove_shared_lines(docs, threshold=3, only_copies=only_copies).collect()
+    assert len(got) == 17
+    copies = Counter(r.text for r in got)
     sites = {}
     for _, t, s in body:
         for x in (t or "").split("\n"):
@@ -159,7 +162,7 @@ def test_lines_against_counts(spark, empty):
     for r in got:
         kept = None if r.text is None else "\n".join(x for x in r.text.split("\n") if x.strip(" ") not in bad)
         filled = [x for x in (r.text or "").split("\n") if x.strip(" ")]
-        if all(x.strip(" ") in bad for x in filled):
+        if all(x.strip(" ") in bad for x in filled) and (copies[r.text] > 1 or not only_copies):
             kept = r.text
         assert r.cleaned.text == kept and r.cleaned.n_lines == (0 if r.text is None else r.text.count("\n") + 1)
     assert lines.remove_shared_lines(empty, threshold=3).count() == 0
