@@ -29,11 +29,20 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays."""
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    # A row without an id belongs to no group that could stand for it.
-    last = groups.where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(last, docs["doc_id"].eqNullSafe(last["doc_id"]), "left_semi").select(*COLUMNS)
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id stays.
+
+    A NULL id comes after all others. Of several texts with that id one stays, of rows that repeat id and
+    text one too. Texts without words are no copies and all stay.
+    """
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
+    last = stored(found.where("kept").groupBy("doc_id", "text_hash").agg(
+        F.max(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("worded"), F.count("*").alias("n")), "kept")
+    mine = [docs["doc_id"].eqNullSafe(last["doc_id"]), F.xxhash64(docs["text"]) == last["text_hash"]]
+    once = docs.join(last.where("worded = 0 OR n = 1"), mine, "left_semi").select(*COLUMNS)
+    if last.where("worded = 1 AND n > 1").isEmpty():
+        return once
+    again = docs.join(last.where("worded = 1 AND n > 1"), mine, "left_semi").select(*COLUMNS)
+    return once.union(again.dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
