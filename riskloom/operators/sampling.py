@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.ordering import BEFORE, global_index
+from riskloom.sources.tables import stored
 
 SEED = 42
 CELLS = 1 << 16
@@ -31,21 +30,22 @@ def hash_number(key: str, seed: int) -> Column:
 def hash_segments(
     df: DataFrame, shares: list[float], by: list[str] = (), key: str = "id",
     seed: int = SEED, name: str = "segment", rounding: str = "round",
-    sizes: dict | None = None,
+    shared_out: float | None = None,
 ) -> DataFrame:
     """Cut each group, in hash order, at the cumulative shares; sizes are exact.
 
-    `sizes` instead gives the size of the first segment for each level of the one group column.
+    `shared_out` instead makes one cut: ceil(share * n) rows of all, dealt to the groups by `first_sizes`.
 
-    Only counts per hash cell are shuffled: the rows at the cuts are found inside their own cells,
-    and every other row is placed by comparing its hash with those few cut rows.
+    Group, hash and key are stored once and narrow, which evaluates the table once. Only counts per
+    hash cell are shuffled: the rows at the cuts are found inside their own cells, and every other row
+    is placed by comparing its hash with those few cut rows, in one more pass that shuffles nothing.
     """
     by = list(by)
     hashed = df.withColumn("_h", hash_number(key, seed)).withColumn(
         "_cell", F.shiftright("_h", 52 - 16).cast("int")
     )
     group = F.struct(*by) if by else F.lit(0)
-    narrow = hashed.select(group.alias("_g"), "_h", "_cell", F.col(key).alias("_k"))
+    narrow = stored(hashed.select(group.alias("_g"), "_h", "_cell", F.col(key).alias("_k")), "hashes")
     counts = narrow.groupBy("_g", "_cell").agg(F.count("*").alias("_n"))
     cells = counts.select(
         "_g", "_cell", "_n",
@@ -56,37 +56,37 @@ def hash_segments(
     )
     size = {"round": F.round, "ceil": F.ceil, "floor": F.floor}[rounding]
     targets = F.array(*[size(F.lit(s) * F.col("_all")).cast("bigint") for s in shares])
-    if sizes:
-        first_size = F.lit(0)
-        for level, rows in sizes.items():
-            first_size = F.when(F.col("_g")[by[0]] == level, rows).otherwise(first_size)
-        targets = F.array(first_size.cast("bigint"))
-    # A target of zero rows lies before every row of its group.
-    cells = cells.withColumn("_targets", targets)
-    cut_cells = cells.withColumn(
+    if shared_out is not None:
+        cells = cells.join(first_sizes(counts, shared_out), "_g")
+        targets = F.array("_first")
+    # A target of zero rows lies before every row of its group, in its first cell.
+    cut_cells = cells.withColumn("_targets", targets).withColumn(
         "_targets",
-        F.filter("_targets", lambda t: (F.col("_below") < t) & (t <= F.col("_below") + F.col("_n"))),
+        F.filter("_targets", lambda t: ((F.col("_below") < t) & (t <= F.col("_below") + F.col("_n")))
+                 | ((t == 0) & (F.col("_below") == 0))),
     ).where(F.size("_targets") > 0)
+    # At most as many cut cells and cut rows as groups times shares. Both are stored, so Spark knows
+    # their sizes and sends them to every task only if they are small.
+    cut_cells = stored(cut_cells.select("_g", "_cell", "_below", "_targets"), "cut-cells")
     empty = (
-        cells.groupBy("_g")
-        .agg(F.first(F.size(F.filter("_targets", lambda t: t == 0))).alias("_w"))
+        cut_cells.select("_g", F.size(F.filter("_targets", lambda t: t == 0)).alias("_w"))
         .where(F.col("_w") > 0)
         .select("_g", F.lit(-1).cast("bigint").alias("_h"), F.lit(None).alias("_k"), "_w")
     )
     position = F.row_number().over(Window.partitionBy("_g", "_cell").orderBy("_h", "_k"))
-    # A cut cell holds one 65536th of the hash space, whatever the groups look like; there are
-    # at most as many cut cells and cut rows as groups times shares.
-    cut_rows = (
-        narrow.join(F.broadcast(cut_cells.select("_g", "_cell", "_below", "_targets")), ["_g", "_cell"])
+    # A cut cell holds one 65536th of the hash space, whatever the groups look like.
+    cut_rows = stored(
+        narrow.join(cut_cells, ["_g", "_cell"])
         .withColumn("_at", position + F.col("_below"))
         .withColumn("_w", F.size(F.filter("_targets", lambda t: t == F.col("_at"))))
         .where(F.col("_w") > 0)
         .select("_g", "_h", "_k", "_w")
         .unionByName(empty)
         .groupBy("_g")
-        .agg(F.collect_list(F.struct(F.struct("_h", "_k").alias("at"), "_w")).alias("_cuts"))
+        .agg(F.collect_list(F.struct(F.struct("_h", "_k").alias("at"), "_w")).alias("_cuts")),
+        "cut-rows",
     )
-    placed = hashed.withColumn("_g", group).join(F.broadcast(cut_rows), "_g", "left")
+    placed = hashed.withColumn("_g", group).join(cut_rows, "_g", "left")
     me = F.struct(F.col("_h").alias("_h"), F.col(key).alias("_k"))
     passed = F.aggregate(
         F.col("_cuts"), F.lit(0), lambda s, c: s + F.when(c["at"] < me, c["_w"]).otherwise(0)
@@ -102,22 +102,24 @@ def random_split(
     if not stratify:
         cut = hash_segments(df, [test_share], [], key, seed, "_part_no", "ceil")
     else:
-        sizes = stratified_sizes(df, test_share, stratify)
-        cut = hash_segments(df, [], [stratify], key, seed, "_part_no", sizes=sizes)
+        cut = hash_segments(df, [], [stratify], key, seed, "_part_no", shared_out=test_share)
     return cut.withColumn(name, (F.col("_part_no") == 0).cast("int")).drop("_part_no")
 
 
-def stratified_sizes(df: DataFrame, test_share: float, stratify: str) -> dict:
-    """Test rows per class: ceil(share * n) in all, training rows by largest remainder."""
-    counts = {r[0]: r[1] for r in df.groupBy(stratify).count().collect()}
-    n = sum(counts.values())
-    train = n - math.ceil(test_share * n)
-    ideal = {c: train * k / n for c, k in counts.items()}
-    keep = {c: math.floor(v) for c, v in ideal.items()}
-    spare = sorted(ideal, key=lambda c: (keep[c] - ideal[c], str(c)))
-    for c in spare[: train - sum(keep.values())]:
-        keep[c] += 1
-    return {c: counts[c] - keep[c] for c in counts}
+def first_sizes(counts: DataFrame, share: float) -> DataFrame:
+    """(_g, _first): the group's part of ceil(share * n) rows; what stays behind is dealt by largest remainder.
+
+    The groups are levels of a class; one task ranks a row for each.
+    """
+    levels, ranked = Window.partitionBy(), Window.orderBy("_short", F.col("_g").cast("string"))
+    totals = counts.groupBy("_g").agg(F.sum("_n").alias("_size"))
+    rest = totals.withColumn("_rows", F.sum("_size").over(levels)).withColumn(
+        "_rest", F.col("_rows") - F.ceil(F.lit(share) * F.col("_rows")))
+    ideal = (F.col("_rest") * F.col("_size")).cast("double") / F.col("_rows")
+    kept = rest.withColumn("_keep", F.floor(ideal)).withColumn("_short", F.col("_keep") - ideal)
+    spare = F.col("_rest") - F.sum("_keep").over(levels)
+    more = (F.row_number().over(ranked) <= spare).cast("bigint")
+    return kept.select("_g", (F.col("_size") - F.col("_keep") - more).alias("_first"))
 
 
 def stratified_folds(

@@ -107,3 +107,20 @@ def test_ranges_stay_balanced_with_many_partitions(spark, value):
     assert len(bounds) > 950
     found = np.histogram(df.toPandas()["v"], bounds[1:-1])[0]
     assert found.max() <= 3 * 300
+
+
+def test_splits_scan_their_input_once(spark, tmp_path):
+    rows = [(i, ["a", "b", None][i % 3] if i % 7 else "a") for i in range(500)]
+    spark.createDataFrame(rows, "id long, level string").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    for split in (sampling.random_split(df, 0.25, "level"), sampling.random_split(df, 0.25),
+                  sampling.stratified_folds(df, 5, "level")):
+        assert len([f for f in split.inputFiles() if str(tmp_path) + "/rows" in f]) == len(df.inputFiles())
+        plan = split._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 2  # the table and the few cut rows
+    test = sampling.random_split(df, 0.25, "level").where("in_test = 1")
+    assert test.count() == 125
+    sizes = {r["level"]: (r["n"], r["t"]) for r in sampling.random_split(df, 0.25, "level").groupBy("level").agg(
+        F.count("*").alias("n"), F.sum("in_test").alias("t")).collect()}
+    assert set(sizes) == {"a", "b", None} and all(abs(t - n / 4) < 1 for n, t in sizes.values())
+    assert sampling.random_split(df.limit(0), 0.25, "level").count() == 0
