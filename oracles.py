@@ -133,7 +133,7 @@ WELCH_T = "(mean0 - mean1) / sqrt(v0 / n0 + v1 / n1)"
 WELCH_DF = "pow(v0 / n0 + v1 / n1, 2) / (pow(v0 / n0, 2) / (n0 - 1) + pow(v1 / n1, 2) / (n1 - 1))"
 
 
-def means_test(frame: str, features: list[str], pooled: list[str], extra: str = "", where: str = "") -> str:
+def means_test(frame: str, features: list[str], pooled: list[str], extra: str = "", where: str = "", more: str = "") -> str:
     names = ", ".join(f"'{c}'" for c in pooled) or "''"
     body = (
         f"SELECT variable, CASE WHEN variable IN ({names}) THEN {POOLED_T} ELSE {WELCH_T} END AS t, "
@@ -142,7 +142,7 @@ def means_test(frame: str, features: list[str], pooled: list[str], extra: str =
     )
     return on(
         frame,
-        f"SELECT variable, {r('t', 't_statistic')}, {r('df', 'df')}, {r('p', 'p_value')} "
+        f"SELECT variable, {r('t', 't_statistic')}, {r('df', 'df')}, {r('p', 'p_value')}{more} "
         f"FROM (SELECT *, {student_p('t', 'df')} AS p FROM ({body})) {where}",
         extra,
     )
@@ -562,10 +562,13 @@ add(
         "SELECT row_key, id, CAST(id % 2 = 0 AS INTEGER) AS dumVE FROM (SELECT id AS row_key, "
         "row_number() OVER (ORDER BY yd, value NULLS LAST, id) - 1 AS id FROM events_f)",
     ),
-    c5_sorted_by_p=means_test("quality", QUALITY, [], where="WHERE p < 0.05"),
+    c5_sorted_by_p=means_test(
+        "quality", QUALITY, [], where="WHERE p < 0.05",
+        more=", row_number() OVER (ORDER BY p NULLS LAST, variable) AS place"),
     c6_by_strength=on(
         "orders_f",
-        f"SELECT variable, {r('r', 'r')} FROM ({biserial_rows('orders_f', ORDERS)})",
+        f"SELECT variable, {r('r', 'r')}, row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, variable) AS place "
+        f"FROM ({biserial_rows('orders_f', ORDERS)})",
     ),
     c8_stratified_split=on(
         "orders_f",
@@ -971,6 +974,26 @@ def leverage_ctes() -> str:
 TOP = f"o{len(ORDERS)}"
 BIG_CUT = f"2.0 * {len(ORDERS) + 1} / n"
 
+def variance_decision(frame: str, features: list[str]) -> str:
+    return on(
+        frame,
+        "SELECT variable, CASE WHEN normal THEN 'bartlett' ELSE 'levene' END AS test, "
+        f"{r('p', 'pvalue')}, normal AS decision_normality, {r('p0', 'p_shapiro_0')}, {r('p1', 'p_shapiro_1')}, "
+        "p >= 0.05 AS equal_variances, n0, n1, "
+        "row_number() OVER (ORDER BY p >= 0.05 NULLS LAST, p NULLS LAST, variable) AS place FROM (SELECT *, CASE WHEN normal THEN pb ELSE pl END AS p FROM "
+        "(SELECT c.variable AS variable, n0, n1, p0, p1, pl, "
+        f"p0 > 0.05 AND p1 > 0.05 AS normal, {normal_p('sqrt(x)')} AS pb FROM (SELECT variable, n0, n1, "
+        f"((n0 + n1 - 2) * ln({POOLED}) - (n0 - 1) * ln(v0) - (n1 - 1) * ln(v1)) / "
+        "(1 + (1.0 / (n0 - 1) + 1.0 / (n1 - 1) - 1.0 / (n0 + n1 - 2)) / 3) AS x "
+        f"FROM ({classes(frame, features)})) c "
+        f"JOIN (SELECT variable, {student_p('sqrt(f)', 'df')} AS pl FROM "
+        f"({levene_rows(frame, features, 'median')})) l USING (variable) "
+        "JOIN (SELECT variable, max(p) FILTER (WHERE yd = 0) AS p0, max(p) FILTER (WHERE yd = 1) AS p1 FROM "
+        f"(SELECT *, {upper_p('z')} AS p FROM sw) GROUP BY variable) s USING (variable)))",
+        shapiro_ctes(frame, features),
+    )
+
+
 add(
     b19_math=on(
         "events_f",
@@ -990,25 +1013,12 @@ add(
     ),
     f1_shapiro_wilk_large=on(
         "orders_f",
-        f"SELECT yd, variable, CAST(n AS BIGINT) AS n, {r('sw.w', 'w')}, n <= 5000 AS p_reliable FROM sw",
-        shapiro_ctes("orders_f", ["price", "lines"]),
-    ),
-    f4_f5_variance_homogeneity=on(
-        "quality",
-        "SELECT variable, CASE WHEN normal THEN 'bartlett' ELSE 'levene' END AS test, "
-        f"{r('p', 'pvalue')}, normal AS decision_normality, {r('p0', 'p_shapiro_0')}, {r('p1', 'p_shapiro_1')}, "
-        "p >= 0.05 AS equal_variances, n0, n1 FROM (SELECT *, CASE WHEN normal THEN pb ELSE pl END AS p FROM "
-        "(SELECT c.variable AS variable, n0, n1, p0, p1, pl, "
-        f"p0 > 0.05 AND p1 > 0.05 AS normal, {normal_p('sqrt(x)')} AS pb FROM (SELECT variable, n0, n1, "
-        f"((n0 + n1 - 2) * ln({POOLED}) - (n0 - 1) * ln(v0) - (n1 - 1) * ln(v1)) / "
-        "(1 + (1.0 / (n0 - 1) + 1.0 / (n1 - 1) - 1.0 / (n0 + n1 - 2)) / 3) AS x "
-        f"FROM ({classes('quality', ['k_chars', 'word_density'])})) c "
-        f"JOIN (SELECT variable, {student_p('sqrt(f)', 'df')} AS pl FROM "
-        f"({levene_rows('quality', ['k_chars', 'word_density'], 'median')})) l USING (variable) "
-        "JOIN (SELECT variable, max(p) FILTER (WHERE yd = 0) AS p0, max(p) FILTER (WHERE yd = 1) AS p1 FROM "
-        f"(SELECT *, {upper_p('z')} AS p FROM sw) GROUP BY variable) s USING (variable)))",
-        shapiro_ctes("quality", ["k_chars", "word_density"]),
+        f"SELECT yd, variable, CAST(n AS BIGINT) AS n, {r('sw.w', 'w')}, {r(upper_p('z'), 'p_value')}, "
+        "n <= 5000 AS p_reliable FROM sw",
+        shapiro_ctes("orders_f", ORDERS),
     ),
+    f4_f5_variance_homogeneity=variance_decision("quality", ["k_chars", "word_density"]),
+    f4_f5_variance_homogeneity_large=variance_decision("orders_f", ORDERS),
 )
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import (
@@ -256,15 +256,21 @@ def c4_top_leverage(spark, d):
     return tidy(frame.top_rows(df.where("high_leverage"), "leverage", 10).select("id", "leverage"))
 
 
+def placed(table: DataFrame) -> DataFrame:
+    """The place of each row in the order a small result table comes in."""
+    return table.withColumn("_at", F.monotonically_increasing_id()).withColumn(
+        "place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+
+
 @query
 def c5_sorted_by_p(spark, d):
-    return tidy(hypothesis.rejected(hypothesis.equal_means(quality_frame(spark, d), QUALITY_FEATURES)))
+    return tidy(placed(hypothesis.rejected(hypothesis.equal_means(quality_frame(spark, d), QUALITY_FEATURES))))
 
 
 @query
 def c6_by_strength(spark, d):
     table = hypothesis.point_biserial(orders_frame(spark, d), ORDER_FEATURES)
-    return tidy(hypothesis.by_strength(table, "r").select("variable", "r"))
+    return tidy(placed(hypothesis.by_strength(table, "r").select("variable", "r")))
 
 
 @query
@@ -399,8 +405,7 @@ def f1_shapiro_wilk(spark, d):
 
 @query
 def f1_shapiro_wilk_large(spark, d):
-    table = hypothesis.shapiro_wilk(orders_frame(spark, d), ["price", "lines"])
-    return tidy(table.select("yd", "variable", "n", "w", "p_reliable"))
+    return tidy(hypothesis.shapiro_wilk(tables.stored(orders_frame(spark, d)), ORDER_FEATURES))
 
 
 @query
@@ -421,7 +426,13 @@ def f3_levene_mean(spark, d):
 @query
 def f4_f5_variance_homogeneity(spark, d):
     df = tables.stored(quality_frame(spark, d))
-    return tidy(hypothesis.variance_homogeneity(df, ["k_chars", "word_density"], digits=None))
+    return tidy(placed(hypothesis.variance_homogeneity(df, ["k_chars", "word_density"], digits=None)))
+
+
+@query
+def f4_f5_variance_homogeneity_large(spark, d):
+    df = tables.stored(orders_frame(spark, d))
+    return tidy(placed(hypothesis.variance_homogeneity(df, ORDER_FEATURES, digits=None)))
 
 
 @query
