@@ -2,8 +2,8 @@
 
 Every search ends in one stored table of scores (model, sample, fold, key, target, score), which the
 AUC of folds and samples and the ROC curves read. Linear families fit all settings and folds from the
-same scans. A forest is grown once per leaf size and fold, at the largest number of trees and depth of
-the grid; fewer trees are its first ones and smaller depths its upper nodes. Boosting has nothing to
+same scans. A forest is grown once per leaf size and fold, all from the same scans, at the largest number
+of trees and depth of the grid; fewer trees are its first ones and smaller depths its upper nodes. Boosting has nothing to
 share, so its fits run side by side.
 """
 
@@ -21,15 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import manyfits
+from riskloom.operators import manyfits, manytrees
 from riskloom.operators.evaluate import auc, roc_curve
 from riskloom.operators.sampling import random_split, stratified_folds
 from riskloom.plans.classifiers import (
-    GRIDS, VECTOR, Forest, LinearProbability, PenalizedLogit, Probit, Ridge, preprocessor,
+    GRIDS, SEED, VECTOR, Forest, LinearProbability, PenalizedLogit, Probit, Ridge, preprocessor,
 )
 from riskloom.sources.tables import scratch_path, stored
 
@@ -125,7 +124,7 @@ class Nodes:
     first: np.ndarray
     feature: np.ndarray  # -1 at a leaf
     threshold: np.ndarray
-    sides: np.ndarray  # of a yes/no column: whether 0 and 1 go left; NaN for numbers
+    sides: np.ndarray | None  # of a yes/no column: whether 0 and 1 go left; NaN for numbers; None: all numbers
     left: np.ndarray
     right: np.ndarray
     share: np.ndarray  # of class 1
@@ -145,8 +144,10 @@ class Nodes:
                         sums[:, depths.index(deeper)] += self.share[at]
                     break
                 value = x[rows, np.maximum(self.feature[at], 0)]
-                side = np.where(value == 0, self.sides[at, 0], self.sides[at, 1])
-                goes_left = np.where(np.isnan(side), value <= self.threshold[at], side > 0)
+                goes_left = value <= self.threshold[at]
+                if self.sides is not None:
+                    side = np.where(value == 0, self.sides[at, 0], self.sides[at, 1])
+                    goes_left = np.where(np.isnan(side), goes_left, side > 0)
                 at = np.where(inner, np.where(goes_left, self.left[at], self.right[at]), at)
             if tree in counts:
                 out[tree] = sums / tree
@@ -179,6 +180,24 @@ def forest_nodes(spark, model) -> Nodes:
     return Nodes(first, feature, threshold, sides, left + root, right + root, share)
 
 
+def grown_nodes(grown: manytrees.Grown, forest: int) -> Nodes:
+    """The nodes of one of several forests grown together; columns are read as bins."""
+    codes, shares = grown.codes[:, forest], grown.shares[:, forest]
+    inner = np.zeros(shares.shape, bool)
+    inner[:, :codes.shape[1]] = codes >= 0
+    held = np.zeros(shares.shape, bool)
+    held[:, 0] = True
+    held[:, 1::2] = held[:, 2::2] = inner[:, :codes.shape[1]]
+    number = (np.cumsum(held) - 1).reshape(held.shape).astype(np.int32)
+    tree, place = np.nonzero(held)
+    is_inner = inner[tree, place]
+    code = np.where(is_inner, codes[tree, np.minimum(place, codes.shape[1] - 1)], -1)
+    left = np.where(is_inner, number[tree, np.minimum(2 * place + 1, held.shape[1] - 1)], 0).astype(np.int32)
+    return Nodes(number[:, 0], np.where(is_inner, code // manytrees.BINS, -1).astype(np.int16),
+                 np.where(is_inner, code % manytrees.BINS, 0).astype(np.uint8), None, left,
+                 np.where(is_inner, left + 1, 0).astype(np.int32), shares[tree, place])
+
+
 SCORED = "model string, setting int, fold int, {key} {kind}, {target} int, score double"
 
 
@@ -190,8 +209,11 @@ def forest_scores(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch["_x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            found, n = nodes.probabilities(x, counts, depths), batch.num_rows
+            n = batch.num_rows
+            bins = np.array(batch[manytrees.CELLS].to_pylist(), object)
+            cells, inverse = np.unique(bins, return_inverse=True)
+            x = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1)
+            found = nodes.probabilities(x, counts, depths)[inverse]
             for j, place in enumerate(places):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * n, pa.string()), pa.array([place] * n, pa.int32()),
@@ -199,7 +221,7 @@ def forest_scores(
                     ["model", "setting", "fold", key, target, "score"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, F.col(target).cast("int").alias(target), vector_to_array(VECTOR).alias("_x")).mapInArrow(
+    return rows.select(key, F.col(target).cast("int").alias(target), manytrees.CELLS).mapInArrow(
         score, SCORED.format(key=key, kind=kind, target=target))
 
 
@@ -216,29 +238,29 @@ def side_by_side(tasks: list[Callable], parallelism: int) -> list:
         return pool.map(inheritable_thread_target(lambda task: task()), tasks)
 
 
-def forest_fits(prepared, held, name, grid, fixed, settings, folds, target, key, parallelism) -> list[DataFrame]:
-    """Scores of every setting by forests grown once per leaf size and fold.
+def forest_fits(prepared, held, name, grid, fixed, settings, folds, target, key) -> list[DataFrame]:
+    """Scores of every setting by forests grown once per leaf size and fold, all from the same scans.
 
     A fold is scored by the forest that did not see it; fold -1 stands for all rows, scored with the
     held-out ones (fold -2).
     """
-    spark, axes = prepared.sparkSession, {a: grid.get(a, [fixed.get(a)]) for a in ("trees", "depth", "leaf")}
+    axes = {a: grid.get(a, [fixed.get(a)]) for a in ("trees", "depth", "leaf")}
     counts, depths = sorted(axes["trees"]), sorted(axes["depth"])
-
-    def grow(leaf: int, fold: int) -> Callable:
-        def task() -> list[DataFrame]:
-            estimator = Forest(target=target, trees=counts[-1], depth=depths[-1], leaf=leaf)
-            learnt = prepared.where(F.col("fold") != fold) if fold >= 0 else prepared
-            nodes = forest_nodes(spark, estimator.fit(learnt).inner)
-            wanted = [{"trees": t, "depth": d, "leaf": leaf} for t in counts for d in depths]
-            places = [settings.index({a: v for a, v in s.items() if a in grid}) for s in wanted]
-            parts = [(fold, prepared.where(F.col("fold") == fold))] if fold >= 0 else [(-1, prepared), (-2, held)]
-            return [forest_scores(nodes, rows, name, places, counts, depths, at, target, key)
-                    for at, rows in parts if rows is not None]
-        return task
-
-    done = side_by_side([grow(leaf, fold) for leaf in axes["leaf"] for fold in folds], parallelism)
-    return [df for dfs in done for df in dfs]
+    cuts = manytrees.borders(prepared, VECTOR, target, key)
+    rows = stored(manytrees.with_bins(prepared, VECTOR, cuts), "bins")
+    unseen = None if held is None else stored(manytrees.with_bins(held, VECTOR, cuts), "bins")
+    cells = stored(manytrees.cells_of(rows, target, max(folds) + 1), "cells")
+    forests = [(leaf, fold) for leaf in axes["leaf"] for fold in folds]
+    grown = manytrees.grow_forests(cells, forests, counts[-1], depths[-1], SEED)
+    found = []
+    for forest, (leaf, fold) in enumerate(forests):
+        wanted = [{"trees": t, "depth": d, "leaf": leaf} for t in counts for d in depths]
+        places = [settings.index({a: v for a, v in s.items() if a in grid}) for s in wanted]
+        parts = [(fold, rows.where(F.col("fold") == fold))] if fold >= 0 else [(-1, rows), (-2, unseen)]
+        nodes = grown_nodes(grown, forest)
+        found += [forest_scores(nodes, part, name, places, counts, depths, at, target, key)
+                  for at, part in parts if part is not None]
+    return found
 
 
 def plain_fits(prepared, held, name, kind, fixed, settings, wanted, target, key, parallelism) -> list[DataFrame]:
@@ -275,7 +297,7 @@ def tree_search(
         settings, folds = settings_of(grid), list(range(k))
         if kind is Forest:
             found = stored(stack(forest_fits(
-                prepared, held, name, grid, fixed, settings, [*folds, -1], target, key, parallelism)), "scores")
+                prepared, held, name, grid, fixed, settings, [*folds, -1], target, key)), "scores")
         else:
             wanted = [(i, fold) for i in range(len(settings)) for fold in folds]
             found = stored(stack(plain_fits(
