@@ -1,6 +1,8 @@
 """Exact nearest donors for rows with gaps, over all features that two rows share.
 
-Donors are dealt into the cells of a tree of medians; the donors of one cell that have the same
+Points with the same features present are searched in a tree of their own, cut only along these
+features, as cuts along others tell nothing about the distance; rare patterns share one tree. Donors are
+dealt into the cells of a tree of medians; the donors of one cell that have the same
 features present make a box with the least and largest value of every feature. A searched point looks
 into its nearest boxes first. The k-th distance found there closes all boxes that lie farther away, so
 donors meet only the points that visit their box. A box that many points visit is read by several
@@ -29,6 +31,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DIGITS = 9
 #: Fewest donors of a box, rows that place the medians (balance only), patterns with cells of their own.
 LEAF, SAMPLE, PATTERNS = 256, 200_000, 4096
+#: Patterns of points with a tree of their own, each of which holds the donors that can serve it.
+TREES = 8
+#: Nearest boxes of a point that are put in order first; all of them if these hold too few donors.
+NEAR = 64
 #: Points that one task takes into a box, distances held at once, and boxes that every point sees at once.
 VISITS, HELD, BOXES = 2048, 1 << 20, 50_000
 
@@ -53,14 +59,15 @@ class Tree:
         return leaf >> (self.levels - depth)
 
 
-def medians(points: np.ndarray, levels: int, used: dict[str, int]) -> Tree:
-    """Every node halves its points at the median of the feature that spreads most there."""
+def medians(points: np.ndarray, levels: int, used: dict[str, int], along: list[int] | None = None) -> Tree:
+    """Every node halves its points at the median of the feature (of those in `along`) that spreads most there."""
+    along = np.array(along or range(points.shape[1]))
     size = 2**levels - 1
     dims, cuts, held = np.zeros(max(size, 1), np.int64), np.zeros(max(size, 1)), {0: np.nan_to_num(points)}
     for node in range(size):
         here = held.pop(node)
         if len(here):
-            dims[node] = int(np.argmax(here.std(0)))
+            dims[node] = along[np.argmax(here[:, along].std(0))]
             cuts[node] = np.median(here[:, dims[node]])
         right = here[:, dims[node]] > cuts[node]
         held[2 * node + 1], held[2 * node + 2] = here[~right], here[right]
@@ -82,7 +89,7 @@ class Boxes:
         seen = ~np.isnan(z)
         common = seen.astype(float) @ self.present.T.astype(float)
         out = np.zeros(common.shape)
-        for i in range(z.shape[1]):
+        for i in np.flatnonzero(seen.any(0)):
             gap = np.maximum(np.maximum(self.low[None, :, i] - z[:, i, None], z[:, i, None] - self.high[None, :, i]), 0)
             out += np.where(seen[:, i, None] & self.present[None, :, i], gap * gap, 0.0)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -91,10 +98,15 @@ class Boxes:
     def first_look(self, z: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
         """[point, box]: for each missing feature the nearest boxes that have it, until k donors are seen."""
         chosen = np.zeros(distance.shape, bool)
+        near = np.argpartition(distance, NEAR, axis=1)[:, :NEAR] if distance.shape[1] > NEAR else None
         for row, (point, away) in enumerate(zip(z, distance)):
-            order = np.argsort(away, kind="stable")
+            asks = np.flatnonzero(np.isnan(point))
+            order = np.arange(len(away)) if near is None else near[row]
+            order = order[np.argsort(away[order], kind="stable")]
+            if near is not None and (self.counts[order] @ self.present[order][:, asks] < k).any():
+                order = np.argsort(away, kind="stable")
             order = order[away[order] < np.inf]
-            for j in np.flatnonzero(np.isnan(point)):
+            for j in asks:
                 has = order[self.present[order, j]]
                 enough = int(np.searchsorted(np.cumsum(self.counts[has]), k)) + 1
                 chosen[row, has[:enough]] = True
@@ -137,6 +149,18 @@ def visits(points: DataFrame, boxes: Boxes, k: int, width: int, later: bool) ->
     return points.mapInArrow(look, VISIT)
 
 
+def lowest(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k least of every row; of equal ones the first."""
+    if distance.shape[1] <= k:
+        row, column = np.nonzero(np.ones(distance.shape, bool))
+    else:
+        row, column = np.nonzero(distance <= np.partition(distance, k - 1, axis=1)[:, k - 1, None])
+    order = np.lexsort((column, distance[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
 def meeting(k: int, width: int, schema: str):
     """The k nearest donors of one box for each point that visits it."""
 
@@ -150,14 +174,14 @@ def meeting(k: int, width: int, schema: str):
             for low in range(0, len(z), max(1, HELD // len(d))):
                 part = z[low:low + max(1, HELD // len(d))]
                 square, common = np.zeros((len(part), len(d))), np.zeros((len(part), len(d)))
-                for i in range(width):
+                for i in np.flatnonzero(~np.isnan(part).all(0)):
                     both = ~np.isnan(part[:, i, None]) & ~np.isnan(d[None, :, i])
                     square += np.where(both, (part[:, i, None] - d[None, :, i]) ** 2, 0.0)
                     common += both
                 distance = np.round(square * (width / common), DIGITS)
-                nearest = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                told.append(np.take_along_axis(distance, nearest, 1).ravel())
-                found.append((np.repeat(np.arange(low, low + len(part)), nearest.shape[1]), order[nearest].ravel()))
+                point, donor = lowest(distance, k)
+                told.append(distance[point, donor])
+                found.append((point + low, order[donor]))
         at = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1)]
         return pa.table({
             "q": points["q"].take(pa.array(at[0])), "pattern": points["pattern"].take(pa.array(at[0])),
@@ -194,6 +218,16 @@ def pattern_of(z: Column, width: int) -> Column:
     return F.array_join(F.transform(z, lambda v: F.when(v.isNull(), "0").otherwise("1")), "")
 
 
+def serves(z: np.ndarray, pattern: str) -> np.ndarray:
+    """Whether a donor shares a feature with the points of the pattern and has one they lack."""
+    has, known = np.array([c == "1" for c in pattern]), ~np.isnan(z)
+    return known[:, has].any(1) & known[:, ~has].any(1)
+
+
+def serving(z: np.ndarray, pattern: str) -> np.ndarray:
+    return z[serves(z, pattern)]
+
+
 def means_of_nearest(donors: DataFrame, points: DataFrame, k: int, width: int, leaf: int = LEAF) -> DataFrame:
     """(pattern, z, means): for each distinct point the mean of its k nearest donors, feature by feature.
 
@@ -213,35 +247,49 @@ def means_of_nearest(donors: DataFrame, points: DataFrame, k: int, width: int, l
     used = {r["pattern"]: min(levels, int(math.log2(r["count"] / fill))) for r in large.collect()}
     share = min(1.0, SAMPLE / max(size, 1))
     sample = (pool.sample(share, seed=0) if share < 1 else pool).select("z").toArrow()["z"].combine_chunks()
-    tree = medians(numbers(sample, width), levels, used)
+    sample = numbers(sample, width)
+    # Few bytes, much work: dealt by number, as partitions by size would all be one.
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = stored(points.select("z").distinct().repartition(parts, "z").select(
+        "z", pattern_of(F.col("z"), width).alias("pattern"), F.monotonically_increasing_id().alias("q")), "points")
+    often = asked.groupBy("pattern").count().orderBy(F.col("count").desc(), "pattern").limit(TREES + 1).collect()
+    own = [r["pattern"] for r in often if "1" in r["pattern"]][:TREES]
+    trees = [medians(serving(sample, p), levels, used, [i for i, c in enumerate(p) if c == "1"]) for p in own]
+    shared = [medians(sample, levels, used)] if len(often) > len(own) else []
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = tree.cells(numbers(batch["z"], width), batch["pattern"].to_pylist())
-            yield batch.append_column("cell", pa.array(cells, pa.int64()))
-
-    schema = pool.withColumn("cell", F.lit(0).cast("long")).schema
-    boxed = stored(pool.mapInArrow(dealt, schema).withColumn("box", F.xxhash64("pattern", "cell")), "boxes")
+            z, patterns = numbers(batch["z"], width), batch["pattern"].to_pylist()
+            for number, tree in enumerate([*trees, *shared]):
+                rows = np.arange(len(z)) if number == len(trees) else np.flatnonzero(serves(z, own[number]))
+                cells = tree.cells(z[rows], [patterns[i] for i in rows])
+                yield batch.take(pa.array(rows)).append_column("tree", pa.array(np.full(len(rows), number), pa.int32())
+                                                               ).append_column("cell", pa.array(cells, pa.int64()))
+
+    schema = pool.withColumn("tree", F.lit(0)).withColumn("cell", F.lit(0).cast("long")).schema
+    boxed = stored(pool.mapInArrow(dealt, schema).withColumn("box", F.xxhash64("tree", "pattern", "cell")), "boxes")
     bounds = boxed.groupBy("box").agg(
-        F.count("*").alias("n"), F.any_value("pattern").alias("pattern"),
+        F.count("*").alias("n"), F.any_value("pattern").alias("pattern"), F.any_value("tree").alias("tree"),
         F.array(*[F.min(F.col("z")[i]) for i in range(width)]).alias("low"),
         F.array(*[F.max(F.col("z")[i]) for i in range(width)]).alias("high"))
     listed = stored(bounds, "bounds")
     # About as many boxes as the root of the donors, and one for each rare pattern; blocks bound what is sent.
-    blocks = -(-listed.count() // BOXES)
-    asked = stored(points.select("z").distinct().select(
-        "z", pattern_of(F.col("z"), width).alias("pattern"), F.monotonically_increasing_id().alias("q")), "points")
+    blocks = {r["tree"]: -(-r["count"] // BOXES) for r in listed.groupBy("tree").count().collect()}
 
-    def block(number: int) -> Boxes:
-        rows = listed.where(F.pmod("box", F.lit(blocks)) == number).orderBy("box").toArrow()
+    def block(tree: int, number: int) -> Boxes:
+        rows = listed.where((F.col("tree") == tree) & (F.pmod("box", F.lit(blocks[tree])) == number)).orderBy("box").toArrow()
         return Boxes(rows["box"].to_numpy(), rows["n"].to_numpy(),
                      np.array([[c == "1" for c in p] for p in rows["pattern"].to_pylist()]).reshape(-1, width),
                      numbers(rows["low"].combine_chunks(), width), numbers(rows["high"].combine_chunks(), width))
 
+    def searched(rows: DataFrame, tree: int) -> DataFrame:
+        """The points of one tree."""
+        return rows.where(F.col("pattern") == own[tree] if tree < len(own) else ~F.col("pattern").isin(own))
+
     first, last = None, None
-    lists = [block(i) for i in range(blocks)]
-    for boxes in lists:
-        visit = visits(asked.select("q", "pattern", "z"), boxes, k, width, False)
+    lists = [(tree, block(tree, i)) for tree in sorted(blocks) for i in range(blocks[tree])]
+    for tree, boxes in lists:
+        visit = visits(searched(asked, tree).select("q", "pattern", "z"), boxes, k, width, False)
         first = visit if first is None else first.unionByName(visit)
     if first is None:
         return asked.select("pattern", "z", F.create_map().cast("map<int,double>").alias("means"))
@@ -250,9 +298,9 @@ def means_of_nearest(donors: DataFrame, points: DataFrame, k: int, width: int, l
         F.map_from_entries(F.array_agg(F.struct("j", "d2"))).alias("found"))
     limits = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.try_element_at("found", j))
     closed = asked.join(limit, "q", "left").select("q", "pattern", "z", F.coalesce(
-        limits, F.array_repeat(F.lit(None).cast("double"), width)).alias("limits"))
-    for boxes in lists:
-        visit = visits(closed, boxes, k, width, True)
+        limits, F.array_repeat(F.lit(None).cast("double"), width)).alias("limits")).repartition(parts, "q")
+    for tree, boxes in lists:
+        visit = visits(searched(closed, tree), boxes, k, width, True)
         last = visit if last is None else last.unionByName(visit)
     more = nearest(met(stored(last, "visits"), boxed, k, width), k, width)
     each = Window.partitionBy("q", "j").orderBy("d2", "donor")

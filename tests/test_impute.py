@@ -108,3 +108,33 @@ def test_tree_cells_are_prefixes_and_boxes_bound_their_donors():
                 assert away[c] <= real + 1e-12
             else:
                 assert away[c] == np.inf
+
+
+def test_points_meet_only_donors_near_in_the_features_they_have(spark, monkeypatch):
+    """Cuts along absent features made every point read a large share of all boxes."""
+    rng = np.random.default_rng(9)
+    rows = [tuple(map(float, r)) for r in rng.normal(size=(3000, 5))]
+    rows += [(*map(float, r), None, None, None) for r in rng.normal(size=(60, 2))]
+    counted = []
+    whole = neighbours.met
+    monkeypatch.setattr(neighbours, "met", lambda asked, *a: counted.append(asked.count()) or whole(asked, *a))
+    monkeypatch.setattr(neighbours.means_of_nearest, "__defaults__", (32,))
+    check(spark, rows, 3)
+    assert sum(counted) <= 60 * 6
+
+
+def test_more_patterns_than_trees_and_few_near_boxes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TREES", 2)
+    monkeypatch.setattr(neighbours, "NEAR", 2)
+    monkeypatch.setattr(neighbours.means_of_nearest, "__defaults__", (8,))
+    check(spark, sample(300, 4, 0.25, 1), 3)
+
+
+def test_lowest_takes_the_first_of_equal_ones():
+    rng = np.random.default_rng(2)
+    distance = rng.integers(0, 5, (40, 30)).astype(float)
+    distance[distance == 4] = np.inf
+    for k in (1, 3, 30, 50):
+        row, column = neighbours.lowest(distance, k)
+        want = np.argsort(distance, axis=1, kind="stable")[:, :k]
+        assert np.array_equal(column.reshape(40, -1), want) and np.array_equal(row, np.repeat(np.arange(40), want.shape[1]))
