@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.ordering import present, runs, with_neighbour
+from riskloom.sources.tables import stored
 
 INFINITY = float("inf")
 
@@ -93,7 +94,9 @@ def roc_curve(
 def trapezoid_area(curve: DataFrame, by: list[str] = (), order: str = "threshold") -> DataFrame:
     """Area under (fpr, tpr) points taken by falling `order`."""
     by = list(by)
-    stepped = with_neighbour(curve.withColumn("_o", -F.col(order)), "_o", ["fpr", "tpr"], by)
+    # Four passes follow; each would repeat all steps behind the curve.
+    points = stored(curve.select(*by, "fpr", "tpr", (-F.col(order)).alias("_o")), "curve")
+    stepped = with_neighbour(points, "_o", ["fpr", "tpr"], by)
     strip = (F.col("fpr") - F.col("prev_fpr")) * (F.col("tpr") + F.col("prev_tpr")) / 2
     return stepped.groupBy(*by).agg(F.sum(strip).alias("area"))
 

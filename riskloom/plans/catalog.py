@@ -894,7 +894,8 @@ def j2_roc_curve_full(spark, d):
 
 @query
 def j3_roc_area(spark, d):
-    return tidy(evaluate.trapezoid_area(evaluate.roc_curve(events_frame(spark, d), "value")))
+    df = tables.stored(events_frame(spark, d).select("yd", "value"))
+    return tidy(evaluate.trapezoid_area(evaluate.roc_curve(df, "value")))
 
 
 @query

@@ -60,3 +60,18 @@ def test_cost_curve_counts_directly(spark):
     for r in curve.collect():
         loss = sum(10 if y and s < r["thr"] else 1 if not y and s >= r["thr"] else 0 for y, s in rows)
         assert r["cost"] == pytest.approx(loss / 300)
+
+
+def test_area_reads_its_curve_once(spark, mini):
+    """Each of its passes repeated all steps behind the curve."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    curve = evaluate.roc_curve(mini, "a", prune=False)
+    area = evaluate.trapezoid_area(curve.mapInArrow(watched, curve.schema)).first()["area"]
+    assert seen.value == curve.count()
+    assert area == pytest.approx(evaluate.auc(mini, "a").first()["auc"])
