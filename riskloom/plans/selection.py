@@ -46,8 +46,8 @@ LEADERBOARD = (
     "best_params map<string,string>"
 )
 CV, TRAIN, TEST = "cv", "train", "test"
-#: Tree fits at once; their jobs are many and small, and eight at once hold each other up.
-PARALLEL = 2
+#: Boosting fits at once and rows of one task: their jobs are many and small, and tasks of few rows hold the others up.
+PARALLEL, TASK_ROWS = 6, 25_000
 
 
 @dataclass(frozen=True)
@@ -299,6 +299,7 @@ def tree_search(
             found = stored(stack(forest_fits(
                 prepared, held, name, grid, fixed, settings, [*folds, -1], target, key)), "scores")
         else:
+            prepared = stored(prepared.coalesce(max(1, -(-prepared.count() // TASK_ROWS))), "prepared")
             wanted = [(i, fold) for i in range(len(settings)) for fold in folds]
             found = stored(stack(plain_fits(
                 prepared, held, name, kind, fixed, settings, wanted, target, key, parallelism)), "scores")

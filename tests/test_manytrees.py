@@ -122,3 +122,13 @@ def test_a_search_does_not_depend_on_how_rows_are_stored_and_shares_its_jobs(spa
     again, dealt, _ = search(stored(plain.repartition(7, "q")), [2])
     assert again == pytest.approx(a) and dealt == grid
     assert more <= jobs + 2
+
+
+def test_boosting_reads_a_small_table_in_one_task(folded, monkeypatch):
+    """As many tasks as files, each of a few rows, in hundreds of jobs a fit."""
+    seen, whole = [], selection.plain_fits
+    monkeypatch.setattr(selection, "plain_fits", lambda df, *a: seen.append(df.rdd.getNumPartitions()) or whole(df, *a))
+    grids = {"hgb": (classifiers.Boosting, {"rate": [0.1], "depth": [1]}, {"rounds": 1})}
+    rows = folded.select("id", "yd", "fold", (F.col("id") % 17).cast("double").alias("p"))
+    found = selection.tree_search(stored(rows.repartition(7)), None, ["p"], k=2, grids=grids)
+    assert seen == [1, 1] and found.sample("cv").count() == 300
