@@ -18,6 +18,8 @@ from riskloom.operators.regression import cross_moments, solve_linear
 
 SEED = 42
 VECTOR = "_features"
+#: Fewest rows in a leaf of a boosted tree.
+BOOSTING_LEAF = 20
 
 
 # ---------------------------------------------------------------- preprocessing
@@ -212,7 +214,8 @@ class Boosting(ScoreEstimator):
         return ScoredModel(
             GBTClassifier(
                 featuresCol=VECTOR, labelCol=self.label, seed=SEED, maxIter=self.value("rounds"),
-                stepSize=self.value("rate"), maxDepth=self.value("depth"), minInstancesPerNode=20,
+                stepSize=self.value("rate"), maxDepth=self.value("depth"),
+                minInstancesPerNode=BOOSTING_LEAF,
             ).fit(df)
         )
 

@@ -3,8 +3,9 @@
 Every search ends in one stored table of scores (model, sample, fold, key, target, score), which the
 AUC of folds and samples and the ROC curves read. Linear families fit all settings and folds from the
 same scans. A forest is grown once per leaf size and fold, all from the same scans, at the largest number
-of trees and depth of the grid; fewer trees are its first ones and smaller depths its upper nodes. Boosting has nothing to
-share, so its fits run side by side.
+of trees and depth of the grid; fewer trees are its first ones and smaller depths its upper nodes. Boosted
+fits share the cells of their fold and are grown whole, a task each; if the cells are too many for a task, Spark's own
+boosting deals the rows of each fit to tasks, and fits run side by side.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import manyfits, manytrees
+from riskloom.operators import manyboosts, manyfits, manytrees
 from riskloom.operators.evaluate import auc, roc_curve
 from riskloom.operators.sampling import random_split, stratified_folds
 from riskloom.plans.classifiers import (
-    GRIDS, SEED, VECTOR, Forest, LinearProbability, PenalizedLogit, Probit, Ridge, preprocessor,
+    BOOSTING_LEAF, GRIDS, SEED, VECTOR, Boosting, Forest, LinearProbability, PenalizedLogit, Probit, Ridge, preprocessor,
 )
 from riskloom.sources.tables import scratch_path, stored
 
@@ -46,7 +47,7 @@ LEADERBOARD = (
     "best_params map<string,string>"
 )
 CV, TRAIN, TEST = "cv", "train", "test"
-#: Boosting fits at once and rows of one task: their jobs are many and small, and tasks of few rows hold the others up.
+#: Fits of Spark's boosting at once and rows of one task: their jobs are many and small, and tasks of few rows hold the others up.
 PARALLEL, TASK_ROWS = 6, 25_000
 
 
@@ -201,30 +202,37 @@ def grown_nodes(grown: manytrees.Grown, forest: int) -> Nodes:
 SCORED = "model string, setting int, fold int, {key} {kind}, {target} int, score double"
 
 
-def forest_scores(
-    nodes: Nodes, rows: DataFrame, name: str, places: list[int], counts: list[int], depths: list[int],
-    fold: int, target: str, key: str,
+def cell_scores(
+    of: Callable[[np.ndarray], np.ndarray], rows: DataFrame, name: str, places: list[int], fold: int, target: str, key: str,
 ) -> DataFrame:
-    """Scores of all settings (tree counts x depths, numbered by `places`) for all rows; no shuffle."""
+    """Scores of the settings numbered by `places` for all rows, from their cells [cell, column]; no shuffle."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            bins = np.array(batch[manytrees.CELLS].to_pylist(), object)
+            bins = np.array(batch[column].to_pylist(), object)
             cells, inverse = np.unique(bins, return_inverse=True)
             x = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1)
-            found = nodes.probabilities(x, counts, depths)[inverse]
+            found = of(x)[inverse]
             for j, place in enumerate(places):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * n, pa.string()), pa.array([place] * n, pa.int32()),
                      pa.array([fold] * n, pa.int32()), batch[key], batch[target], pa.array(found[:, j])],
                     ["model", "setting", "fold", key, target, "score"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, F.col(target).cast("int").alias(target), manytrees.CELLS).mapInArrow(
+    column, kind = manytrees.CELLS, rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(target).cast("int").alias(target), column).mapInArrow(
         score, SCORED.format(key=key, kind=kind, target=target))
 
 
+def forest_scores(
+    nodes: Nodes, rows: DataFrame, name: str, places: list[int], counts: list[int], depths: list[int],
+    fold: int, target: str, key: str,
+) -> DataFrame:
+    """Scores of all settings (tree counts x depths, numbered by `places`) for all rows."""
+    return cell_scores(lambda x: nodes.probabilities(x, counts, depths), rows, name, places, fold, target, key)
+
+
 # ---------------------------------------------------------------- tree families
 
 
@@ -263,8 +271,34 @@ def forest_fits(prepared, held, name, grid, fixed, settings, folds, target, key)
     return found
 
 
+def boosted_fits(prepared, held, name, fixed, settings, wanted, target, key) -> list[DataFrame] | None:
+    """Scores of the (setting, fold) pairs in `wanted` by boosted fits grown whole; None if a task cannot hold the cells."""
+    folds = sorted({fold for _, fold in wanted})
+    cuts = manyboosts.borders(prepared, VECTOR, key, folds)
+    cells = stored(manyboosts.cells_of(prepared, VECTOR, target, cuts), "cells")
+    most = max((r[1] for r in cells.groupBy("fold").count().collect()), default=0)
+    if most * len(cuts[folds[0]]) > manyboosts.TASK_BINS:
+        return None
+    values = [{**fixed, **settings[place]} for place, _ in wanted]
+    fits = [(fold, v["rate"], v["depth"], v["rounds"]) for (_, fold), v in zip(wanted, values)]
+    models = dict(zip(wanted, manyboosts.grow_boosted(cells, fits, BOOSTING_LEAF)))
+    found = []
+    for fold in folds:
+        places = [place for place, at in wanted if at == fold]
+        grown = [models[place, fold] for place in places]
+        of = lambda x, grown=grown: np.stack([m.probabilities(x) for m in grown], 1)
+        parts = [(fold, prepared.where(F.col("fold") == fold))] if fold >= 0 else [(-1, prepared), (-2, held)]
+        found += [cell_scores(of, manytrees.with_bins(rows.select(key, target, VECTOR), VECTOR, cuts[fold]),
+                              name, places, at, target, key) for at, rows in parts if rows is not None]
+    return found
+
+
 def plain_fits(prepared, held, name, kind, fixed, settings, wanted, target, key, parallelism) -> list[DataFrame]:
     """Scores of the (setting, fold) pairs in `wanted`, a fit for each."""
+    if kind is Boosting:
+        grown = boosted_fits(prepared, held, name, fixed, settings, wanted, target, key)
+        if grown is not None:
+            return grown
 
     def run(place: int, fold: int) -> Callable:
         def task() -> list[DataFrame]:
