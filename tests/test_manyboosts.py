@@ -46,7 +46,10 @@ def test_borders_come_from_the_rows_outside_the_fold(spark, monkeypatch):
     cuts = manyboosts.borders(vectors, "v", "id", [0, -1])
     assert list(cuts[0][0]) == [2.0 * i + 2 for i in range(19)] and len(cuts[-1][0]) in range(20, 32)
     monkeypatch.setattr(manyboosts, "SAMPLE", 20)
-    assert len(manyboosts.borders(vectors, "v", "id", [-1])[-1][0]) in range(5, 31)  # keys say nothing here
+    few = manyboosts.borders(vectors, "v", "id", [-1])[-1][0]
+    assert len(few) in range(5, 31)  # keys say nothing here
+    other = VectorAssembler(inputCols=["x"], outputCol="v").transform(rows.withColumn("x", F.col("x") * (1 + 1e-14)))
+    assert list(manyboosts.borders(other, "v", "id", [-1])[-1][0]) == pytest.approx(list(few))
     monkeypatch.setattr(manyboosts, "SAMPLE", 0)
     assert [len(c) for c in manyboosts.borders(vectors, "v", "id", [-1])[-1]] == [0]
 
@@ -91,6 +94,24 @@ def test_cells_too_many_for_a_task_are_fitted_by_spark(folded, monkeypatch):
     assert auc(whole.sample("cv"), "score").first()["auc"] > 0.8
 
 
+def test_a_leaderboard_equals_that_of_spark_in_few_jobs(spark, folded, monkeypatch):
+    one = {"hgb": (classifiers.Boosting, {"rate": [0.2], "depth": [2]}, {"rounds": 12})}
+    parts = [stored(folded.drop("fold").where(c)) for c in ("id % 4 > 0", "id % 4 = 0")]
+
+    def board(name):
+        spark.sparkContext.setJobGroup(name, "")
+        rows = [tuple(r) for r in selection.compare_models(*parts, ["p", "q"], k=2, grids=one)[0].collect()]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    whole, few = board("whole")
+    monkeypatch.setattr(manyboosts, "TASK_BINS", 10)
+    dealt, many = board("dealt")
+    assert few < 80 < many
+    assert len(whole) == len(dealt) == 1 and whole[0][1:4] == pytest.approx(dealt[0][1:4])
+    assert whole[0][0] == "hgb" and whole[0][4] == dealt[0][4] and 0.8 < whole[0][1] < whole[0][2] <= 1
+
+
 def test_a_target_of_other_values_is_an_error(folded):
     with pytest.raises(Exception, match="0 or 1"):
         selection.tree_search(folded.withColumn("yd", F.col("yd") + 1), None, ["p"], k=2, grids=grids(1, [1]))
